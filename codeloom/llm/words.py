@@ -56,10 +56,9 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     k = len(h) - n + 1
     if k <= 0:
         return np.empty(0, dtype=U)
-    c, out = U(1), np.zeros(k, dtype=U)
+    out = np.zeros(k, dtype=U)
     for j in range(n):
-        c = c * U(0xD1342543DE82EF95) + U(1442695040888963407) if j else U(0x2545F4914F6CDD1D)
-        out += h[j : j + k] * (c | U(1))
+        out += h[j : j + k] * U(pow(0xD1342543DE82EF95, j + 1, 1 << 64))
     return mix(out)
 
 
