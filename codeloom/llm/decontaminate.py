@@ -66,12 +66,16 @@ def _least(df: DataFrame, col: str, n: int, out: str) -> DataFrame:
     return df if cur == out else df.withColumn(out, F.col(col))
 
 
+def _salted(a: str, n: int) -> Column:
+    return F.transform(a, lambda x: F.xxhash64(x, F.lit(n)))
+
+
 def _fingerprints(df: DataFrame, lengths: list[int], keep: list[str]) -> DataFrame:
     """df (words, and keep) with fp: by window length, the fingerprint of the window at each place."""
     df = df.withColumn("h", F.transform("words", lambda w: F.xxhash64(w)))
     df = _least(_gram(df, K, "g"), "g", WINDOW - K + 1, f"fp{WINDOW}")
     for n in lengths:
-        df = _gram(df, n, f"s{n}").withColumn(f"fp{n}", F.transform(f"s{n}", lambda x, n=n: F.xxhash64(x, F.lit(n))))
+        df = _gram(df, n, f"s{n}").withColumn(f"fp{n}", _salted(f"s{n}", n))
     return df.select(*keep, *(f"fp{n}" for n in [WINDOW, *lengths]))
 
 

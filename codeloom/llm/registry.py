@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate
+from . import decontaminate, html, pack, secrets
 
-QUERIES = {"op8_decontaminate": decontaminate.op8_decontaminate}
+QUERIES = {
+    "op4_secrets": secrets.op4_secrets,
+    "op5_html_text": html.op5_html_text,
+    "op6_pack": pack.op6_pack,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
+}
 SQL = {**decontaminate.SQL}
