@@ -2,12 +2,30 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html, pack, secrets
-
-QUERIES = {
-    "op4_secrets": secrets.op4_secrets,
-    "op5_html_text": html.op5_html_text,
-    "op6_pack": pack.op6_pack,
-    "op8_decontaminate": decontaminate.op8_decontaminate,
-}
-SQL = {**decontaminate.SQL}
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import decontaminate, html, jaccard, pack, secrets
+from .common import ship
+
+
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = [
+    secrets.op4_secrets,
+    html.op5_html_text,
+    pack.op6_pack,
+    jaccard.op7_jaccard,
+    decontaminate.op8_decontaminate,
+]
+QUERIES = {f.__name__: _ready(f) for f in _ALL}
+SQL = {**decontaminate.SQL, **jaccard.SQL}
