@@ -8,7 +8,8 @@ per length and room, so the plan is a table of bounded size whatever the corpus.
 planned places by their rank within their length.
 
 Ranks without a hot group: pieces are counted per (length, salt), the counts are summed over the
-salts before each, and a piece's rank is that start plus its number within its salt.
+salts before each, and a piece's rank is that start plus its number within its salt. Salts grow with
+the corpus; only the counts per length reach the driver.
 
 Cost: one pass over the texts, in Arrow batches, writes a narrow row per piece; later
 steps move only these rows, never a text.
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, written
+from .common import read, sized, written
 
 SIZE = 2048
 END = 0
-#: Pieces of one length are ranked in this many parts for each million pieces.
-SALTS = 64
+#: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
+PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
 REMEMBER = 1_000_000
 
@@ -197,14 +198,13 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     docs: doc_id (bigint), text; other columns are ignored. A null or empty text is one piece of END
     alone; rows that repeat an id (or have none) are documents of their own; no docs give no row."""
     spark = docs.sparkSession
-    table = written(pieces(docs, path, size).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "row"), F.lit(SALTS)).cast("int")))
-    counted = table.groupBy("length", "salt").count()
-    parts = counted.collect()  # at most size x SALTS rows
-    counts: dict[int, int] = defaultdict(int)
-    before = []
-    for r in sorted(parts, key=lambda r: (r["length"], r["salt"])):
-        before.append((r["length"], r["salt"], counts[r["length"]]))
-        counts[r["length"]] += r["count"]
+    table = written(pieces(docs, path, size))
+    salts = 8 + table.count() // PER_SALT
+    table = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "row"), F.lit(salts)))
+    counted = written(table.groupBy("length", "salt").agg(F.count("*").alias("n")))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n")).collect()}  # at most a row per length
     steps = plan(counts, size)
     slots = sorted(steps)
     by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -226,9 +226,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
             names = ["doc_id", "piece", "start", "length", "ids_crc32"]
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
 
-    starts = spark.createDataFrame(before, "length bigint, salt int, before bigint") if before else spark.createDataFrame([], "length bigint, salt int, before bigint")
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
-    ranked = table.join(F.broadcast(starts), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
+    ranked = table.join(sized(starts, size * salts), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
 
 
