@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, jaccard, pack, secrets, substring
+from . import decontaminate, embeddings, html, jaccard, pack, secrets, substring
 from .common import ship
 
 
@@ -21,6 +21,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 _ALL = [
+    embeddings.op2_embeddings,
     substring.op3_substring,
     secrets.op4_secrets,
     html.op5_html_text,
@@ -29,4 +30,4 @@ _ALL = [
     decontaminate.op8_decontaminate,
 ]
 QUERIES = {f.__name__: _ready(f) for f in _ALL}
-SQL = {**decontaminate.SQL, **jaccard.SQL, **substring.SQL}
+SQL = {**embeddings.SQL, **substring.SQL, **jaccard.SQL, **decontaminate.SQL}
