@@ -18,10 +18,11 @@ signatures that very many sets share.
 Links. Texts that are equal are taken once. Sets that share a signature are candidates: first each set
 with the first set (hub) of its groups, then, for groups whose sets are not yet in one component, all
 pairs of different components that share as many signatures as linked sets must. Every candidate
-is verified on the whole sets. So components are exact, and links inside a component that are
+is verified: first by the numbers of elements in ranges of hashes (a few bytes, which rule out most of those that differ too
+much), then on the whole sets. So components are exact, and links inside a component that are
 already implied are not spelt out.
 
-Cost: two passes over the texts, one more over the candidates' texts. Signatures (about 0.4 a shingle, three
+Cost: two passes over the texts, and more over those of candidates only. Signatures (about 0.4 a shingle, three
 numbers each) are the one large shuffle; sets move once per verified candidate. Runs of one
 signature are found in sorted order, in constant memory. A hub with many candidates is dealt to many
 tasks with a copy of its set.
@@ -167,6 +168,42 @@ def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*(np.array([x], dtype=np.int64) for x in (last[0], last[4], last[5], last[1], last[2], last[3])))
 
 
+def counts(u: np.ndarray) -> np.ndarray:
+    """How many elements of a set fall in each of 2**j ranges of hashes, about 4 in each (at most 255 told)."""
+    bits = max(3, (len(u) // 4).bit_length())
+    return np.minimum(np.bincount((u >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
+
+
+def may_link(x: np.ndarray, y: np.ndarray) -> bool:
+    """False only for sets that differ in more elements than linked ones can, by their counts alone."""
+    if max(x.max(), y.max()) == 255:  # more are not told
+        return True
+    x, y = x.astype(np.int64), y.astype(np.int64)
+    if len(x) > len(y):
+        x, y = y, x
+    y = y.reshape(len(x), -1).sum(axis=1)
+    return int(np.abs(x - y).sum()) * (DEN + NUM) <= int(x.sum() + y.sum()) * (DEN - NUM)
+
+
+def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, data, off in batches(it):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counts(u).tobytes() for u in _sets(b, data, off)], pa.binary())], names=["doc", "counts"])
+
+
+def _may(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in it:
+        x, y = b.column(2), b.column(3)
+        ok = [may_link(np.frombuffer(i.as_buffer(), dtype=np.uint8), np.frombuffer(j.as_buffer(), dtype=np.uint8)) for i, j in zip(x, y, strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(4)], names=["a", "b", "n"]).filter(pa.array(ok, pa.bool_()))
+
+
+def possible(pairs: DataFrame, counted: DataFrame) -> DataFrame:
+    """The pairs (a, b, n) whose counts leave a link possible; counted: doc, counts."""
+    x, y = (sized(counted.select(F.col("doc").alias(c), F.col("counts").alias(f"c{c}")), limit=150_000) for c in "ab")
+    rows = pairs.join(x, "a").join(y, "b").select("a", "b", "ca", "cb", "n")
+    return rows.mapInArrow(_may, "a bigint, b bigint, n bigint")
+
+
 def _near(a: str, b: str) -> str:
     return f"{DEN} * least({a}, {b}) >= {NUM} * greatest({a}, {b})"
 
@@ -244,10 +281,11 @@ def join(docs: DataFrame) -> DataFrame:
         member = member.join(each.select("doc", "scheme", "n_hot"), ["doc", "scheme"], "left").withColumn("need", F.greatest(F.col("need") - F.coalesce("n_hot", F.lit(0)), F.lit(1)))
         member = written(member)
 
+    some = sized(member.select(F.col("doc").alias("doc_id")).distinct())
+    counted = written(texts.join(some, "doc_id", "left_semi").mapInArrow(_count, "doc bigint, counts binary"))
     edges = member.where("doc <> hub").where(_near("size", "hub_size")).groupBy("hub", "doc").agg(F.count("*").alias("n"))
-    edges = written(edges)
-    texts = written(texts.join(sized(member.select(F.col("doc").alias("doc_id")).distinct()), "doc_id", "left_semi"))
-    best = edges.groupBy("doc").agg(F.max(F.struct("n", (-F.col("hub")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), F.col("doc").alias("b"))
+    edges = written(possible(edges.select(F.col("hub").alias("a"), F.col("doc").alias("b"), "n"), counted))
+    best = edges.groupBy("b").agg(F.max(F.struct("n", (-F.col("a")).alias("h"))).alias("m")).select((-F.col("m.h")).alias("a"), "b")
     links = verified(texts, best)
     of = components(links)
 
@@ -255,8 +293,8 @@ def join(docs: DataFrame) -> DataFrame:
         c = sized(of.select(F.col("id").alias("_id"), F.col("component").alias("_c")))
         return df.join(c, F.col(doc) == F.col("_id"), "left").withColumn(out, F.coalesce("_c", doc)).drop("_id", "_c")
 
-    rest = with_component(with_component(edges, "hub", "c1"), "doc", "c2").where("c1 <> c2")
-    rest = verified(texts, rest.select(F.col("hub").alias("a"), F.col("doc").alias("b")))
+    rest = with_component(with_component(edges, "a", "c1"), "b", "c2").where("c1 <> c2")
+    rest = verified(texts, rest.select("a", "b"))
     if not rest.isEmpty():
         links = links.union(rest)
         of = components(links)
@@ -266,7 +304,8 @@ def join(docs: DataFrame) -> DataFrame:
     x, y = (side.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "size", "need", "c"))) for i in (1, 2))
     pairs = x.join(y, "sig").where("doc1 < doc2 AND c1 <> c2").where(_near("size1", "size2"))
     pairs = pairs.groupBy("doc1", "doc2").agg(F.count("*").alias("n"), F.max(F.greatest("need1", "need2")).alias("need")).where("n >= need")
-    rest = verified(texts, pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b")))
+    pairs = possible(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n"), counted)
+    rest = verified(texts, pairs.select("a", "b"))
     if not rest.isEmpty():
         links = links.union(rest)
         of = components(links)
