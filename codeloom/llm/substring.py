@@ -34,7 +34,7 @@ from .words import U, batches, grams, mix, words
 WINDOW = 35
 K = 12
 #: Spans (two numbers each) that may be broadcast; beyond it the texts are joined by a shuffle.
-BROADCAST_SPANS = 2_000_000
+BROADCAST_SPANS = 20_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 _power: dict[int, tuple[np.ndarray, np.ndarray]] = {}
