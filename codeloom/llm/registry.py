@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html, jaccard, langid, pack, secrets, substring
+from . import decontaminate, embeddings, html, jaccard, langid, pack, quality, secrets, substring
 from .common import ship
 
 
@@ -29,6 +29,7 @@ _ALL = [
     jaccard.op7_jaccard,
     decontaminate.op8_decontaminate,
     langid.op9_language,
+    quality.op10_quality,
 ]
 QUERIES = {f.__name__: _ready(f) for f in _ALL}
 SQL = {**embeddings.SQL, **substring.SQL, **jaccard.SQL, **decontaminate.SQL}
