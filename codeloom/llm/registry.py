@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html, jaccard, langid, pack, quality, secrets, substring
+from . import decontaminate, embeddings, html, jaccard, langid, pack, quality, secrets, substring, toxicity
 from .common import ship
 
 
@@ -21,6 +21,7 @@ def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
 
 _ALL = [
+    toxicity.op1_toxicity,
     embeddings.op2_embeddings,
     substring.op3_substring,
     secrets.op4_secrets,
