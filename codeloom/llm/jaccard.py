@@ -15,7 +15,8 @@ most it may differ in. Empty ranges are never signatures. A set that holds too f
 elements as signatures, under the same rule. e more than needed lets a set leave out up to e
 signatures that very many sets share.
 
-Links. Texts that are equal are taken once. Sets that share a signature are candidates: first each set
+Links. Texts that are equal are taken once. As linked sets share e + 1 signatures or more, sets with fewer that are not
+theirs alone go first (a passage in common is not enough to stay). Sets that share a signature are candidates: first each set
 with the first set (hub) of its groups, then, for groups whose sets are not yet in one component, all
 pairs of different components that share as many signatures as linked sets must. Every candidate
 is verified: first by the numbers of elements in ranges of hashes (a few bytes, which rule out most of those that differ too
@@ -253,6 +254,18 @@ def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(_verify, "a bigint, b bigint").distinct())
 
 
+def pruned(member: DataFrame) -> DataFrame:
+    """member without the sets that share too few signatures to link with any other, and then without signatures of one
+    set; with each signature's first set (hub, hub_size) and its number of sets m.
+
+    Linked sets share at least `need` signatures of a scheme, so each of them has as many that are not its alone."""
+    enough = member.groupBy("doc", "scheme").agg(F.count("*").alias("n"), F.max("need").alias("least")).where("n >= least").select("doc", "scheme")
+    kept = member.select("sig", "doc", "size", "spare", "scheme", "need").join(sized(written(enough)), ["doc", "scheme"], "left_semi")
+    kept = written(kept)
+    group = kept.groupBy("sig").agg(F.count("*").alias("m"), F.min(F.struct("doc", "size")).alias("h")).where("m > 1")
+    return written(kept.join(group.select("sig", "m", F.col("h.doc").alias("hub"), F.col("h.size").alias("hub_size")), "sig"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
@@ -270,16 +283,12 @@ def join(docs: DataFrame) -> DataFrame:
     sizes = found.where("rank = -1").groupBy("doc").agg(F.max("aux").alias("n_shingles"))
     member = found.where("rank >= 0").selectExpr("sig", "hub", "hub_size", "doc", "aux >> 16 AS size", "((aux >> 2) & 16383) - 1 AS spare", "aux & 3 AS scheme", "rank").withColumn("need", F.greatest(F.col("spare") + 1, F.lit(1)))
 
-    hot = written(member.where(F.col("rank") == HOT).select("sig").distinct())
-    if not hot.isEmpty():
-        shared = written(member.join(sized(hot), "sig", "left_semi"))
-        each = written(shared.groupBy("doc", "scheme").agg(F.count("*").alias("n_hot"), F.max("spare").alias("most")))
-        kept = shared.join(each.where("n_hot > most"), ["doc", "scheme"], "left_semi")
-        hubs = kept.groupBy("sig").agg(F.min(F.struct("doc", "size")).alias("h"))
-        kept = kept.drop("hub", "hub_size").join(hubs, "sig").select("sig", F.col("h.doc").alias("hub"), F.col("h.size").alias("hub_size"), "doc", "size", "spare", "scheme", "rank", "need")
-        member = member.join(sized(hot), "sig", "left_anti").select(kept.columns).union(kept)
-        member = member.join(each.select("doc", "scheme", "n_hot"), ["doc", "scheme"], "left").withColumn("need", F.greatest(F.col("need") - F.coalesce("n_hot", F.lit(0)), F.lit(1)))
-        member = written(member)
+    member = pruned(pruned(member))
+    if not member.where(F.col("m") > HOT).isEmpty():
+        each = written(member.where(F.col("m") > HOT).groupBy("doc", "scheme").agg(F.count("*").alias("n_hot")))
+        member = member.join(sized(each), ["doc", "scheme"], "left").withColumn("n_hot", F.coalesce("n_hot", F.lit(0)))
+        member = member.where((F.col("m") <= HOT) | (F.col("n_hot") > F.col("spare"))).withColumn("need", F.greatest(F.col("need") - F.col("n_hot"), F.lit(1)))
+        member = pruned(member)
 
     some = sized(member.select(F.col("doc").alias("doc_id")).distinct())
     counted = written(texts.join(some, "doc_id", "left_semi").mapInArrow(_count, "doc bigint, counts binary"))
