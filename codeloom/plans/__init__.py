@@ -1,0 +1,6 @@
+"""The queries over the code graph and over texts."""
+
+from . import chain, relational
+from .registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "chain", "relational"]
