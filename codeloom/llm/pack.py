@@ -20,6 +20,7 @@ from __future__ import annotations
 import os
 import re
 import string
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -36,7 +37,7 @@ END = 0
 #: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBER = 1_000_000
+REMEMBER = 1_500_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -57,69 +58,47 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 class Encoder:
-    """Token ids of texts. The tokenizer's rules never join what white space divides, so the ids of a
-    text are those of its white-space-divided words in turn; a word's ids are looked up once per task."""
+    """Token ids of texts, as little-endian unsigned 32-bit numbers. The tokenizer's rules never join what white space
+    divides, so the ids of a text are those of its white-space-divided words in turn; a word's are looked up once."""
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}  # a word's number
-        self.ids = np.empty(1 << 16, dtype=np.uint32)  # the ids of all words so far
-        self.at = np.zeros(1 << 16, dtype=np.int64)  # where each word's ids begin, and where the last one's end
-
-    def _add(self, word: str, ids) -> None:
-        n = len(self.known)
-        if n + 1 >= len(self.at):
-            self.at = np.concatenate([self.at, np.zeros_like(self.at)])
-        used = int(self.at[n])
-        end = used + len(ids)
-        while end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
-        self.ids[used:end] = ids
-        self.at[n + 1] = end
-        self.known[word] = n
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
         """Looks new words up; letters and the punctuation behind them are apart for the tokenizer."""
-        ask, parts = {}, []
+        known, ask, parts = self.known, {}, []
         for w in new:
             core = w.rstrip(string.punctuation)
             if len(core) < len(w) and core.isalpha():
-                parts.append((w, core, w[len(core) :]))
-                for x in parts[-1][1:]:
-                    if x not in self.known:
-                        ask[x] = None
+                tail = w[len(core) :]
+                parts.append((w, core, tail))
+                if core not in known:
+                    ask[core] = None
+                if tail not in known:
+                    ask[tail] = None
             else:
                 ask[w] = None
         words = list(ask)
         for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self._add(w, e.ids)
-        at, known = self.at, self.known
+            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
         for w, core, tail in parts:
-            if w not in known:
-                i, j = known[core], known[tail]
-                self._add(w, np.concatenate([self.ids[at[i] : at[i + 1]], self.ids[at[j] : at[j + 1]]]))
-                at = self.at
-
-    def encode(self, text: str) -> np.ndarray:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
+            known[w] = known[core] + known[tail]
+
+    def encode(self, text: str) -> bytes:
+        known = self.known
+        if len(known) > REMEMBER:
+            known.clear()
         if not _CASED.search(text):
             text = text.lower()  # as the tokenizer does; fewer different words
         words = _SPACE.split(text) if _CONTROLS.search(text) else text.split()
-        known = self.known
-        at = list(map(known.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None)))
-            at = list(map(known.get, words))
-        if not at:
-            return np.empty(0, dtype=np.uint32)
-        k = np.array(at, dtype=np.int64)
-        s = self.at[k]
-        n = self.at[k + 1] - s
-        ends = np.cumsum(n)
-        return self.ids[np.arange(ends[-1]) + np.repeat(s - ends + n, n)]
+        ids = list(map(known.get, words))
+        if None in ids:
+            self._learn(list(dict.fromkeys(w for w, k in zip(words, ids, strict=True) if k is None)))
+            ids = list(map(known.get, words))
+        return b"".join(ids)
 
 
 def encoder(path: str) -> Encoder:
@@ -136,17 +115,17 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.array([END], dtype=np.uint32)
+        end = struct.pack("<I", END)
         row = 0
         for b in it:
             ids, text = b.column(0), b.column(1)
             out: list[list] = [[], [], [], [], [], []]
             for doc, t in zip(ids, text, strict=True):
                 doc, row = doc.as_py(), row + 1
-                x = np.concatenate([enc.encode(t.as_py() or ""), end]).astype("<u4")
-                for p, s in enumerate(range(0, len(x), size)):
-                    part = x[s : s + size]
-                    for c, v in zip(out, (doc, row & 0x7FFFFFFF, p, s, len(part), zlib.crc32(part.tobytes())), strict=True):
+                x = enc.encode(t.as_py() or "") + end
+                for p, s in enumerate(range(0, len(x) // 4, size)):
+                    part = x[4 * s : 4 * (s + size)]
+                    for c, v in zip(out, (doc, row & 0x7FFFFFFF, p, s, len(part) // 4, zlib.crc32(part)), strict=True):
                         c.append(v)
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
