@@ -368,7 +368,7 @@ def endpoints(g: Graph, methods: DataFrame) -> DataFrame:
     return own.union(of_iface).union(by).groupBy("class_fqn", "method", "path", "http_method").agg(F.min("project").alias("project"))
 
 
-@on_graph("trv_14_endpoints", f"""WITH s AS (SELECT type_id * 0 + method_id AS node FROM fx_method WHERE method_id % 3 = 0),
+@on_graph("trv_14_endpoints", f"""WITH s AS (SELECT method_id AS node FROM fx_method),
 up AS (SELECT i.src, i.dst, t.fqn FROM fx_implements i JOIN fx_type t ON t.type_id = i.dst AND t.kind = 'INTERFACE'),
 ov AS (SELECT DISTINCT up.fqn, im.method_id, im.name FROM s JOIN fx_method m ON m.method_id = s.node JOIN up ON up.src = m.type_id JOIN fx_method im ON im.type_id = up.dst AND im.name = m.name),
 a AS (SELECT coalesce(p.name, '') AS project, t.fqn AS class_fqn, m.name AS method, e.path, e.http_method FROM s JOIN fx_method m ON m.method_id = s.node JOIN fx_endpoint e USING (method_id) JOIN fx_type t ON t.type_id = m.type_id LEFT JOIN fx_project p ON p.project_id = t.project_id
@@ -378,7 +378,7 @@ UNION ALL SELECT coalesce(p.name, ''), t.fqn, m.name, coalesce(e1.path, e2.path)
  LEFT JOIN (SELECT up.src, im.name, e.path, e.http_method FROM up JOIN fx_method im ON im.type_id = up.dst JOIN fx_endpoint e ON e.method_id = im.method_id WHERE up.fqn NOT LIKE '%java.util%') e2 ON e2.src = t.type_id AND e2.name = m.name)
 SELECT class_fqn, method, path, http_method, min(project) AS project FROM a WHERE path IS NOT NULL GROUP BY ALL""")
 def _trv14(g: Graph) -> DataFrame:
-    return endpoints(g, g.method.where("method_id % 3 = 0").select(F.col("method_id").alias("node")))  # the starts asked about
+    return endpoints(g, g.method.select(F.col("method_id").alias("node")))
 
 
 def _class_starts(g: Graph) -> DataFrame:
