@@ -37,9 +37,7 @@ END = 0
 #: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBER = 1_500_000
-
-_encoders: dict[str, Encoder] = {}
+REMEMBER = 600_000
 
 #: str.split() also divides at these, which the tokenizer takes as text.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -101,20 +99,13 @@ class Encoder:
         return b"".join(ids)
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's own encoder: what it knows serves all tasks that run there."""
-    if path not in _encoders:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
-
-
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """Per piece: doc_id, row (which of the rows of its Arrow batch), piece, start, length, ids_crc32."""
     path = path or vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        enc = Encoder(path)  # a task's own: its memory goes with it
         end = struct.pack("<I", END)
         row = 0
         for b in it:

@@ -18,6 +18,8 @@ _M = 0x9E3779B97F4A7C15
 _INV = pow(_M, -1, 1 << 64)
 #: Bytes of text worked on at once; a longer document makes a chunk of its own.
 CHUNK = 1 << 20
+#: Documents in a chunk at most, which bounds tables of documents x features.
+CHUNK_DOCS = 512
 
 #: Bytes of words [^\x20\x09-\x0D]+.
 NOT_SPACE = np.ones(256, dtype=bool)
@@ -74,12 +76,13 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of documents of about CHUNK bytes."""
+    """Ranges of documents of about CHUNK bytes, and CHUNK_DOCS documents at most."""
     i, n = 0, len(offsets) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
-        yield i, min(j, n)
-        i = min(j, n)
+        j = min(j, i + CHUNK_DOCS, n)
+        yield i, j
+        i = j
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
