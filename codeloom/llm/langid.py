@@ -67,8 +67,8 @@ def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     same1, same2 = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
     same1[:-1] = doc[1:] == doc[:-1]
     same2[:-2] = doc[2:] == doc[:-2]
-    x1 = np.append(x[1:], 0)
-    x2 = np.append(x[2:], [0, 0])
+    x1, x2 = np.zeros_like(x), np.zeros_like(x)
+    x1[:-1], x2[:-2] = x[1:], x[2:]
     ends1, ends2 = np.where(same1, x1, 0), np.where(same2, x2, 0)  # the end of a document is a boundary
     one = x > 0
     two = (x > 0) | (ends1 > 0)

@@ -40,6 +40,8 @@ ALPHA = 0.01
 MIN_RANDOM = 16
 #: Scores above this many standard deviations share a bin; bins are this wide.
 BIN, BINS = 0.25, 64
+#: Ordinary words of a length class that suffice to judge it alone.
+ENOUGH = 1000
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -157,11 +159,16 @@ def thresholds(counts: list[tuple[int, int, bool, int]], alpha: float = ALPHA) -
     counts: (class, bin, null, number). The chance of an ordinary word of the class to score in the
     first b bins, with one added word that does (so it is never 0), is the candidates' p value."""
     out = {}
-    for c in sorted({x[0] for x in counts}):
-        null, other = np.zeros(BINS + 1), np.zeros(BINS + 1)
-        for k, b, is_null, n in counts:
-            if k == c:
-                (null if is_null else other)[b] += n
+    tables = {k: np.zeros((2, BINS + 1)) for k in {x[0] for x in counts}}
+    for k, b, is_null, n in counts:
+        tables[k][0 if is_null else 1, b] += n
+    for c in sorted(tables):
+        null, other = tables[c][0].copy(), tables[c][1]
+        if null.sum() < ENOUGH:  # shorter words speak for longer ones, whose departures grow as the root of the length at least
+            for j in tables:
+                if j < c:
+                    grown = np.minimum(np.arange(BINS + 1) * 2 ** ((c - j) / 4), BINS).astype(int)
+                    null += np.bincount(grown, weights=tables[j][0], minlength=BINS + 1)
         p = (np.cumsum(null) + 1) / (null.sum() + 1)
         seen = np.cumsum(other)
         ok = np.flatnonzero((seen > 0) & (p * other.sum() <= alpha * seen))
@@ -213,16 +220,16 @@ def redact(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     Rows that repeat a doc_id are taken as repeats of one text; a null doc_id is an id like any other;
     a null text stays null. Rows without spans pass unchanged; only the rows with spans are joined (broadcast if few)."""
     spans = scan(docs.select("doc_id", "text"), alpha)
-    hit = spans.where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("_id"), F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))).alias("_spans"))
-    out = docs.join(sized(hit, limit=100_000), F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    hit = spans.where(F.size("spans") > 0).dropDuplicates(["doc_id"]).select(F.col("doc_id").alias("secrets__id"), F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))).alias("secrets__spans"))
+    out = docs.join(sized(hit, limit=100_000), F.col("doc_id").eqNullSafe(F.col("secrets__id")), "left")
     # text between spans that may overlap: fold (kept text, place)
     kept = F.aggregate(
-        F.coalesce("_spans", F.array().cast("array<struct<s:int,e:int>>")),
+        F.coalesce("secrets__spans", F.array().cast("array<struct<s:int,e:int>>")),
         F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
         lambda a, s: F.when(s["s"] >= a["at"], F.struct(F.concat(a["t"], F.substring(F.col("text"), a["at"] + 1, s["s"] - a["at"]), F.lit("<secret>")).alias("t"), s["e"].alias("at"))).otherwise(F.struct(a["t"].alias("t"), F.greatest(a["at"], s["e"]).alias("at"))),
         lambda a: F.concat(a["t"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
     )
-    return out.withColumn("text", F.when(F.col("_id").isNull() & F.col("_spans").isNull(), F.col("text")).otherwise(kept)).drop("_id", "_spans")
+    return out.withColumn("text", F.when(F.col("secrets__spans").isNull(), F.col("text")).otherwise(kept)).drop("secrets__id", "secrets__spans")
 
 
 SQL: dict[str, str] = {}
