@@ -17,8 +17,9 @@ signatures that very many sets share.
 
 Links. Texts that are equal are taken once. As linked sets share e + 1 signatures or more, sets with fewer that are not
 theirs alone go first (a passage in common is not enough to stay). Sets that share a signature are candidates: first each set
-with the first set (hub) of its groups, then, for groups whose sets are not yet in one component, all
-pairs of different components that share as many signatures as linked sets must. Every candidate
+with the first set (hub) of its groups, then, for groups whose sets are not yet in one component, the
+pairs of different components: by a join in small groups, and by comparing blocks inside tasks in large ones, where each pair
+is looked at once and only those that may link come out. Every candidate
 is verified: first by the numbers of elements in ranges of hashes (a few bytes, which rule out most of those that differ too
 much), then on the whole sets. So components are exact, and links inside a component that are
 already implied are not spelt out.
@@ -35,6 +36,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,6 +48,11 @@ SHINGLE = 5
 NUM, DEN = 75, 100
 #: Sets sharing one signature from which on it is left out by every set that can spare it.
 HOT = 128
+#: Sets of one signature that are paired by a join; larger groups are compared inside tasks, in pairs of blocks.
+FEW = 16
+BLOCK = 512
+#: Elements per range of the counts that larger groups are compared by.
+FINE = 0.75
 #: Candidates verified by one task's copy of a hub.
 DEAL = 64
 #: Limits of the bands of sizes.
@@ -169,9 +176,9 @@ def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield rows(*(np.array([x], dtype=np.int64) for x in (last[0], last[4], last[5], last[1], last[2], last[3])))
 
 
-def counts(u: np.ndarray) -> np.ndarray:
-    """How many elements of a set fall in each of 2**j ranges of hashes, about 4 in each (at most 255 told)."""
-    bits = max(3, (len(u) // 4).bit_length())
+def counts(u: np.ndarray, per_range: float = 4) -> np.ndarray:
+    """How many elements of a set fall in each of 2**j ranges of hashes, about per_range in each (at most 255 told)."""
+    bits = max(3, int(len(u) / per_range).bit_length())
     return np.minimum(np.bincount((u >> U(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8)
 
 
@@ -191,6 +198,55 @@ def _count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counts(u).tobytes() for u in _sets(b, data, off)], pa.binary())], names=["doc", "counts"])
 
 
+def _fine(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b, data, off in batches(it):
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([counts(u, FINE).tobytes() for u in _sets(b, data, off)], pa.binary())], names=["doc", "counts"])
+
+
+def _within(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
+    """Of the members of a signature (of two blocks of them), the pairs of different components that may link and that share no
+    signature of the list before this one, so that each pair is looked at once."""
+    sig, i, j = key
+    doc, size, comp, own = (df[c].to_numpy() for c in ("doc", "size", "c", "own"))
+    lists = [np.asarray(x) for x in df["sigs"]]
+    at = np.repeat(np.arange(len(doc)), [len(x) for x in lists])
+    flat = np.concatenate(lists)
+    at, flat = at[flat < sig], flat[flat < sig]
+    before, place = np.unique(flat, return_inverse=True)
+    has = np.zeros((len(doc), len(before)), dtype=np.float32)
+    has[at, place] = 1
+    vec = [np.frombuffer(x, dtype=np.uint8) for x in df["counts"]]
+    full = np.array([x.max() == 255 for x in vec])  # more are not told
+    width = np.array([len(x) for x in vec])
+    table = {}  # the counts of all members at each resolution that one of them has
+    for w in np.unique(width):
+        rows = np.zeros((len(doc), w), dtype=np.int16)
+        for k in np.flatnonzero(width >= w):
+            rows[k] = vec[k].astype(np.int16).reshape(w, -1).sum(axis=1)
+        table[w] = rows
+    left, right = [], []
+    for a in range(0, len(doc), 64):
+        q = slice(a, a + 64)
+        ok = (has[q] @ has.T) == 0
+        ok &= comp[q, None] != comp[None, :]
+        ok &= DEN * np.minimum(size[q, None], size[None, :]) >= NUM * np.maximum(size[q, None], size[None, :])
+        ok &= doc[q, None] < doc[None, :]  # every pair, once
+        if i != j:
+            ok &= own[q, None] != own[None, :]
+        x, y = np.nonzero(ok)
+        x = x + a
+        w = np.minimum(width[x], width[y])
+        far = np.zeros(len(x), dtype=bool)
+        for r in np.unique(w):
+            for k in range(0, len(x), 8192):
+                at_ = np.flatnonzero(w[k : k + 8192] == r) + k
+                apart = np.abs(table[r][x[at_]] - table[r][y[at_]]).sum(axis=1, dtype=np.int64)
+                far[at_] = apart * (DEN + NUM) > (size[x[at_]] + size[y[at_]]) * (DEN - NUM)
+        keep = ~far | full[x] | full[y]
+        left.append(doc[x[keep]]), right.append(doc[y[keep]])
+    return pd.DataFrame({"a": np.concatenate(left), "b": np.concatenate(right)})
+
+
 def _may(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in it:
         x, y = b.column(2), b.column(3)
@@ -308,12 +364,21 @@ def join(docs: DataFrame) -> DataFrame:
         links = links.union(rest)
         of = components(links)
     split = with_component(member, "doc", "c")
-    open_ = split.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select("sig")
-    side = written(split.join(sized(written(open_)), "sig", "left_semi").select("sig", "doc", "size", "need", "c"))
-    x, y = (side.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "size", "need", "c"))) for i in (1, 2))
+    open_ = written(split.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("sig", "m"))
+    side = written(split.select("sig", "doc", "size", "need", "c").join(sized(open_), "sig"))
+    few = side.where(F.col("m") <= FEW)
+    x, y = (few.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "size", "need", "c"))) for i in (1, 2))
     pairs = x.join(y, "sig").where("doc1 < doc2 AND c1 <> c2").where(_near("size1", "size2"))
-    pairs = pairs.groupBy("doc1", "doc2").agg(F.count("*").alias("n"), F.max(F.greatest("need1", "need2")).alias("need")).where("n >= need")
-    pairs = possible(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n"), counted)
+    # their other common signatures may be in larger groups, so what they lack here is not told
+    pairs = possible(pairs.groupBy("doc1", "doc2").agg(F.count("*").alias("n")).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n"), counted).select("a", "b")
+    many = side.where(F.col("m") > FEW)
+    if not many.isEmpty():
+        about = many.groupBy("doc").agg(F.collect_list("sig").alias("sigs"))
+        fine = texts.join(sized(written(about.select(F.col("doc").alias("doc_id")))), "doc_id", "left_semi").mapInArrow(_fine, "doc bigint, counts binary")
+        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+        dealt = many.join(written(about.join(fine, "doc")), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("sig", "doc", "size", "c", "sigs", "counts", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        pairs = pairs.union(dealt.groupBy("sig", "i", "j").applyInPandas(_within, "a bigint, b bigint"))
     rest = verified(texts, pairs.select("a", "b"))
     if not rest.isEmpty():
         links = links.union(rest)

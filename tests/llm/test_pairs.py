@@ -56,6 +56,9 @@ def corpus(seed, clusters=30):
 @pytest.mark.parametrize("hot", [2, 128])
 def test_jaccard_matches_brute_force(docs_of, monkeypatch, hot):
     monkeypatch.setattr(jaccard, "HOT", hot)
+    if hot == 2:  # groups of three are compared inside tasks, in small blocks
+        monkeypatch.setattr(jaccard, "FEW", 2)
+        monkeypatch.setattr(jaccard, "BLOCK", 4)
     rows = corpus(hot)
     sets = {i: shingles(t) for i, t in rows}
     ids = list(sets)
