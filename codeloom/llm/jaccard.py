@@ -49,10 +49,10 @@ NUM, DEN = 75, 100
 #: Sets sharing one signature from which on it is left out by every set that can spare it.
 HOT = 128
 #: Sets of one signature that are paired by a join; larger groups are compared inside tasks, in pairs of blocks.
-FEW = 16
+FEW = 64
 BLOCK = 512
 #: Elements per range of the counts that larger groups are compared by.
-FINE = 0.75
+FINE = 2
 #: Candidates verified by one task's copy of a hub.
 DEAL = 64
 #: Limits of the bands of sizes.
@@ -366,12 +366,14 @@ def join(docs: DataFrame) -> DataFrame:
     split = with_component(member, "doc", "c")
     open_ = written(split.groupBy("sig").agg(F.min("c").alias("c1"), F.max("c").alias("c2"), F.count("*").alias("m")).where("c1 <> c2").select("sig", "m"))
     side = written(split.select("sig", "doc", "size", "need", "c").join(sized(open_), "sig"))
-    few = side.where(F.col("m") <= FEW)
+    many = side.where(F.col("m") > FEW)
+    # linked sets share `need` signatures, of which those in larger groups are not seen by the join
+    unseen = sized(written(many.groupBy("doc").agg(F.count("*").alias("unseen"))))
+    few = side.where(F.col("m") <= FEW).join(unseen, "doc", "left").withColumn("need", F.greatest(F.col("need") - F.coalesce("unseen", F.lit(0)), F.lit(1)))
     x, y = (few.select("sig", *(F.col(c).alias(f"{c}{i}") for c in ("doc", "size", "need", "c"))) for i in (1, 2))
     pairs = x.join(y, "sig").where("doc1 < doc2 AND c1 <> c2").where(_near("size1", "size2"))
-    # their other common signatures may be in larger groups, so what they lack here is not told
-    pairs = possible(pairs.groupBy("doc1", "doc2").agg(F.count("*").alias("n")).select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n"), counted).select("a", "b")
-    many = side.where(F.col("m") > FEW)
+    pairs = pairs.groupBy("doc1", "doc2").agg(F.count("*").alias("n"), F.max(F.greatest("need1", "need2")).alias("need")).where("n >= need")
+    pairs = possible(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n"), counted).select("a", "b")
     if not many.isEmpty():
         about = many.groupBy("doc").agg(F.collect_list("sig").alias("sigs"))
         fine = texts.join(sized(written(about.select(F.col("doc").alias("doc_id")))), "doc_id", "left_semi").mapInArrow(_fine, "doc bigint, counts binary")
