@@ -45,7 +45,7 @@ def read_files(spark: SparkSession, root: str, pattern: str = "*", pruned: tuple
     base = Path(root).resolve().as_posix() if "://" not in root else root
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^\\Q{base}\\E/", "")
     files = raw.withColumn("path", rel).where(outside(F.col("path"), pruned) & ~extension(F.col("path")).isin(*BINARY) & matching(F.col("path"), pattern))
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("content"), language(F.col("path")).alias("language"), F.lit("utf-8").alias("encoding"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_time"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", F.decode("content", "UTF-8").alias("content"), language(F.col("path")).alias("language"), F.lit("utf-8").alias("encoding"), F.col("length").alias("size"), F.col("modificationTime").alias("modified_time"), F.sha2("content", 256).alias("sha256"))
 
 
 def project_info(spark: SparkSession, root: str) -> DataFrame:
