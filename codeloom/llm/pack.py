@@ -31,13 +31,16 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, sized, written
+from .words import CACHES
 
 SIZE = 2048
 END = 0
 #: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBER = 600_000
+REMEMBER = 800_000
+
+_encoders: dict[str, Encoder] = {}
 
 #: str.split() also divides at these, which the tokenizer takes as text.
 _CONTROLS = re.compile("[\x1c-\x1f]")
@@ -99,13 +102,21 @@ class Encoder:
         return b"".join(ids)
 
 
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for its tasks of this operator: what it knows serves them all."""
+    if path not in _encoders:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
+        _encoders[path] = Encoder(path)
+        CACHES.append(_encoders[path].known)
+    return _encoders[path]
+
+
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
     """Per piece: doc_id, row (which of the rows of its Arrow batch), piece, start, length, ids_crc32."""
     path = path or vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core already
-        enc = Encoder(path)  # a task's own: its memory goes with it
+        enc = encoder(path)
         end = struct.pack("<I", END)
         row = 0
         for b in it:

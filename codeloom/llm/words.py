@@ -30,6 +30,9 @@ LOWER[0x41:0x5B] += 0x20
 
 _powers: list[np.ndarray] = []
 
+#: What a worker keeps between the tasks of one operator; dropped when it turns to another (see batches).
+CACHES: list[dict] = []
+
 
 def _pow(n: int) -> tuple[np.ndarray, np.ndarray]:
     """M**i and M**-i for i < n."""
@@ -113,6 +116,8 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
 
 def batches(it: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the bytes and offsets of their texts."""
+    for c in CACHES:
+        c.clear()
     for b in it:
         data, off = buffers(b.column(b.schema.get_field_index(text)))
         for i, j in chunks(off):
