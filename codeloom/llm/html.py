@@ -39,6 +39,7 @@ CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|main|body|story
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
@@ -84,7 +85,10 @@ def parse(html: str) -> Node:
         if tag in RAW:  # its content is not markup
             if not rest.rstrip().endswith("/"):
                 end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                at = end.end() if end else n
+                if end or tag != "title":  # a title that never ends ends with the next tag
+                    at = end.end() if end else n
+                else:
+                    at = html.find("<", at) if "<" in html[at:] else n
             continue
         names = ""
         if "=" in rest or "hidden" in rest:
@@ -125,9 +129,14 @@ def parse(html: str) -> Node:
 
 
 def _furniture(x: Node) -> bool:
-    if x.tag in BOILER and not (x.tag == "header" and x.parent is not None and x.parent.tag == "article"):
+    if x.tag == "header":  # an article's own one belongs to it
+        up = x.parent
+        while up is not None and up.tag != "article":
+            up = up.parent
+        return up is None
+    if x.tag in BOILER:
         return True
-    return bool(x.names) and x.tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(x.names))
+    return bool(x.names) and x.tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(_CAMEL.sub("-", x.names)))
 
 
 def _measure(root: Node) -> list[Node]:
