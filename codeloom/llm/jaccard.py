@@ -375,11 +375,13 @@ def join(docs: DataFrame) -> DataFrame:
     pairs = pairs.groupBy("doc1", "doc2").agg(F.count("*").alias("n"), F.max(F.greatest("need1", "need2")).alias("need")).where("n >= need")
     pairs = possible(pairs.select(F.col("doc1").alias("a"), F.col("doc2").alias("b"), "n"), counted).select("a", "b")
     if not many.isEmpty():
-        about = many.groupBy("doc").agg(F.collect_list("sig").alias("sigs"))
-        fine = texts.join(sized(written(about.select(F.col("doc").alias("doc_id")))), "doc_id", "left_semi").mapInArrow(_fine, "doc bigint, counts binary")
-        blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-        dealt = many.join(written(about.join(fine, "doc")), "doc").withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        dealt = dealt.select("sig", "doc", "size", "c", "sigs", "counts", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        about = written(many.groupBy("doc").agg(F.collect_list(F.struct("sig", "m")).alias("groups"), F.max("size").alias("size"), F.max("c").alias("c")))
+        fine = texts.join(sized(about.select(F.col("doc").alias("doc_id"))), "doc_id", "left_semi").mapInArrow(_fine, "doc bigint, counts binary")
+        # a row per set is joined, and only then dealt to its groups and their pairs of blocks
+        dealt = about.join(fine, "doc").select("doc", "size", "c", "counts", F.transform("groups", lambda x: x["sig"]).alias("sigs"), F.explode("groups").alias("g"))
+        blocks = F.ceil(F.col("g.m") / BLOCK).cast("int")
+        dealt = dealt.withColumn("own", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select(F.col("g.sig").alias("sig"), "doc", "size", "c", "sigs", "counts", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
         pairs = pairs.union(dealt.groupBy("sig", "i", "j").applyInPandas(_within, "a bigint, b bigint"))
     rest = verified(texts, pairs.select("a", "b"))
     if not rest.isEmpty():
