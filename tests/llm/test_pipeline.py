@@ -6,7 +6,7 @@ import corpus_pipeline as cp
 from codeloom.llm import jaccard, quality, secrets
 from codeloom.llm.common import read, written
 
-from .test_pairs import roots, shingles
+from test_pairs import roots, shingles
 
 
 def test_stages(spark, sf_dir):
