@@ -38,7 +38,7 @@ END = 0
 #: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBER = 600_000
+REMEMBER = 800_000
 
 _encoders: dict[str, Encoder] = {}
 
