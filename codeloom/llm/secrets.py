@@ -57,7 +57,6 @@ def _table(chars: str) -> np.ndarray:
 
 
 _DIGIT, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-_IS_HEX = _table("0123456789abcdef")
 _IS_TOKEN = _table(_DIGIT + _LOWER + _UPPER + "+/_=-")
 #: Encodings, narrowest first; a token has the first that holds all its characters.
 ENCODINGS = (("digits", _DIGIT), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("lower", _LOWER), ("upper", _UPPER), ("base32", _UPPER + "234567"), ("base36", _LOWER + _DIGIT), ("letters", _UPPER + _LOWER), ("alnum", _UPPER + _LOWER + _DIGIT), ("base64", _UPPER + _LOWER + _DIGIT + "+/"), ("base64url", _UPPER + _LOWER + _DIGIT + "-_"), ("mixed", _UPPER + _LOWER + _DIGIT + "+/-_"))
@@ -95,11 +94,13 @@ def randomness(token: bytes) -> tuple[str, float]:
     return name, float(max(abs(z_chi), abs(z_runs), abs(z_serial)))
 
 
-def _long_runs(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _long_runs(mask: np.ndarray, least: int, off: np.ndarray) -> np.ndarray:
+    """Starts of the runs of `least` or more set places; a run ends where a text does (off: the texts' limits)."""
     edge = np.flatnonzero(np.diff(mask.astype(np.int8), prepend=0, append=0))
-    s, e = edge[::2], edge[1::2]
-    keep = e - s >= least
-    return s[keep], e[keep]
+    inner = np.unique(off[(off > 0) & (off < len(mask))])
+    cut = inner[mask[inner] & mask[inner - 1]]
+    s, e = np.sort(np.concatenate([edge[::2], cut])), np.sort(np.concatenate([edge[1::2], cut]))
+    return s[e - s >= least]
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -122,20 +123,17 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     base_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
     tok_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("class", pa.int32()), ("bin", pa.int32()), ("null", pa.bool_())]))
     for b, data, off in batches(it):
-        # documents that may hold something, found on the bytes of the whole chunk
-        hex_at, _ = _long_runs(_IS_HEX[data], 24)
-        tok_at, tok_end = _long_runs(_IS_TOKEN[data], MIN_RANDOM)
+        # documents that may hold something, found on the bytes of the whole chunk (a hex run is a token run too)
+        tok_at = _long_runs(_IS_TOKEN[data], MIN_RANDOM, off)
         raw = data.tobytes()
         low = raw.lower()
         ids = b.column(b.schema.get_field_index("doc_id")).to_pylist()
-        first = np.searchsorted(tok_at, off)  # a run may span two documents: its parts are looked up again below
-        spill = set((np.searchsorted(off, tok_at, "right") - 1).tolist()) | set((np.searchsorted(off, tok_end - 1, "right") - 1).tolist())
-        spill |= set((np.searchsorted(off, hex_at, "right") - 1).tolist())
+        first = np.searchsorted(tok_at, off)
         col, bases, toks = [], [], []
         for i, doc in enumerate(ids):
             s, e = int(off[i]), int(off[i + 1])
             named = any(low.find(x.encode(), s, e) >= 0 for x in _NAMES)
-            if not (named or i in spill or first[i] < first[i + 1] or raw.find(b"AKIA", s, e) >= 0):
+            if not (named or first[i] < first[i + 1] or raw.find(b"AKIA", s, e) >= 0):
                 col.append(doc), bases.append([]), toks.append([])
                 continue
             text = raw[s:e].decode()

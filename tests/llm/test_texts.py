@@ -81,6 +81,14 @@ def test_secrets_scan_and_redact(docs_of):
     assert secrets.scan(docs_of([]).limit(0)).collect() == []
 
 
+def test_bare_key_between_texts_is_scanned(spark, docs_of):
+    """A text that is one key, whose neighbours end and begin with token characters (or are empty), in one Arrow batch."""
+    key = "9f86d081884c7d659a2feaa0c55ad015"
+    rows = [(1, "the last word abide"), (2, key), (3, ""), (4, key[:12]), (5, key[12:]), (6, None), (7, key), (8, key), (9, "The next ...")]
+    got = {x.doc_id: [(s.start, s.end, s.kind) for s in x.spans] for x in secrets.scan(docs_of(rows).coalesce(1)).collect()}
+    assert {i: v for i, v in got.items() if v} == {2: [(0, 32, 2)], 7: [(0, 32, 2)], 8: [(0, 32, 2)]}
+
+
 def test_thresholds_keep_false_discoveries_low():
     assert secrets.thresholds([(0, b, True, 100) for b in range(20)] + [(0, 0, False, 5)]) == {0: 0}
     assert secrets.thresholds([(0, b, True, 100) for b in range(20, 40)] + [(0, 0, False, 50), (0, 30, False, 50)])[0] in range(1, 21)
