@@ -9,14 +9,19 @@ Kinds (leftmost matches that do not overlap, per kind; failing matches are dropp
 - random: added by the tests, outside the spans above; digits alone are numbers, not keys.
 
 Tests: a candidate is a run of [A-Za-z0-9+/_=-] of MIN_RANDOM or more characters. Its encoding (digits,
-hex, base32, letters or base64) is inferred from its characters. Under uniform random text of
-that encoding three z values are near 0: chi-squared of the characters' counts, the number of runs
-of values above and below the middle, and the lag-one serial correlation. The score is the largest
-departure. Words of letters only are the null: they are not secrets, and their scores give, per
-length class, the chance that an ordinary word looks as random as a candidate. Within each length
-class the Benjamini-Hochberg step-up rule over all candidates of the corpus picks the threshold, so
-that about ALPHA of what is reported there is ordinary. Both counts are taken over all
-documents, as a table of bounded size (length classes x encodings x score bins).
+hex, base32, base36, base62 or base64) is inferred from its characters; letters alone are held against the
+encoding of keys they would be taken for (lower case: base36, upper case: base32, both: base62). Under
+uniform random text of that encoding five z values are near 0: chi-squared of the characters' counts,
+chi-squared of the counts of the classes (digits, lower, upper, other), the number of changes of class, the
+number of runs of values above and below the middle, and the lag-one serial correlation. The score is the
+largest departure. Ordinary tokens are words and compounds of words and numbers whose parts are long
+(`ordinary`); they are never reported. Those without digits are the null: they are scored as candidates are
+and give, per length class, the chance that an ordinary token looks as random as a candidate. Other length classes speak too, their scores scaled
+by the root of the length (as departures grow), the less the more ordinary tokens a class has of its own. Within each
+length class the Benjamini-Hochberg step-up rule over all candidates of the corpus picks the threshold, so
+that about ALPHA of what is reported there is ordinary. Both counts are taken over all documents, as a table
+of bounded size (length classes x encodings x score bins). The chance is never taken below one in the number
+of ordinary tokens: a corpus with fewer than 1 / ALPHA of them reports no random token.
 
 Cost: one pass over the texts in Arrow batches gives a row per document with a span or a candidate;
 that table is small and is written once. No text is shuffled.
@@ -40,7 +45,7 @@ ALPHA = 0.01
 MIN_RANDOM = 16
 #: Scores above this many standard deviations share a bin; bins are this wide.
 BIN, BINS = 0.25, 64
-#: Ordinary words of a length class that suffice to judge it alone.
+#: With so many ordinary tokens of its own, a length class gives those of the others half their weight.
 ENOUGH = 1000
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
@@ -59,12 +64,25 @@ def _table(chars: str) -> np.ndarray:
 _DIGIT, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _IS_TOKEN = _table(_DIGIT + _LOWER + _UPPER + "+/_=-")
 #: Encodings, narrowest first; a token has the first that holds all its characters.
-ENCODINGS = (("digits", _DIGIT), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("lower", _LOWER), ("upper", _UPPER), ("base32", _UPPER + "234567"), ("base36", _LOWER + _DIGIT), ("letters", _UPPER + _LOWER), ("alnum", _UPPER + _LOWER + _DIGIT), ("base64", _UPPER + _LOWER + _DIGIT + "+/"), ("base64url", _UPPER + _LOWER + _DIGIT + "-_"), ("mixed", _UPPER + _LOWER + _DIGIT + "+/-_"))
+ENCODINGS = (("digits", _DIGIT), ("hex", "0123456789abcdef"), ("HEX", "0123456789ABCDEF"), ("base32", _UPPER + "234567"), ("base36", _LOWER + _DIGIT), ("BASE36", _UPPER + _DIGIT), ("alnum", _UPPER + _LOWER + _DIGIT), ("base64", _UPPER + _LOWER + _DIGIT + "+/"), ("base64url", _UPPER + _LOWER + _DIGIT + "-_"), ("mixed", _UPPER + _LOWER + _DIGIT + "+/-_"))
+_CLASS = np.full(256, 3, dtype=np.int64)
+for _i, _chars in enumerate((_DIGIT, _LOWER, _UPPER)):
+    _CLASS[list(_chars.encode())] = _i
+#: A part of a compound: a word, upper-case letters, or a number.
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[A-Z]|[0-9]+")
 _RANK = []
 for _, _chars in ENCODINGS:
     _r = np.full(256, -1, dtype=np.int64)
     _r[list(_chars.encode())] = np.arange(len(_chars))
     _RANK.append(_r)
+#: By encoding, the share of each class among its characters.
+_SHARE = [np.bincount(_CLASS[list(c.encode())], minlength=4) / len(c) for _, c in ENCODINGS]
+
+
+def ordinary(token: str) -> bool:
+    """Whether a token is a word, or a compound whose parts (words, numbers) have 3 characters on average, 5 if some are digits."""
+    parts = _PART.findall(token)
+    return sum(map(len, parts)) >= (5 if any(p.isdigit() for p in parts) else 3) * max(len(parts), 1)
 
 
 def randomness(token: bytes) -> tuple[str, float]:
@@ -72,7 +90,7 @@ def randomness(token: bytes) -> tuple[str, float]:
 
     Padding (=) at the end is left out. Shorter than 2 characters, or of one character only: far from random."""
     b = np.frombuffer(token.rstrip(b"="), dtype=np.uint8)
-    for (name, chars), rank in zip(ENCODINGS, _RANK, strict=True):
+    for (name, chars), rank, share in zip(ENCODINGS, _RANK, _SHARE, strict=True):
         v = rank[b]
         if v.min(initial=0) >= 0:
             break
@@ -91,7 +109,18 @@ def randomness(token: bytes) -> tuple[str, float]:
     z_runs = (runs - expected) / max(np.sqrt(max((expected - 1) * (expected - 2) / (n - 1), 0)), 0.5)
     c = v - v.mean()
     z_serial = float((c[1:] * c[:-1]).sum() / (c * c).sum()) * np.sqrt(n) + 1 / np.sqrt(n)
-    return name, float(max(abs(z_chi), abs(z_runs), abs(z_serial)))
+    z_class = z_change = 0.0
+    some = share > 0
+    if some.sum() > 1:
+        cls = _CLASS[b]
+        # chi-squared of few degrees of freedom by its cube root; only too large counts
+        free, want = int(some.sum()) - 1, n * share[some]
+        x = float(((np.bincount(cls, minlength=4)[some] - want) ** 2 / want).sum())
+        z_class = max(0.0, ((x / free) ** (1 / 3) - (1 - 2 / (9 * free))) / np.sqrt(2 / (9 * free)))
+        same = float((share**2).sum())
+        spread = (n - 1) * same * (1 - same) + 2 * (n - 2) * (float((share**3).sum()) - same**2)
+        z_change = (int((cls[1:] != cls[:-1]).sum()) - (n - 1) * (1 - same)) / np.sqrt(spread)
+    return name, float(max(abs(z_chi), abs(z_runs), abs(z_serial), z_class, abs(z_change)))
 
 
 def _long_runs(mask: np.ndarray, least: int, off: np.ndarray) -> np.ndarray:
@@ -145,8 +174,11 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     continue
                 if m.group().isdigit():
                     continue
+                usual = ordinary(m.group())
+                if usual and any(c.isdigit() for c in m.group()):
+                    continue
                 name, score = randomness(m.group().encode())
-                found.append({"start": x, "end": y, "encoding": name, "class": _length_class(y - x), "bin": min(int(score / BIN), BINS), "null": m.group().isalpha() and name in ("lower", "upper", "letters")})
+                found.append({"start": x, "end": y, "encoding": name, "class": _length_class(y - x), "bin": min(int(score / BIN), BINS), "null": usual})
             col.append(doc), bases.append([{"start": x, "end": y, "kind": k} for x, y, k in base]), toks.append(found)
         yield pa.RecordBatch.from_arrays([pa.array(col, pa.int64()), pa.array(bases, base_t), pa.array(toks, tok_t)], names=["doc_id", "base", "tokens"])
 
@@ -154,19 +186,19 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def thresholds(counts: list[tuple[int, int, bool, int]], alpha: float = ALPHA) -> dict[int, int]:
     """By length class, the number of score bins that are reported (from 0 up), by Benjamini-Hochberg.
 
-    counts: (class, bin, null, number). The chance of an ordinary word of the class to score in the
-    first b bins, with one added word that does (so it is never 0), is the candidates' p value."""
+    counts: (class, bin, null, number). The chance of an ordinary token of the class to score in the
+    first b bins, with one added token that does (so it is never 0), is the candidates' p value."""
     out = {}
     tables = {k: np.zeros((2, BINS + 1)) for k in {x[0] for x in counts}}
     for k, b, is_null, n in counts:
         tables[k][0 if is_null else 1, b] += n
     for c in sorted(tables):
         null, other = tables[c][0].copy(), tables[c][1]
-        if null.sum() < ENOUGH:  # shorter words speak for longer ones, whose departures grow as the root of the length at least
-            for j in tables:
-                if j < c:
-                    grown = np.minimum(np.arange(BINS + 1) * 2 ** ((c - j) / 4), BINS).astype(int)
-                    null += np.bincount(grown, weights=tables[j][0], minlength=BINS + 1)
+        weight = ENOUGH / (ENOUGH + null.sum())
+        for j in tables:
+            if j != c:  # departures grow as the root of the length; a length class is the root of 2 longer than the one before
+                grown = np.minimum(np.arange(BINS + 1) * 2 ** ((c - j) / 4), BINS).astype(int)
+                null += weight * np.bincount(grown, weights=tables[j][0], minlength=BINS + 1)
         p = (np.cumsum(null) + 1) / (null.sum() + 1)
         seen = np.cumsum(other)
         ok = np.flatnonzero((seen > 0) & (p * other.sum() <= alpha * seen))

@@ -89,6 +89,25 @@ def test_bare_key_between_texts_is_scanned(spark, docs_of):
     assert {i: v for i, v in got.items() if v} == {2: [(0, 32, 2)], 7: [(0, 32, 2)], 8: [(0, 32, 2)]}
 
 
+LONG_WORDS = """internationalization incomprehensible electromagnetism counterrevolutionary misunderstanding uncharacteristically telecommunications
+responsibilities Geschwindigkeitsbegrenzung Verantwortungsbewusstsein Krankenversicherung Lebensmittelgeschaeft Weihnachtsgeschenke Bundesverfassungsgericht
+Arbeitslosenversicherung responsabilidades desafortunadamente internacionalmente electrodomesticos anticonstitutionnellement gouvernementales
+professionnellement extraordinairement getElementsByTagName AbstractSingletonProxyFactoryBean state-of-the-art-design Jean-Jacques-Rousseau
+snake_case_identifier INTERNATIONALIZATION src/main/java/com/example/App application/x-www-form-urlencoded backgroundcolor2 windows10version""".split()
+
+
+def test_keys_among_long_words_are_reported(docs_of):
+    """Keys of 16 to 64 characters among ordinary long words of real languages, at every length, and no word with them."""
+    r = np.random.default_rng(5)
+    chars = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+    keys = {n: ["".join(r.choice(chars, n)) for _ in range(40)] for n in (16, 20, 24, 32, 40, 64)}
+    rows = [(i, " ".join(LONG_WORDS)) for i in range(40)] + [(1000 * n + i, f"key {k} end") for n, v in keys.items() for i, k in enumerate(v)]
+    found = {x.doc_id for x in secrets.scan(docs_of(rows)).collect() if x.spans}
+    recall = {n: sum(1000 * n + i in found for i in range(40)) / 40 for n in keys}
+    assert all(v >= 0.8 for v in recall.values()), recall
+    assert not any(i in found for i in range(40))
+
+
 def test_thresholds_keep_false_discoveries_low():
     assert secrets.thresholds([(0, b, True, 100) for b in range(20)] + [(0, 0, False, 5)]) == {0: 0}
     assert secrets.thresholds([(0, b, True, 100) for b in range(20, 40)] + [(0, 0, False, 50), (0, 30, False, 50)])[0] in range(1, 21)
