@@ -1,7 +1,8 @@
 """Main text of web pages by tree scoring.
 
-The page becomes a tree of elements and text. Scripts, styles, comments, forms and the like are not
-read. Every paragraph-like block gives points for its length and its commas to its parent and,
+The page becomes a tree of elements and text. Scripts, styles, comments and the like are not read; forms, labels
+and hidden elements are left out unless they hold most of the page. Names (class, id, role) mark menus, adverts, notices
+and comments, but not an element that holds the article or much of the page's text; if almost nothing is left, names do not count. Every paragraph-like block gives points for its length and its commas to its parent and,
 halved, to its grandparent and so on (discounted at each level). A container's score is its points
 times (1 - the share of its text inside links), with a bonus or malus for its tag and names. The
 best container is kept with those of its siblings that score well or read like prose; inside them
@@ -25,7 +26,8 @@ from .common import read
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SKIP = frozenset("script style noscript template iframe object svg math head title form button select textarea fieldset label dialog canvas audio video".split())
+HARD = frozenset("script style noscript template iframe object svg math title select textarea canvas audio video".split())
+SOFT = frozenset("form button fieldset label dialog".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 BOILER = frozenset("nav header footer aside menu".split())
@@ -34,7 +36,12 @@ CLOSES_P = frozenset("address article aside blockquote center details div dl fie
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 PARAGRAPH = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-FURNITURE = re.compile(r"(?:^|[-_\s])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|tags?|comments?|comment-?list|disqus|respond|replies|footer|foot|header|masthead|copyright|legal|login|search)(?:$|[-_\s\d])", re.I)
+_FURNITURE = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|tags?|comments?|comment-?list|disqus|respond|replies|footer|foot|header|masthead|copyright|legal|login|search)"
+FURNITURE = re.compile(rf"(?:^|[-_]){_FURNITURE}(?:$|[-_\\d])", re.I)
+WHOLE = re.compile(rf"{_FURNITURE}[-_\\d]*", re.I)
+COMMENTS = re.compile(r"(?:^|[-_])(?:comments?|disqus|respond|replies)(?:$|[-_\\d])", re.I)
+#: A class word that begins so tells of a page's layout or subject, not of the element's role.
+STATE = re.compile(r"(?:has|with|without|no|not|is|tag)[-_]", re.I)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|main|body|story|text|page)(?:$|[-_\s\d])", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -43,32 +50,28 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("children", "names", "parent", "points", "tag", "text_len", "link_len")
+    __slots__ = ("children", "core", "drop", "link_len", "names", "parent", "points", "size", "skip", "tag", "text_len")
 
     def __init__(self, tag: str, names: str, parent: Node | None) -> None:
         self.tag, self.names, self.parent, self.children, self.points, self.text_len, self.link_len = tag, names, parent, [], 0.0, 0, 0
+        self.skip, self.drop, self.core, self.size = "hard" if tag in HARD else "soft" if tag in SOFT else "", "", False, 0
 
 
 def parse(html: str) -> Node:
-    """The tree of a page: children are nodes or strings (not decoded); what is in SKIP is left out."""
+    """The tree of a page: children are nodes or strings (not decoded); what is in RAW is left out."""
     root = cur = Node("#root", "", None)
-    at, n, skip = 0, len(html), 0
-    skip_tag = ""
+    at, n = 0, len(html)
     while at < n:
         m = _TAG.search(html, at)
         if not m:
             break
-        if not skip and m.start() > at:
+        if m.start() > at:
             cur.children.append(html[at : m.start()])
         at = m.end()
         tag = m.group(1)
         if tag is None:
             continue
         tag, closing = tag.lower(), html[m.start() + 1] == "/"
-        if skip:
-            if tag == skip_tag:
-                skip += -1 if closing else (0 if m.group(2).rstrip().endswith("/") else 1)
-            continue
         if closing:
             x = cur
             while x is not root and x.tag != tag:
@@ -100,10 +103,7 @@ def parse(html: str) -> Node:
         if tag in VOID or rest.rstrip().endswith("/") and tag not in CLOSES_P:
             cur.children.append(Node(tag, names, cur))
             continue
-        if tag in SKIP or names == "hidden":
-            if tag == "head":  # its end tag may be missing
-                continue
-            skip, skip_tag = 1, tag
+        if tag == "head":  # its end tag may be missing
             continue
         if tag in CLOSES_P:  # an open p ends, with the inline elements in it
             x = cur
@@ -121,14 +121,16 @@ def parse(html: str) -> Node:
                     cur = x.parent
                 x = x.parent
         node = Node(tag, names, cur)
+        if names == "hidden" and tag not in HARD and tag not in ("html", "body"):
+            node.skip = "hidden"
         cur.children.append(node)
         cur = node
-    if at < n and not skip:
+    if at < n:
         cur.children.append(html[at:])
     return root
 
 
-def _furniture(x: Node) -> bool:
+def _furniture(x: Node, total: int) -> bool:
     if x.tag == "header":  # an article's own one belongs to it
         up = x.parent
         while up is not None and up.tag != "article":
@@ -136,7 +138,42 @@ def _furniture(x: Node) -> bool:
         return up is None
     if x.tag in BOILER:
         return True
-    return bool(x.names) and x.tag not in ("body", "html", "article", "main") and bool(FURNITURE.search(_CAMEL.sub("-", x.names)))
+    if not x.names or x.tag in ("body", "html", "article", "main"):
+        return False
+    words = [w for w in _CAMEL.sub("-", x.names).split() if FURNITURE.search(w) and not STATE.match(w)]
+    if not words or x.core and x.size > 0.1 * total:
+        return False
+    if any(COMMENTS.search(w) for w in words):
+        return True
+    return x.size <= (0.5 if any(WHOLE.fullmatch(w) for w in words) else 0.2) * total
+
+
+def _judge(root: Node, by_name: bool) -> int:
+    """Sets drop ("skip", "furniture" or "") of every element; returns the length of the page's text.
+
+    size: text in an element, what is never read left out; core: it holds an article, main or h1."""
+    order, stack = [], [root]
+    while stack:
+        x = stack.pop()
+        order.append(x)
+        x.core = x.tag in ("main", "h1") or x.tag == "article" and not any(COMMENTS.search(w) for w in _CAMEL.sub("-", x.names).split())
+        x.size = sum(len(c.strip()) for c in x.children if isinstance(c, str))
+        stack.extend(c for c in x.children if isinstance(c, Node) and c.skip != "hard")
+        for c in x.children:
+            if isinstance(c, Node) and c.skip == "hard":
+                c.drop = "skip"
+    for x in reversed(order):
+        if x.parent is not None:
+            x.parent.size += x.size
+            x.parent.core |= x.core
+    total = root.size
+    for x in order:
+        x.drop = ""
+        if x.skip == "hidden" and not (x.core and x.size > 0.5 * total) or x.skip == "soft" and x.size <= 0.5 * total and not (x.core and x.size > 0.25 * total):
+            x.drop = "skip"
+        elif by_name and _furniture(x, total):
+            x.drop = "furniture"
+    return total
 
 
 def _measure(root: Node) -> list[Node]:
@@ -145,7 +182,9 @@ def _measure(root: Node) -> list[Node]:
     while stack:
         x = stack.pop()
         order.append(x)
-        stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not _furniture(c))
+        stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not c.drop)
+    for x in order:
+        x.points, x.text_len, x.link_len = 0.0, 0, 0
     for x in reversed(order):
         own = commas = 0
         for c in x.children:
@@ -199,7 +238,9 @@ def _blocks(x: Node) -> list[str]:
             cur.append(c)
         elif c.tag == "br":
             cur.append(" ")
-        elif c is not x and (_furniture(c) or c.tag in ("ul", "ol", "div", "table") and c.text_len > 0 and c.link_len > 0.6 * c.text_len):
+        elif c.drop == "skip":
+            continue
+        elif c is not x and (c.drop or c.tag in ("ul", "ol", "div", "table") and c.text_len > 0 and c.link_len > 0.6 * c.text_len):
             if c.tag not in INLINE:
                 flush()
         else:
@@ -215,6 +256,15 @@ def _blocks(x: Node) -> list[str]:
 def main_text(html: str) -> str:
     """The main text: blocks joined by two line feeds ("" for an empty page or one without text)."""
     root = parse(html)
+    total = _judge(root, True)
+    text = _main(root)
+    if len(text) < 0.1 * total and len(text) < 200:  # almost nothing is left: names and tags of furniture do not count
+        _judge(root, False)
+        text = max(text, _main(root), key=len)
+    return text
+
+
+def _main(root: Node) -> str:
     order = _measure(root)
     held = [x for x in order if x.points > 0 and x.tag not in INLINE]
     if not held:  # no paragraph at all: the element article or main, or else the whole page
@@ -234,7 +284,7 @@ def main_text(html: str) -> str:
         for s in best.parent.children:
             if s is best:
                 keep.append(s)
-            elif isinstance(s, Node) and not _furniture(s):
+            elif isinstance(s, Node) and not s.drop:
                 links = s.link_len / s.text_len if s.text_len else 0
                 prose = s.tag in PARAGRAPH and (s.tag in HEADING or s.text_len > 80 and links < 0.25 or 0 < s.text_len and links == 0)
                 if _score(s) > max(2.0, top * 0.2) or prose and links < 0.5:

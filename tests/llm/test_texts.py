@@ -130,6 +130,33 @@ def test_main_text():
     assert html.main_text("<div><p>" * 3000 + "deep, text, that is long enough to count for something") .startswith("deep")
 
 
+STORY = "".join(f"<p>Paragraph {i} of the article, with commas, and enough words to be read as prose by anyone.</p>" for i in range(6))
+ASIDE = '<div id="footer"><p>Imprint, and the like</p></div>'
+LAYOUTS = [
+    f'<body><div class="post-12 post type-post category-news tag-economy">{STORY}</div>{ASIDE}</body>',
+    f'<body><div class="content-sidebar-wrap"><main>{STORY}</main><div class="sidebar"><p>Other things, to read</p></div></div>{ASIDE}</body>',
+    f'<body><div class="layout has-sidebar"><div class="content">{STORY}</div></div>{ASIDE}</body>',
+    f'<body><form id="aspnetForm"><div>{STORY}</div><label>Mail</label></form>{ASIDE}</body>',
+    f'<body><div><form action=x><input></div><div>{STORY}</div>{ASIDE}</body>',
+    f'<body><div><label>Name</div><div><button>Go</div><div>{STORY}</div>{ASIDE}</body>',
+    f'<body><form action=x><input><div>{STORY}</div>{ASIDE}</body>',
+    f'<body><p hidden>not seen<div>{STORY}</div>{ASIDE}</body>',
+    f'<body><div class="modal">{STORY}</div></body>',
+    f'<body><aside>{STORY}</aside></body>',
+]
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_articles_in_common_layouts_stay_whole(page):
+    assert html.main_text(page).split("\n\n") == re.findall("<p>(.*?)</p>", STORY)
+
+
+def test_furniture_is_still_left_out():
+    talk = "".join(f'<li><article class="comment-body"><p>Comment {i}, long, longer, and longer than any paragraph of the story is, to be sure.</p></article></li>' for i in range(20))
+    page = f'<div class="site-header"><h1>Site</h1></div><div class="entry">{STORY}<form><p>Mail, please, every week</p></form></div><div id="comments"><ol>{talk}</ol></div>{ASIDE}'
+    assert html.main_text(page).split("\n\n") == re.findall("<p>(.*?)</p>", STORY)
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE, "x"), (2, None, None, "x"), (None, "u", "", "x"), (1, "u", PAGE, "x")]
     got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")).collect()
