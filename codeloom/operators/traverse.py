@@ -54,9 +54,9 @@ def lengths(edges: DataFrame, seeds: DataFrame, depth: int, state: dict[str, F.C
     return reduce(DataFrame.unionByName, levels)
 
 
-def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, per_parent: int, order: str = "dst") -> DataFrame:
-    """(path array, node, depth): all paths without a repeated node, each node's children cut to the first
-    `per_parent` in the order of `order` (a feature of call trees). seeds: node."""
+def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, per_parent: int | None = None, order: str = "dst") -> DataFrame:
+    """(path array, node, depth): all paths without a repeated node; with per_parent, each node's children are cut to
+    the first so many in the order of `order` (for display). seeds: node."""
     from pyspark.sql import Window
 
     frontier = written(seeds.select(F.array("node").alias("path"), "node", F.lit(0).alias("depth")))
@@ -64,7 +64,8 @@ def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, per_parent: int
     e = edges.select(F.col("src").alias("node"), "dst").distinct()
     for d in range(1, depth + 1):
         step = frontier.join(e, "node").where(~F.array_contains("path", F.col("dst")))
-        step = step.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(order))).where(F.col("rn") <= per_parent)
+        if per_parent is not None:
+            step = step.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(order))).where(F.col("rn") <= per_parent)
         frontier = written(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), F.lit(d).alias("depth")))
         if frontier.isEmpty():
             break

@@ -249,10 +249,10 @@ def _jqa07(g: Graph) -> DataFrame:
     return dependents(g, start_type(g), 3).join(g.type.select(F.col("type_id").alias("node"), F.col("fqn").alias("class_fqn")), "node").select(F.col("depth").cast("long").alias("level"), "class_fqn")
 
 
-def call_tree(g: Graph, methods: DataFrame, depth: int = 4, per_parent: int = 80, leaves: int = 5) -> DataFrame:
+def call_tree(g: Graph, methods: DataFrame, depth: int = 4, per_parent: int | None = None, leaves: int = 5) -> DataFrame:
     """The call tree as rows: path (method ids from the root, joined by /), depth, node_type, name.
 
-    A method's children: the methods it calls, at most per_parent of them, and, of an interface's method, the implementations; none
+    A method's children: the methods it calls and, of an interface's method, the implementations (at most per_parent, if given); none
     that is an ancestor. Leaves: its Dubbo calls, and at most `leaves` tables reached over 1-3 CALLS or DB_CALL."""
     child = g.calls("CALLS").select("src", "dst").union(_same_name_impl(g, g.method.select(F.col("method_id").alias("iface_method"))))
     nodes = simple_paths(child, methods, depth, per_parent)
@@ -293,7 +293,7 @@ def _trv10(g: Graph) -> DataFrame:
 @on_graph("trv_23_tree_class_stats", f"""WITH {START}, {_TREE} SELECT y.fqn AS class_fqn, count(*) AS call_count, count(DISTINCT m.name) AS n_methods FROM t JOIN fx_method m ON m.method_id = t.node JOIN fx_type y ON y.type_id = m.type_id GROUP BY y.fqn""")
 def _trv23(g: Graph) -> DataFrame:
     child = g.calls("CALLS").select("src", "dst").union(_same_name_impl(g, g.method.select(F.col("method_id").alias("iface_method"))))
-    nodes = simple_paths(child, start(g).select("node"), 4, 80).select(F.col("node").alias("method_id"))
+    nodes = simple_paths(child, start(g).select("node"), 4).select(F.col("node").alias("method_id"))
     return nodes.join(g.owned, "method_id").groupBy(F.col("fqn").alias("class_fqn")).agg(F.count("*").alias("call_count"), F.countDistinct("name").alias("n_methods"))
 
 

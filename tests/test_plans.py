@@ -65,6 +65,22 @@ def test_simple_paths_repeat_no_ancestor(spark, edges):
     assert {tuple(r.path) for r in simple_paths(edges, _seed(spark, 2).select("node"), 1, 1).collect()} == {(2,), (2, 3)}
 
 
+def test_trees_keep_every_child_of_a_hub(spark, monkeypatch):
+    """A method that calls 100 others: all are in the tree, and in the class statistics."""
+    from types import SimpleNamespace
+
+    from codeloom.plans import chain
+
+    call = spark.createDataFrame([(0, i) for i in range(1, 101)], "src bigint, dst bigint")
+    owned = spark.range(101).select(F.col("id").alias("method_id"), F.lit(1).cast("long").alias("type_id"), F.lit("a.A").alias("fqn"), F.concat(F.lit("m"), "id").alias("name"), F.col("id").cast("string").alias("signature"), F.lit("CLASS").alias("kind"))
+    none = spark.createDataFrame([], "type_id bigint, src bigint, dst bigint, table_name string, fqn string, kind string")
+    g = SimpleNamespace(calls=lambda *k: call.where(F.lit("CALLS" in k)), method=owned, owned=owned, mapper_table=none.select("src", "table_name"), type=none.select("type_id", "fqn", "kind"))
+    monkeypatch.setattr(chain, "_same_name_impl", lambda g, m: none.select("src", "dst"))
+    monkeypatch.setattr(chain, "start", lambda g: spark.createDataFrame([(0,)], "node bigint"))
+    assert chain.call_tree(g, chain.start(g)).count() == 101
+    assert [(r.call_count, r.n_methods) for r in chain._trv23(g).collect()] == [(101, 101)]
+
+
 def test_on_paths(spark, edges):
     one = lambda n: _seed(spark, n).select("node")
     assert {(r.src, r.dst) for r in on_paths(edges, one(1), one(5), 3).collect()} == {(1, 2), (2, 4), (4, 5)}
