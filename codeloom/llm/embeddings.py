@@ -96,8 +96,9 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
     ok = ids.where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.exists("v", lambda x: x != 0))
     keyed = written(ok.withColumn("h", F.xxhash64("v")).withColumn("g", F.hash("v")))
-    one = written(keyed.groupBy("h", "g").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")))
-    reps = keyed.join(sized(one), ["h", "g"]).where("vec_id = rep").dropDuplicates(["rep"]).select("rep", "copies", "v")
+    # rep is the number of a distinct vector (different vectors may have one vec_id), low its smallest vec_id
+    one = written(keyed.groupBy("h", "g").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies")).withColumn("rep", F.monotonically_increasing_id()))
+    reps = keyed.join(sized(one), ["h", "g"]).where("vec_id = low").dropDuplicates(["rep"]).select("rep", "copies", "v")
     n = one.count()
     bits, n_tables = tables(n, threshold)
     passing = least_collisions()
@@ -167,9 +168,14 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     found = written(of.groupBy("dim", "t", "code", "i", "j").applyInPandas(count, "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per = one.join(sized(links), "rep", "left").join(sized(comp.withColumnRenamed("id", "rep")), "rep", "left")
-    per = per.select("h", "g", "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    # the vectors of one vec_id belong together
+    twice = keyed.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
+    of_id = written(keyed.join(sized(written(twice)), "vec_id", "left_semi").join(sized(one.select("h", "g", "rep")), ["h", "g"]).select("vec_id", "rep").distinct())
+    same = of_id.join(sized(of_id.groupBy("vec_id").agg(F.min("rep").alias("b"))), "vec_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(same))
+    per = written(one.join(sized(links), "rep", "left").join(sized(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
+    per = per.join(sized(per.groupBy("component").agg(F.min("low").alias("component_id"))), "component")
+    per = per.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     known = keyed.join(sized(written(per), n), ["h", "g"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = ids.select("vec_id").join(sized(known.withColumnRenamed("vec_id", "_id")), F.col("vec_id") == F.col("_id"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))

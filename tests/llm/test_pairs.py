@@ -159,3 +159,12 @@ def test_components(spark):
     got = {x.id: x.component for x in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     want = roots({x for e in edges for x in e}, edges)
     assert all(got.get(i, i) == want[i] for i in want)
+
+
+def test_different_vectors_of_one_id_are_all_searched(spark):
+    """Two vectors with vec_id 1, the smallest of both groups; each has a near neighbour and an equal vector of its own."""
+    a, b = [1.0] + [0.0] * 15, [0.0] * 15 + [1.0]
+    near_a, near_b = [1.0, 0.01] + [0.0] * 14, [0.0] * 14 + [0.01, 1.0]
+    rows = [(1, a), (1, b), (2, a), (3, b), (4, near_a), (5, near_b), (6, [0.0] * 7 + [1.0] + [0.0] * 8)]
+    got = {(r.vec_id, r.n_links, r.component_id, r.kept) for r in embeddings.near(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    assert got == {(1, 4, 1, True), (2, 2, 1, False), (3, 2, 1, False), (4, 2, 1, False), (5, 2, 1, False), (6, 0, 6, True)}
