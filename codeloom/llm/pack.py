@@ -46,7 +46,7 @@ _encoders: dict[str, Encoder] = {}
 _CONTROLS = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile("[^\\S\x1c-\x1f]+")
 
-#: Beyond these, lower case and composition may depend on each other and are left to the tokenizer.
+#: Beyond these, lower case and composition may depend on each other (U+0130 becomes a letter and a mark) and are left to the tokenizer.
 _CASED = re.compile("[^\x00-\u012f\u0131-\u024f]")
 
 _PIECES = "doc_id bigint, row int, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -69,11 +69,11 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _learn(self, new: list[str]) -> None:
-        """Looks new words up; letters and the punctuation behind them are apart for the tokenizer."""
+        """Looks new words up; Latin letters and the punctuation behind them are apart for the tokenizer."""
         known, ask, parts = self.known, {}, []
         for w in new:
             core = w.rstrip(string.punctuation)
-            if len(core) < len(w) and core.isalpha():
+            if len(core) < len(w) and core.isalpha() and not _CASED.search(core):
                 tail = w[len(core) :]
                 parts.append((w, core, tail))
                 if core not in known:

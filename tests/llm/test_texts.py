@@ -205,6 +205,20 @@ def test_pack_round_trip(spark, docs_of, sf_dir):
     assert pack.pack(docs_of([]).limit(0)).collect() == []
 
 
+def test_ids_are_the_tokenizers():
+    """30,000 texts with odd characters: capital I with a dot before punctuation, marks, sigmas, ligatures, controls."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    tok, enc, r = Tokenizer.from_file(pack.vocabulary()), pack.Encoder(pack.vocabulary()), random.Random(6)
+    parts = ["\u0130", "T\u00dcRK\u0130", "\u0130K\u0130", "a", "Ab", "\u0307", "e\u0301", "\u03a3", "\u03c2", "\ufb01", "\u00df", "\u1e9e", "\u00bd", "7", "'s", "n't", ".", ",", "!?", "...", "-", "_", "(", ")", "\x1c", "\u200d", "\u4e2d", "\u0416", "\u013f", "\u00aa", "\ud55c", "<|endoftext|>", " ", " ", "\n", "\u00a0", "\u3000"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(30000)]
+    want = tok.encode_batch_fast(texts, add_special_tokens=False)
+    bad = [t for t, e in zip(texts, want, strict=True) if np.array(e.ids, dtype="<u4").tobytes() != enc.encode(t)]
+    assert not bad, (len(bad), bad[:5])
+
+
 def test_plan_places_every_piece_once():
     r = np.random.default_rng(1)
     for _ in range(100):
