@@ -6,9 +6,12 @@ and comments, but not an element that holds the article or much of the page's te
 halved, to its grandparent and so on (discounted at each level). A container's score is its points
 times (1 - the share of its text inside links), with a bonus or malus for its tag and names. The
 best container is kept with those of its siblings that score well or read like prose; inside them
-menus, adverts, notices, comments, forms and link lists are left out. Blocks: runs of text between
+menus, adverts, notices, comments, forms and lists of short links (outside an article element) are left out. Blocks: runs of text between
 block-level tags; character references are decoded, white space becomes one space.
 
+A page is read once from front to end: open elements are found by tag in constant time, so unbalanced
+quotes and tags that are never closed cost no more than others.
+
 Cost: one pass in Arrow batches, a page at a time; nothing is shuffled or gathered.
 """
 
@@ -34,6 +37,10 @@ BOILER = frozenset("nav header footer aside menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag on the left ends an open element on the right, up to the nearest of the third.
 ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
+#: End tags of the first end elements across cells; no other end tag does. Inline ones end nothing outside the third.
+TABLE = frozenset("table tbody thead tfoot tr td th body html".split())
+CELLS = frozenset("table td th".split())
+LIMITS = frozenset("table td th article body".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 _FURNITURE = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|tags?|comments?|comment-?list|disqus|respond|replies|footer|foot|header|masthead|copyright|legal|login|search)"
@@ -43,99 +50,173 @@ COMMENTS = re.compile(r"(?:^|[-_])(?:comments?|disqus|respond|replies)(?:$|[-_\\
 #: A class word that begins so tells of a page's layout or subject, not of the element's role.
 STATE = re.compile(r"(?:has|with|without|no|not|is|tag)[-_]", re.I)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|main|body|story|text|page)(?:$|[-_\s\d])", re.I)
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+#: An attribute of a tag; nothing is tried twice.
+_ATTR = re.compile(r"([^\s\"'>/=]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?+")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_STOP = re.compile(r">|=\s*+[\"']")
+_END = {t: re.compile(rf"</{t}(?:[\s/][^>]*+)?>", re.I) for t in RAW}
 _SPACE = re.compile(r"\s+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("children", "core", "drop", "link_len", "names", "parent", "points", "size", "skip", "tag", "text_len")
+    __slots__ = ("children", "core", "drop", "in_article", "link_len", "links", "names", "outer", "parent", "points", "size", "skip", "tag", "text_len")
 
     def __init__(self, tag: str, names: str, parent: Node | None) -> None:
-        self.tag, self.names, self.parent, self.children, self.points, self.text_len, self.link_len = tag, names, parent, [], 0.0, 0, 0
+        self.tag, self.names, self.parent, self.children, self.points, self.text_len, self.link_len, self.links = tag, names, parent, [], 0.0, 0, 0, 0
         self.skip, self.drop, self.core, self.size = "hard" if tag in HARD else "soft" if tag in SOFT else "", "", False, 0
+        self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
+        #: the nearest element above that is a container
+        self.outer = parent if parent is None or parent.tag not in INLINE and parent.tag != "p" else parent.outer
+
+
+class _Open:
+    """The open elements. depths: by tag, their places in the path; blocks: the places of those that are not inline."""
+
+    def __init__(self) -> None:
+        self.root = Node("#root", "", None)
+        self.path, self.depths, self.blocks = [self.root], {}, [0]
+
+    @property
+    def cur(self) -> Node:
+        return self.path[-1]
+
+    def deepest(self, tags: frozenset[str] | set[str]) -> int:
+        """The place of the nearest open element with one of the tags; -1 if none is open."""
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=-1)
+
+    def push(self, node: Node) -> None:
+        self.cur.children.append(node)
+        self.depths.setdefault(node.tag, []).append(len(self.path))
+        if node.tag not in INLINE:
+            self.blocks.append(len(self.path))
+        self.path.append(node)
+
+    def close(self, depth: int) -> None:
+        """Ends the element at a place, and those inside it."""
+        while len(self.path) > depth:
+            tag = self.path.pop().tag
+            self.depths[tag].pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+
+
+def _tags(html: str) -> Iterator[tuple[str, str, str]]:
+    """(text before, tag as written with its slash or "", attributes) in order; every character is looked at a fixed number of times.
+
+    A quoted value may hold >; a quote that never ends is an ordinary sign; a tag that never ends is text."""
+    at = text = 0  # text: what is not given out yet
+    endless: set[str] = set()  # what does not occur any more
+    n = len(html)
+    while True:
+        i = html.find("<", at)
+        if i < 0:
+            break
+        if html.startswith("<!--", i):
+            end = html.find("-->", i + 2) if "-->" not in endless else -1
+            if end < 0:
+                endless.add("-->")
+                end = html.find(">", i)
+            yield html[text:i], "", ""
+            at = text = n if end < 0 else html.find(">", end) + 1
+            continue
+        if html.startswith(("<!", "<?"), i):
+            end = html.find(">", i)
+            yield html[text:i], "", ""
+            at = text = n if end < 0 else end + 1
+            continue
+        slash = html.startswith("/", i + 1)
+        m = _NAME.match(html, i + 1 + slash)
+        if not m:
+            at = i + 1
+            continue
+        j = m.end()
+        while True:
+            stop = _STOP.search(html, j)
+            if not stop:
+                j = -1
+                break
+            j = stop.end()
+            if html[j - 1] == ">":
+                break
+            quote = html[j - 1]
+            end = html.find(quote, j) if quote not in endless else -1
+            if end < 0:
+                endless.add(quote)
+            else:
+                j = end + 1
+        if j < 0:  # a quote swallowed the rest of the page: from here on quotes are ordinary signs
+            endless |= {'"', "'"}
+            j = html.find(">", i) + 1
+            if not j:
+                break
+        yield html[text:i], ("/" if slash else "") + m.group(), html[m.end() : j - 1]
+        at = text = j
+        tag = m.group().lower()
+        if tag in RAW and not slash and not html[m.end() : j - 1].rstrip().endswith("/"):  # its content is not markup
+            end = _END[tag].search(html, at) if tag not in endless else None
+            if end:
+                at = text = end.end()
+            else:
+                endless.add(tag)
+                if tag != "title":  # a title that never ends ends with the next tag
+                    return
+                at = text = html.find("<", at) if html.find("<", at) >= 0 else n
+    if text < n:
+        yield html[text:], "", ""
 
 
 def parse(html: str) -> Node:
     """The tree of a page: children are nodes or strings (not decoded); what is in RAW is left out."""
-    root = cur = Node("#root", "", None)
-    at, n = 0, len(html)
-    while at < n:
-        m = _TAG.search(html, at)
-        if not m:
-            break
-        if m.start() > at:
-            cur.children.append(html[at : m.start()])
-        at = m.end()
-        tag = m.group(1)
-        if tag is None:
+    o = _Open()
+    for text, tag, rest in _tags(html):
+        if text:
+            o.cur.children.append(text)
+        if not tag:
             continue
-        tag, closing = tag.lower(), html[m.start() + 1] == "/"
-        if closing:
-            x = cur
-            while x is not root and x.tag != tag:
-                if x.tag in ("td", "th", "table", "article", "body") and tag in INLINE:
-                    x = root
-                    break
-                x = x.parent
-            if x is not root:
-                cur = x.parent
+        tag = tag.lower()
+        if tag[0] == "/":
+            tag = tag[1:]
+            depth = o.deepest({tag})
+            if tag not in TABLE and depth > o.deepest(CELLS) and (tag not in INLINE or depth > o.deepest(LIMITS)) or tag in TABLE and depth > 0:
+                o.close(depth)
             elif tag == "br":
-                cur.children.append(Node("br", "", cur))
+                o.cur.children.append(Node("br", "", o.cur))
             continue
-        rest = m.group(2)
-        if tag in RAW:  # its content is not markup
-            if not rest.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(html, at)
-                if end or tag != "title":  # a title that never ends ends with the next tag
-                    at = end.end() if end else n
-                else:
-                    at = html.find("<", at) if "<" in html[at:] else n
+        if tag in RAW:
             continue
         names = ""
         if "=" in rest or "hidden" in rest:
-            found = {a[0].lower(): a[1] or a[2] or a[3] for a in _ATTR.findall(rest)}
+            found: dict[str, str] = {}
+            for k, *v in _ATTR.findall(rest):
+                found.setdefault(k.lower(), v[0] or v[1] or v[2])
             if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
                 names = "hidden"
             else:
                 names = " ".join(found[k] for k in ("class", "id", "role") if found.get(k))
         if tag in VOID or rest.rstrip().endswith("/") and tag not in CLOSES_P:
-            cur.children.append(Node(tag, names, cur))
+            o.cur.children.append(Node(tag, names, o.cur))
             continue
         if tag == "head":  # its end tag may be missing
             continue
-        if tag in CLOSES_P:  # an open p ends, with the inline elements in it
-            x = cur
-            while x.tag in INLINE:
-                x = x.parent
-            if x.tag == "p":
-                cur = x.parent
-        if tag in HEADING and cur.tag in HEADING:
-            cur = cur.parent
+        if tag in CLOSES_P and o.path[o.blocks[-1]].tag == "p":  # an open p ends, with the inline elements in it
+            o.close(o.blocks[-1])
+        if tag in HEADING and o.cur.tag in HEADING:
+            o.close(len(o.path) - 1)
         if tag in ENDS:
             ends, stop = ENDS[tag]
-            x = cur
-            while x is not root and x.tag not in stop:
-                if x.tag in ends:
-                    cur = x.parent
-                x = x.parent
-        node = Node(tag, names, cur)
+            while (depth := o.deepest(ends)) > o.deepest(stop):
+                o.close(depth)
+        node = Node(tag, names, o.cur)
         if names == "hidden" and tag not in HARD and tag not in ("html", "body"):
             node.skip = "hidden"
-        cur.children.append(node)
-        cur = node
-    if at < n:
-        cur.children.append(html[at:])
-    return root
+        o.push(node)
+    return o.root
 
 
 def _furniture(x: Node, total: int) -> bool:
     if x.tag == "header":  # an article's own one belongs to it
-        up = x.parent
-        while up is not None and up.tag != "article":
-            up = up.parent
-        return up is None
+        return not x.in_article
     if x.tag in BOILER:
         return True
     if not x.names or x.tag in ("body", "html", "article", "main"):
@@ -184,7 +265,7 @@ def _measure(root: Node) -> list[Node]:
         order.append(x)
         stack.extend(c for c in reversed(x.children) if isinstance(c, Node) and not c.drop)
     for x in order:
-        x.points, x.text_len, x.link_len = 0.0, 0, 0
+        x.points, x.text_len, x.link_len, x.links = 0.0, 0, 0, 0
     for x in reversed(order):
         own = commas = 0
         for c in x.children:
@@ -194,20 +275,20 @@ def _measure(root: Node) -> list[Node]:
                 commas += t.count(",")
         x.text_len += own
         if x.tag == "a":
-            x.link_len = x.text_len
+            x.link_len, x.links = x.text_len, 1
         if x.parent is not None:
             x.parent.text_len += x.text_len
             x.parent.link_len += x.link_len
+            x.parent.links += x.links
         block = x.tag in PARAGRAPH or own > 80 and x.tag not in INLINE
         length = x.text_len if x.tag in PARAGRAPH else own
         if block and length > 0 and x.tag not in HEADING:
             give = 1 + commas + min(length / 100, 3) if length >= 25 else 0.2
-            up, share = x.parent if x.tag in PARAGRAPH else x, 1.0
+            up, share = x.outer if x.tag in PARAGRAPH or x.tag in INLINE else x, 1.0
             while up is not None and share > 0.1:
-                if up.tag not in INLINE and up.tag not in ("p",):
-                    up.points += give * share
-                    share /= 2
-                up = up.parent
+                up.points += give * share
+                share /= 2
+                up = up.outer
     return order
 
 
@@ -220,6 +301,13 @@ def _score(x: Node) -> float:
     return x.points * bonus * (1 - x.link_len / x.text_len if x.text_len else 0)
 
 
+def _menu(x: Node) -> bool:
+    """Whether an element is a list of short links. Lists in an article element, and those of long links, are the article's (its sources)."""
+    if x.in_article or x.tag not in ("ul", "ol", "div", "table") or not x.text_len or x.link_len <= 0.6 * x.text_len:
+        return False
+    return x.link_len < 25 * max(x.links, 1)
+
+
 def _blocks(x: Node) -> list[str]:
     out, cur = [], []
 
@@ -240,7 +328,7 @@ def _blocks(x: Node) -> list[str]:
             cur.append(" ")
         elif c.drop == "skip":
             continue
-        elif c is not x and (c.drop or c.tag in ("ul", "ol", "div", "table") and c.text_len > 0 and c.link_len > 0.6 * c.text_len):
+        elif c is not x and (c.drop or _menu(c)):
             if c.tag not in INLINE:
                 flush()
         else:
@@ -279,11 +367,14 @@ def _main(root: Node) -> str:
         up = up.parent
     top = _score(best)
     keep = [best]
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
+    if best.parent is not None and best.tag not in ("main", "body"):
         keep = []
         for s in best.parent.children:
             if s is best:
                 keep.append(s)
+            elif best.tag == "article":  # of its siblings, only other articles of some weight
+                if isinstance(s, Node) and s.tag == "article" and not s.drop and s.points > 0.2 * best.points:
+                    keep.append(s)
             elif isinstance(s, Node) and not s.drop:
                 links = s.link_len / s.text_len if s.text_len else 0
                 prose = s.tag in PARAGRAPH and (s.tag in HEADING or s.text_len > 80 and links < 0.25 or 0 < s.text_len and links == 0)
@@ -294,7 +385,8 @@ def _main(root: Node) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """Per row of pages: page_id, url, text. Null or empty html: an empty text. Other columns are ignored;
-    null ids and urls stay null, repeated rows give repeated results, no pages give no row."""
+    null ids and urls stay null, repeated rows give repeated results, no pages give no row. A page of any length is read
+    whole, in time that grows with its length; of containers with equal scores, the first one is taken."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:

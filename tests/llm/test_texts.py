@@ -146,11 +146,51 @@ LAYOUTS = [
 ]
 
 
+LAYOUTS += [
+    f'<body><ul><li hidden>not seen<li>menu</ul><div>{STORY}</div>{ASIDE}</body>',
+    f'<body><div class="entry share">{STORY}</div>{ASIDE}</body>',
+    f'<body><div title="a > b" class=\'post\'>{STORY}</div>{ASIDE}</body>',
+    f'<body><table><tr><td><a href=x>Home</a><td><div>{STORY}</div></table>{ASIDE}</body>',
+    f'<body><article>{STORY[: len(STORY) // 2]}</article><article>{STORY[len(STORY) // 2 :]}</article>{ASIDE}</body>',
+    f'<body><ul><li><a href=a>Home</a><li><a href=b>News</a></ul>{STORY}{ASIDE}</body>',
+]
+
+
 @pytest.mark.parametrize("page", LAYOUTS)
 def test_articles_in_common_layouts_stay_whole(page):
     assert html.main_text(page).split("\n\n") == re.findall("<p>(.*?)</p>", STORY)
 
 
+def test_sources_stay_with_the_article():
+    links = "".join(f"<li><a href=x{i}>Source {i}</a></li>" for i in range(5))
+    want = re.findall("<p>(.*?)</p>", STORY) + [f"Source {i}" for i in range(5)]
+    assert html.main_text(f"<body><nav>menu</nav><article>{STORY}<ul>{links}</ul></article>{ASIDE}</body>").split("\n\n") == want
+    long = "".join(f"<li><a href=x{i}>A source with a long title, number {i}</a></li>" for i in range(5))
+    assert html.main_text(f"<body><div>{STORY}<ul>{long}</ul></div>{ASIDE}</body>").count("A source") == 5
+
+
+HARD_PAGES = {
+    "quotes": "<a href=\"x'" * 80000, "open tags": "<a " * 300000, "unmatched": "<div>" * 80000 + "</p>" * 80000, "cells": "<b><table><tr><td>" + "<div>" * 50000 + "</b>" * 50000,
+    "items": "<div>" * 50000 + "<li>x" * 50000, "inline": "<b>" * 50000 + "<div></div>" * 50000, "points": "<b>" * 30000 + "<p>paragraph, with words, and commas</p>" * 20000,
+    "headers": "<div>" * 50000 + "<header>x</header>" * 30000, "titles": "<title>" * 100000, "comments": "<!--" * 200000, "swallowed": "<a b=\"c'> <i d='\"e>" * 40000 + "\"'",
+}
+
+
+@pytest.mark.parametrize("name", HARD_PAGES)
+def test_hard_pages_take_no_longer_than_others(name):
+    """Half a megabyte to a megabyte each; the bound is generous for a slow machine, quadratic reading takes minutes."""
+    import time
+
+    began = time.process_time()
+    html.main_text(HARD_PAGES[name])
+    assert time.process_time() - began < 8, time.process_time() - began
+
+
+def test_a_quote_that_never_ends_loses_nothing():
+    assert html.main_text(f'<body><a href="x>link</a><div>{STORY}</div></body>').split("\n\n")[-6:] == re.findall("<p>(.*?)</p>", STORY)
+    assert html.main_text("a <b and more") == "a <b and more"
+
+
 def test_furniture_is_still_left_out():
     talk = "".join(f'<li><article class="comment-body"><p>Comment {i}, long, longer, and longer than any paragraph of the story is, to be sure.</p></article></li>' for i in range(20))
     page = f'<div class="site-header"><h1>Site</h1></div><div class="entry">{STORY}<form><p>Mail, please, every week</p></form></div><div id="comments"><ol>{talk}</ol></div>{ASIDE}'
