@@ -109,8 +109,115 @@ def test_keys_among_long_words_are_reported(docs_of):
 
 
 def test_thresholds_keep_false_discoveries_low():
-    assert secrets.thresholds([(0, b, True, 100) for b in range(20)] + [(0, 0, False, 5)]) == {0: 0}
-    assert secrets.thresholds([(0, b, True, 100) for b in range(20, 40)] + [(0, 0, False, 50), (0, 30, False, 50)])[0] in range(1, 21)
+    assert secrets.thresholds([(1, 0, b, True, 100) for b in range(20)] + [(1, 0, 0, False, 5)]) == {(1, 0): 0}
+    assert secrets.thresholds([(1, 0, b, True, 100) for b in range(20, 40)] + [(1, 0, 0, False, 50), (1, 0, 30, False, 50)])[1, 0] in range(1, 21)
+
+
+KEYS = {"base62": (0.85, 16), "base64": (0.85, 16), "hex": (0.9, 16), "base36": (0.85, 16), "base52": (0.85, 16), "base32": (0.85, 24), "base26": (0.7, 40)}
+
+
+@pytest.mark.parametrize("name", KEYS)
+def test_keys_of_every_encoding_are_reported(docs_of, name):
+    """Shares of 100 keys found at each length from the given one on, and no ordinary word with them."""
+    r, (least, start) = np.random.default_rng(8), KEYS[name]
+    up, low, dig = secrets._UPPER, secrets._LOWER, secrets._DIGIT
+    chars = {"base62": up + low + dig, "base64": up + low + dig + "+/", "hex": dig + "abcdef", "base36": low + dig, "base52": up + low, "base32": up + "234567", "base26": low}[name]
+    lengths = [n for n in (16, 20, 24, 32, 40, 64) if n >= start]
+    rows = [(i, " ".join(LONG_WORDS)) for i in range(40)] + [(1000 * n + i, f"key {''.join(r.choice(list(chars), n))} end") for n in lengths for i in range(100)]
+    found = {x.doc_id for x in secrets.scan(docs_of(rows)).collect() if x.spans}
+    recall = {n: sum(1000 * n + i in found for i in range(100)) / 100 for n in lengths}
+    assert all(v >= least for v in recall.values()), recall
+    assert not any(i in found for i in range(40))
+
+
+def test_keys_planted_in_documents_are_reported(spark):
+    """300 base62 keys of 16 to 64 characters in the documents of sf0.01, and nothing else beyond the fixed kinds."""
+    r = np.random.default_rng(3)
+    chars = list(secrets._UPPER + secrets._LOWER + secrets._DIGIT)
+    rows = [[i, x.text or ""] for i, x in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").collect())]
+    want = {}
+    for n in (16, 20, 24, 32, 40, 64):
+        for i in r.integers(0, len(rows), 50).tolist():
+            key = "".join(r.choice(chars, n))
+            want[i, key] = n
+            rows[i][1] += f" {key} end"
+    text = dict(rows)
+    found = {(x.doc_id, text[x.doc_id][s.start : s.end]) for x in secrets.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect() for s in x.spans if s.kind == 3}
+    recall = {n: sum(k in found for k, m in want.items() if m == n) / 50 for n in (16, 20, 24, 32, 40, 64)}
+    assert all(v >= 0.9 for v in recall.values()), recall
+    assert found <= set(want)
+
+
+def test_redact_by_text(docs_of):
+    """Rows of one id with different texts, and of none: each text loses its own secrets only."""
+    a, b = "password=hunter22 and more", "nothing here, but token: abcdef123"
+    rows = [(1, a), (1, b), (1, a), (1, None), (None, a), (None, b), (2, "plain")]
+    got = sorted((x.doc_id or 0, x.text or "") for x in secrets.redact(docs_of(rows)).collect())
+    x, y = "<secret> and more", "nothing here, but <secret>"
+    assert got == sorted([(1, x), (1, y), (1, x), (1, ""), (0, x), (0, y), (2, "plain")])
+
+
+def plain_base(text):
+    """The three fixed kinds by a walk over the characters, without regular expressions."""
+    low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+    word, out, i = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), [], 0
+    while i < len(text):
+        for name in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if low.startswith(name, i):
+                j = i + len(name)
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                while text[j : j + 1] == " ":
+                    j += 1
+                if text[j : j + 1] not in (":", "="):
+                    continue
+                j += 1
+                while text[j : j + 1] == " ":
+                    j += 1
+                j += text[j : j + 1] in ('"', "'") and j < len(text)
+                e = j
+                while e < len(text) and (text[e] in word or text[e] in "+/_.=-"):
+                    e += 1
+                if e > j:
+                    if e - j >= 6:
+                        out.append((i, e, 0))
+                    i = e - 1
+                    break
+        i += 1
+    i = 0
+    while (i := text.find("AKIA", i)) >= 0:
+        e = i + 4
+        while e < len(text) and ("A" <= text[e] <= "Z" or "0" <= text[e] <= "9"):
+            e += 1
+        if e - i >= 20:
+            out.append((i, e, 1))
+        i = e if e > i + 4 else i + 4
+    i = 0
+    while i < len(text):
+        e = i
+        while e < len(text) and text[e] in "0123456789abcdef":
+            e += 1
+        if e - i >= 24:
+            out.append((i, e, 2))
+        i = max(e, i + 1)
+    return sorted(out)
+
+
+def test_op4_base_matches_a_plain_walk(spark):
+    """Every document's counts and digest by code that shares nothing with the operator."""
+    from codeloom.llm import registry
+
+    sf_dir = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = registry.QUERIES["op4_secrets"](spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        base = plain_base(docs[r.doc_id] or "")
+        text = ",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, e, k in base)
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == x for _, _, k in base) for x in range(3))
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in rows) > 0
+    for t, want in SECRETS:
+        assert plain_base(t) == want
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><div id="header"><a href="/">Home</a></div><nav><ul><li><a href=x>A</a></ul></nav>
