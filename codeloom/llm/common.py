@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,10 @@ from pathlib import Path
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a narrow table (a few numbers each) that may be broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of a table (see `sized`) that may be broadcast; beyond it the join shuffles.
+BROADCAST_BYTES = 32 << 20
 
 _roots: dict[str, str] = {}
 
@@ -37,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one only where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -70,10 +74,24 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """small with a broadcast hint if it has at most `limit` rows; else as it is, for a shuffled join."""
-    n = small.count() if rows is None else rows
-    return F.broadcast(small) if n <= limit else small.hint("merge")
+def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """small with a broadcast hint if it holds at most `limit` bytes; else as it is, for a shuffled join (whose hot keys AQE splits).
+
+    A row counts as 16 bytes, 8 for each column, and what its strings, binaries and arrays hold. small should be a written
+    table, as it is read for its size; rows: its number of rows, if known (for numbers only)."""
+    width = 16 + 8 * len(small.columns)
+    if rows is None:
+        more = F.lit(0).cast("long")
+        for f in small.schema:
+            if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+                more = more + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
+            elif isinstance(f.dataType, T.ArrayType):
+                each = 8 * len(f.dataType.elementType) + 16 if isinstance(f.dataType.elementType, T.StructType) else 8
+                more = more + F.greatest(F.size(f"`{f.name}`"), F.lit(0)) * each
+        held = small.agg(F.coalesce(F.sum(more + width), F.lit(0))).first()[0]
+    else:
+        held = rows * width
+    return F.broadcast(small) if held <= limit else small.hint("merge")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,11 +116,11 @@ def components(edges: DataFrame) -> DataFrame:
         if row[0] == row[1] and cur.join(cur.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     pairs = cur.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return pairs.unionByName(pairs.select(F.col("component").alias("id"), "component").distinct())
+    return written(pairs.unionByName(pairs.select(F.col("component").alias("id"), "component").distinct()))
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-__all__ = ["BROADCAST_ROWS", "StorageLevel", "components", "read", "scratch", "shared_dir", "ship", "sized", "written"]
+__all__ = ["BROADCAST_BYTES", "StorageLevel", "components", "read", "scratch", "shared_dir", "ship", "sized", "written"]

@@ -86,6 +86,7 @@ def find_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs: doc_id, text; items: item_id, text; other columns are ignored. Null or wordless texts have
     no windows. Rows that repeat a doc_id are one document with the hits of all its rows; a null
     doc_id is a document like any other. Items that repeat count by their item_id (null: as "").
+    A text of any length is one row, read whole; of equal hashes in a run the value is kept once.
     """
     items = items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), item_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = written(items)
@@ -107,13 +108,12 @@ def find_hits(docs: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     found = written(rows.join(hit, "f", "left").where("at = 0 or hit").select("doc_id", "at", "f"))
     counts = found.where("at = 0").select("doc_id", F.col("f").alias("n_words"))
 
-    seeds = found.where("at > 0").groupBy("doc_id").agg(F.collect_set("f").alias("seeds"))
-    seeds = sized(seeds.withColumnRenamed("doc_id", "seed_id"), limit=100_000)
-    held = texts.join(seeds, F.col("doc_id").eqNullSafe(F.col("seed_id"))).select("doc_id", "seeds", item_words(F.col("text")).alias("words"))
-    held = _fingerprints(held, lengths, ["doc_id", "seeds", "words"])
+    held = written(found.where("at > 0").select(F.col("doc_id").alias("held_id")).distinct())
+    held = texts.join(sized(held), F.col("doc_id").eqNullSafe(F.col("held_id")), "left_semi").select("doc_id", item_words(F.col("text")).alias("words"))
+    held = _fingerprints(held, lengths, ["doc_id", "words"])
     spans = reduce(DataFrame.union, [
-        held.select("doc_id", "seeds", "words", F.posexplode_outer(f"fp{k}").alias("at", "f"))
-        .where(F.array_contains("seeds", F.col("f")))
+        held.select("doc_id", "words", F.posexplode_outer(f"fp{k}").alias("at", "f"))
+        .join(hit, "f")
         .select("doc_id", F.col("at").alias("start"), (F.col("at") + k).alias("end"), F.concat_ws(" ", F.slice("words", F.col("at") + 1, F.lit(k))).alias("window"))
         for k in [WINDOW, *lengths]
     ])

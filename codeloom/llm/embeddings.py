@@ -12,7 +12,8 @@ of `bits` of them (a table per group of bits), and windows are walked inside cel
 with the logarithm of the number of vectors, and tables is what keeps the chance that a pair at the
 threshold shares no cell below 1 - RECALL. A pair that shares several cells is counted in the first.
 
-Cost: exact repeats are taken once. A vector is sent once per table. Cells larger than BLOCK are split
+Cost: exact repeats are taken once. A vector is sent once per table, in the type it came in, with the numbers of its cells; projections are made
+anew where they are compared. Cells larger than BLOCK are split
 into blocks, and each pair of blocks is a task's work of bounded size; from each comes a row per
 vector (its number of links and one link that keeps the block's components), never the pairs.
 """
@@ -34,12 +35,14 @@ RECALL = 0.998
 PROJECTIONS = 32
 WIDTH = 2.0
 BLOCK = 1024
+#: Vectors in a cell, if they were spread evenly.
+CELL = 512
 SEED = 20240607
 
 
 def tables(n: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """(bits, tables): cells of about 32 vectors if they were spread evenly; tables enough for the recall."""
-    bits = max(4, ceil(log2(max(n, 1) / 32)))
+    """(bits, tables): cells of about CELL vectors if they were spread evenly; tables enough for the recall."""
+    bits = max(2, ceil(log2(max(n, 1) / CELL)))
     same = (1 - acos(threshold) / pi) ** bits
     return bits, max(1, ceil(log(1 - recall) / log(1 - same)))
 
@@ -57,18 +60,18 @@ def least_collisions(projections: int = PROJECTIONS, width: float = WIDTH, recal
     return projections
 
 
-def unit(v: np.ndarray | None) -> np.ndarray | None:
-    """A vector of length 1 in double precision, or None if it is null, empty, zero or not finite."""
-    if v is None or not len(v):
-        return None
-    x = np.asarray(v, dtype=np.float64)
-    if not np.isfinite(x).all():
-        return None
-    m = np.abs(x).max()
-    if m == 0:
-        return None
-    x = x / m
-    return x / sqrt(float(x @ x))
+def units(v: np.ndarray) -> np.ndarray:
+    """Rows (finite, none of them zero) scaled to length 1 in double precision."""
+    x = v.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def directions(d: int, bits: int, n_tables: int) -> tuple[np.ndarray, np.ndarray]:
+    """The random directions for vectors of d numbers: (of the cells, of the windows)."""
+    r = np.random.default_rng([SEED, d])
+    cells, windows = r.standard_normal((d, bits * n_tables)), r.standard_normal((d, PROJECTIONS))
+    return cells, windows / np.linalg.norm(windows, axis=0)
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -90,10 +93,11 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     vectors: vec_id (bigint), embedding (array of numbers); other columns are ignored. Vectors that are
     null, empty, zero, or hold null or non-finite numbers link with nothing; vectors of different
-    lengths never link. A null vec_id has no links and null component_id and kept. Rows that repeat a vec_id are taken
+    lengths never link, however long they are; pairs at exactly the threshold do. A null vec_id has no links and null component_id and kept. Rows that repeat a vec_id are taken
     as further vectors: their links add up, and their component is the id's. No vectors give no row."""
     spark = vectors.sparkSession
-    ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "double"
+    ids = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("v"))
     ok = ids.where("vec_id IS NOT NULL AND v IS NOT NULL AND size(v) > 0").where(~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))).where(F.exists("v", lambda x: x != 0))
     keyed = written(ok.withColumn("h", F.xxhash64("v")).withColumn("g", F.hash("v")))
     # rep is the number of a distinct vector (different vectors may have one vec_id), low its smallest vec_id
@@ -104,29 +108,27 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     passing = least_collisions()
 
     def project(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rng: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        known: dict[int, np.ndarray] = {}
         for df in it:
             for d, part in df.groupby(df["v"].map(len)):
-                if d not in rng:
-                    r = np.random.default_rng([SEED, d])
-                    rng[d] = (r.standard_normal((d, bits * n_tables)), r.standard_normal((d, PROJECTIONS)))
-                    rng[d][1][:] /= np.linalg.norm(rng[d][1], axis=0)
-                x = np.vstack([unit(v) for v in part["v"]])
-                sign = (x @ rng[d][0] > 0).reshape(len(x), n_tables, bits)
+                if d not in known:
+                    known[d] = directions(d, bits, n_tables)[0]
+                sign = (units(np.vstack(part["v"])) @ known[d] > 0).reshape(len(part), n_tables, bits)
                 code = (sign * (1 << np.arange(bits, dtype=np.int64))).sum(axis=2)
-                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "dim": d, "codes": list(code), "p": list((x @ rng[d][1]).astype(np.float32)), "v": list(x)})
+                yield pd.DataFrame({"rep": part["rep"].to_numpy(), "copies": part["copies"].to_numpy(), "dim": d, "codes": list(code.astype(np.int32)), "v": part["v"]})
 
-    rows = written(reps.mapInPandas(project, "rep bigint, copies bigint, dim int, codes array<bigint>, p array<float>, v array<double>"))
+    rows = written(reps.mapInPandas(project, f"rep bigint, copies bigint, dim int, codes array<int>, v array<{kind}>"))
     cell = rows.select("rep", "dim", F.posexplode("codes").alias("t", "code"))
     size = written(cell.groupBy("dim", "t", "code").agg(F.count("*").alias("m")).where("m > 1").withColumn("blocks", F.ceil(F.col("m") / BLOCK).cast("int")))
     # block i of a cell goes to every pair of blocks (i, j) and (j, i)
-    of = rows.select("rep", "copies", "dim", "codes", "p", "v", F.posexplode("codes").alias("t", "code")).join(sized(size), ["dim", "t", "code"])
+    of = rows.select("rep", "copies", "dim", "codes", "v", F.posexplode("codes").alias("t", "code")).join(sized(size), ["dim", "t", "code"])
     of = of.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     of = of.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "blocks", "m")
 
     def count(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
         d, t, _, i, j = key
-        p, v = np.vstack(df["p"]), np.vstack(df["v"])
+        v = units(np.vstack(df["v"]))
+        p = (v @ directions(d, bits, n_tables)[1]).astype(np.float32)
         codes, rep, copies, own = np.vstack(df["codes"]), df["rep"].to_numpy(), df["copies"].to_numpy(), df["own"].to_numpy()
         width = np.float32(WIDTH * sqrt((2 - 2 * threshold) / d))
         left, right = [], []
@@ -167,16 +169,17 @@ def near(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return pd.DataFrame({"rep": rep[some], "links": links[some], "root": root[some]})
 
     found = written(of.groupBy("dim", "t", "code", "i", "j").applyInPandas(count, "rep bigint, links bigint, root bigint"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    links = written(found.groupBy("rep").agg(F.sum("links").alias("links")))
     # the vectors of one vec_id belong together
     twice = keyed.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id")
     of_id = written(keyed.join(sized(written(twice)), "vec_id", "left_semi").join(sized(one.select("h", "g", "rep")), ["h", "g"]).select("vec_id", "rep").distinct())
-    same = of_id.join(sized(of_id.groupBy("vec_id").agg(F.min("rep").alias("b"))), "vec_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
+    same = of_id.join(sized(written(of_id.groupBy("vec_id").agg(F.min("rep").alias("b")))), "vec_id").where("rep <> b").select(F.col("rep").alias("a"), "b")
     comp = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")).union(same))
     per = written(one.join(sized(links), "rep", "left").join(sized(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    per = per.join(sized(per.groupBy("component").agg(F.min("low").alias("component_id"))), "component")
+    per = per.join(sized(written(per.groupBy("component").agg(F.min("low").alias("component_id")))), "component")
     per = per.select("h", "g", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     known = keyed.join(sized(written(per), n), ["h", "g"]).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    known = written(known)
     out = ids.select("vec_id").join(sized(known.withColumnRenamed("vec_id", "_id")), F.col("vec_id") == F.col("_id"), "left")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), (F.col("vec_id") == F.coalesce("component_id", "vec_id")).alias("kept"))
 

@@ -155,7 +155,8 @@ class Sample:
 
 def sample(docs: DataFrame, labels: DataFrame, columns: list[str], maker: Maker, size: int = MAX_TRAIN) -> Sample:
     """At most `size` rows of docs that are not held out and have all the labels (0 or 1) of `columns`, which
-    are expressions on labels. Rows with a null id, text or label are left out; of repeated ids, the largest labels count."""
+    are expressions on labels. Rows with a null id, text or label are left out; of repeated ids, the largest labels and the text with the
+    smallest features count, so at most `size` rows are collected. Equal hashes of ids go by id."""
     y = labels.select("doc_id", *(F.expr(c).cast("double").alias(f"y{i}") for i, c in enumerate(columns))).dropna()
     y = y.where(~held_out()).groupBy("doc_id").agg(*(F.max(f"y{i}").alias(f"y{i}") for i in range(len(columns))))
     y = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(size)
@@ -169,7 +170,7 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], maker: Maker,
             yield pa.RecordBatch.from_arrays([*cols, pa.array([f[x:z].astype(np.int32).tobytes() for x, z in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", *(f"y{i}" for i in range(len(columns))), "f"])
 
     kinds = ", ".join(f"y{i} double" for i in range(len(columns)))
-    kept = rows.select("doc_id", "text", *(f"y{i}" for i in range(len(columns)))).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, f binary").collect()
+    kept = rows.select("doc_id", "text", *(f"y{i}" for i in range(len(columns)))).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {kinds}, f binary").groupBy("doc_id", *(f"y{i}" for i in range(len(columns)))).agg(F.min("f").alias("f")).collect()
     kept.sort(key=lambda r: (r[0], bytes(r[-1])))
     parts = [np.frombuffer(bytes(r[-1]), dtype=np.int32) for r in kept]
     at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)

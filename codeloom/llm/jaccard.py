@@ -26,7 +26,8 @@ already implied are not spelt out.
 
 Cost: two passes over the texts, and more over those of candidates only. Signatures (about 0.4 a shingle, three
 numbers each) are the one large shuffle; sets move once per verified candidate. Runs of one
-signature are found in sorted order, in constant memory. A hub with many candidates is dealt to many
+signature are found in sorted order, in constant memory; of a signature that a chunk of documents holds often, all rows but one are dealt
+to other tasks (`_crowds`). The joins back on signatures meet a counted table of one row each, so AQE may split a hot one. A hub with many candidates is dealt to many
 tasks with a copy of its set.
 """
 
@@ -119,61 +120,69 @@ def _i64(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+#: Marks in aux: a row that is known to share its signature, and one that is dealt by its document instead of its signature.
+SHARED, DEALT = 1 << 60, 1 << 61
+#: Rows of one signature in a chunk of documents from which on all but the first are dealt.
+CROWD = 4
+
+
+def _crowds(sig: np.ndarray, aux: np.ndarray) -> None:
+    """Marks rows of signatures that a chunk holds CROWD times or more: of each the first stays with its signature, so that it is
+    met there by those of other chunks, and the others are dealt out. So no task gets all rows of a hot signature."""
+    order = np.argsort(sig, kind="stable")
+    s = sig[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    n = np.diff(np.append(first, len(s)))
+    crowded = np.repeat(n >= CROWD, n)
+    mark = np.where(crowded, SHARED | DEALT, 0)
+    mark[first[n >= CROWD]] = SHARED
+    aux[order] |= mark
+
+
 def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (sig, doc, aux): aux is size << 16 | (spare + 1) << 2 | scheme; one row per document has aux = -1 - size."""
+    """Rows (sig, doc, aux): aux is size << 16 | (spare + 1) << 2 | scheme, and marks; one row per document has aux = -1 - size."""
     for b, data, off in batches(it):
         ids = b.column(0).to_numpy(zero_copy_only=False)
-        sig, doc, aux = [], [], []
+        sig, doc, aux, size = [np.empty(0, dtype=U)], [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], []
         for d, u in zip(ids, _sets(b, data, off), strict=True):
-            sig.append(mix(np.array([d], dtype=np.int64).view(U)))
-            doc.append([d])
-            aux.append([-1 - len(u)])
+            size.append(len(u))
             for x, scheme, spare in signatures(u) if len(u) else ():
                 sig.append(x)
                 doc.append(np.full(len(x), d, dtype=np.int64))
                 aux.append(np.full(len(x), len(u) << 16 | min(spare + 1, 0x3FFF) << 2 | scheme, dtype=np.int64))
-        for i in range(0, len(sig), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(_i64(np.concatenate(sig[i : i + 512]))), pa.array(np.concatenate(doc[i : i + 512]).astype(np.int64)), pa.array(np.concatenate(aux[i : i + 512]).astype(np.int64))], names=["sig", "doc", "aux"])
+        s, d, a = _i64(np.concatenate(sig)), np.concatenate(doc), np.concatenate(aux)
+        if len(s):
+            _crowds(s, a)
+        own = ids.astype(np.int64)
+        s, d, a = np.concatenate([s, own]), np.concatenate([d, own]), np.concatenate([a, -1 - np.array(size, dtype=np.int64)])
+        for i in range(0, len(s), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 17)]) for x in (s, d, a)], names=["sig", "doc", "aux"])
 
 
 def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by sig and doc, those whose sig has another row, with the run's first row and their
-    rank in the run; and the rows of sizes (rank -1). Holds one batch and one row."""
-    names = ["sig", "hub", "hub_size", "doc", "aux", "rank"]
-    last: tuple[int, int, int, int, int, int] | None = None  # sig, doc, aux, rank, hub, hub size of the row held back
-
-    def rows(sig, hub, hub_size, doc, aux, rank):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (sig, hub, hub_size, doc, aux, rank)], names=names)
-
+    """From rows sorted by sig and doc, those whose sig has another row (or is marked so), and the rows of sizes. Holds one batch and one row."""
+    last: tuple[int, int, int, bool] | None = None  # the row held back, and whether its sig has had another one
     for b in it:
         sig, doc, aux = (b.column(i).to_numpy() for i in range(3))
-        mark = aux < 0
-        if mark.any():
-            z = np.zeros(int(mark.sum()), dtype=np.int64)
-            yield rows(z, z, z, doc[mark], -1 - aux[mark], z - 1)
-            sig, doc, aux = sig[~mark], doc[~mark], aux[~mark]
+        loose = (aux < 0) | (aux & DEALT != 0)
+        yield b.filter(pa.array(loose))
+        sig, doc, aux = sig[~loose], doc[~loose], aux[~loose]
         if not len(sig):
             continue
         if last:
             sig, doc, aux = (np.concatenate([[x], y]).astype(np.int64) for x, y in zip(last[:3], (sig, doc, aux), strict=True))
-        new = np.concatenate([[True], sig[1:] != sig[:-1]])
-        first = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        rank = np.arange(len(sig)) - first[run]
-        hub, hub_size = doc[first][run], (aux[first] >> 16)[run]
+        same = sig[1:] == sig[:-1]
+        more = aux & SHARED != 0
+        more[1:] |= same
+        more[:-1] |= same
         if last:
-            head = run == 0
-            rank[head] += last[3]
-            hub[head], hub_size[head] = last[4], last[5]
-        more = ~new
-        more[:-1] |= ~new[1:]
-        more |= rank > 0
-        last = (sig[-1], doc[-1], aux[-1], rank[-1], hub[-1], hub_size[-1])
+            more[0] |= last[3]
+        last = (sig[-1], doc[-1], aux[-1], bool(more[-1]))
         more[-1] = False
         if more.any():
-            yield rows(sig[more], hub[more], hub_size[more], doc[more], aux[more], rank[more])
-    if last and last[3] > 0:
-        yield rows(*(np.array([x], dtype=np.int64) for x in (last[0], last[4], last[5], last[1], last[2], last[3])))
+            yield pa.RecordBatch.from_arrays([pa.array(x[more]) for x in (sig, doc, aux)], names=["sig", "doc", "aux"])
+    if last and last[3]:
+        yield pa.RecordBatch.from_arrays([pa.array([int(x)], pa.int64()) for x in last[:3]], names=["sig", "doc", "aux"])
 
 
 def counts(u: np.ndarray, per_range: float = 4) -> np.ndarray:
@@ -256,7 +265,7 @@ def _may(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def possible(pairs: DataFrame, counted: DataFrame) -> DataFrame:
     """The pairs (a, b, n) whose counts leave a link possible; counted: doc, counts."""
-    x, y = (sized(counted.select(F.col("doc").alias(c), F.col("counts").alias(f"c{c}")), limit=150_000) for c in "ab")
+    x, y = (sized(counted.select(F.col("doc").alias(c), F.col("counts").alias(f"c{c}"))) for c in "ab")
     rows = pairs.join(x, "a").join(y, "b").select("a", "b", "ca", "cb", "n")
     return rows.mapInArrow(_may, "a bigint, b bigint, n bigint")
 
@@ -301,11 +310,11 @@ def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets link; texts: doc_id, text."""
     pairs = written(pairs.select("a", "b").distinct())
-    deals = pairs.groupBy("a").agg(F.ceil(F.count("*") / DEAL).cast("long").alias("n"))
+    deals = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / DEAL).cast("long").alias("n")))
     dealt = pairs.join(sized(deals), "a").select(F.col("b").alias("doc"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("n")).alias("salt"), F.lit(False).alias("hub"))
     hubs = deals.select(F.col("a").alias("doc"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("salt"), F.lit(True).alias("hub"))
     asks = written(dealt.union(hubs).groupBy("doc").agg(F.collect_list(F.struct("key", "salt", "hub")).alias("asks")))
-    rows = texts.join(sized(asks, limit=300_000), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asks")
+    rows = texts.join(sized(asks), F.col("doc_id") == F.col("doc")).select("doc_id", "text", "asks")
     rows = rows.mapInArrow(_deal, "key bigint, salt bigint, side int, doc bigint, hashes binary")
     return written(rows.repartition("key", "salt").sortWithinPartitions("key", "salt", "side").mapInArrow(_verify, "a bigint, b bigint").distinct())
 
@@ -327,7 +336,8 @@ def join(docs: DataFrame) -> DataFrame:
 
     docs: doc_id (bigint), text; other columns are ignored. A null or wordless text has an empty set and
     links with nothing. A null doc_id is not a document: it gets null results. Rows that repeat a
-    doc_id are one document, linked as any of its rows; no docs give no row."""
+    doc_id are one document, linked as any of its rows; no docs give no row. A text of any length is taken whole, its set being a
+    task's largest piece of work (8 bytes a shingle); pairs at exactly the threshold link."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     ids = written(docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("x"), F.hash("text").alias("y"), F.length("text").alias("z")))
     same = ids.groupBy("x", "y", "z").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
@@ -335,9 +345,10 @@ def join(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").join(sized(copies.select("doc_id")), "doc_id", "left_anti")
 
     signed = texts.mapInArrow(_sign, "sig bigint, doc bigint, aux bigint")
-    found = written(signed.repartition("sig").sortWithinPartitions("sig", "doc").mapInArrow(_runs, "sig bigint, hub bigint, hub_size bigint, doc bigint, aux bigint, rank bigint"))
-    sizes = found.where("rank = -1").groupBy("doc").agg(F.max("aux").alias("n_shingles"))
-    member = found.where("rank >= 0").selectExpr("sig", "hub", "hub_size", "doc", "aux >> 16 AS size", "((aux >> 2) & 16383) - 1 AS spare", "aux & 3 AS scheme", "rank").withColumn("need", F.greatest(F.col("spare") + 1, F.lit(1)))
+    place = F.when(F.col("aux").bitwiseAND(DEALT) != 0, F.xxhash64("sig", "doc")).otherwise(F.col("sig"))
+    found = written(signed.repartition(place).sortWithinPartitions("sig", "doc").mapInArrow(_runs, "sig bigint, doc bigint, aux bigint"))
+    sizes = written(found.where("aux < 0").groupBy("doc").agg(F.max(-1 - F.col("aux")).alias("n_shingles")))
+    member = found.where("aux >= 0").selectExpr("sig", "doc", f"(aux >> 16) & {(1 << 40) - 1} AS size", "((aux >> 2) & 16383) - 1 AS spare", "aux & 3 AS scheme").withColumn("need", F.greatest(F.col("spare") + 1, F.lit(1)))
 
     member = pruned(pruned(member))
     if not member.where(F.col("m") > HOT).isEmpty():
@@ -346,7 +357,7 @@ def join(docs: DataFrame) -> DataFrame:
         member = member.where((F.col("m") <= HOT) | (F.col("n_hot") > F.col("spare"))).withColumn("need", F.greatest(F.col("need") - F.col("n_hot"), F.lit(1)))
         member = pruned(member)
 
-    some = sized(member.select(F.col("doc").alias("doc_id")).distinct())
+    some = sized(written(member.select(F.col("doc").alias("doc_id")).distinct()))
     counted = written(texts.join(some, "doc_id", "left_semi").mapInArrow(_count, "doc bigint, counts binary"))
     edges = member.where("doc <> hub").where(_near("size", "hub_size")).groupBy("hub", "doc").agg(F.count("*").alias("n"))
     edges = written(possible(edges.select(F.col("hub").alias("a"), F.col("doc").alias("b"), "n"), counted))

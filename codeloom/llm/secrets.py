@@ -349,7 +349,7 @@ def redact(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     a null text stays null. Rows without spans pass unchanged; only the rows with spans are joined (broadcast if few)."""
     spans = scan(docs.select("doc_id", "text"), alpha)
     hit = spans.where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("secrets__id"), F.col("key").alias("secrets__key"), F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))).alias("secrets__spans"))
-    out = docs.join(sized(hit), F.col("doc_id").cast("bigint").eqNullSafe(F.col("secrets__id")) & (F.xxhash64("text") == F.col("secrets__key")), "left")
+    out = docs.join(sized(written(hit)), F.col("doc_id").cast("bigint").eqNullSafe(F.col("secrets__id")) & (F.xxhash64("text") == F.col("secrets__key")), "left")
     # text between spans that may overlap: fold (kept text, place)
     kept = F.aggregate(
         F.coalesce("secrets__spans", F.array().cast("array<struct<s:int,e:int>>")),
