@@ -1,6 +1,6 @@
 """The queries over the code graph and over texts."""
 
-from . import chain, relational, texts
+from . import chain, extracted, relational, texts
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "chain", "relational", "texts"]
+__all__ = ["QUERIES", "SQL", "chain", "extracted", "relational", "texts"]

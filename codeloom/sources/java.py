@@ -1,14 +1,18 @@
 """Facts from Java sources as column expressions over files (path, content, project).
 
-Comments go, string literals stay; a file's text is cut before each method header, so that every method is one
-element of an array with its annotations, header and body. All is done by the JVM's regular expressions,
-one pass per file; a file without a type declaration gives a row in `errors`, never a failed task.
+Comments go, string literals stay. Regular expressions cannot match braces, so one small helper (`outline`) cuts a file, in Arrow
+batches, into its type declarations, nested ones too, and each of them into its members (a field, or a method with its
+annotations and body). All else is done by the JVM's regular expressions on these; a file without a class or interface
+gives a row in `errors`, never a failed task.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +24,83 @@ _ARGS = r"\((?:[^()\"]|\"(?:\\.|[^\"\\])*\"|\([^()]*\))*\)"
 _ANN = rf"(?:@\w+(?:{_ARGS})?\s*)"
 _MODS = r"(?:(?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)"
 _TYPE = r"(?:[\w.]+(?:<[^;(){}]*?>)?(?:\[\])*)"
-_HEADER = rf"(?m)(?<=[;{{}}]|^)\s*{_ANN}*{_MODS}*(?:<[^>]+>\s+)?{_TYPE}\s+\w+\s*\([^()]*(?:\([^()]*\)[^()]*)*\)\s*(?:throws\s+[\w., ]+)?\s*[{{;]"
-_CLASS = rf"{_ANN}*{_MODS}*(?:class|interface)\s+\w+[^{{]*\{{"
-_FIELD = rf"{_ANN}+{_MODS}*{_TYPE}\s+\w+\s*(?:=[^;]*)?;"
-_KEYWORDS = ("return", "new", "else", "throw", "if", "for", "while", "switch", "catch", "package", "import", "try", "case")
+_CLASS = rf"{_ANN}*{_MODS}*(?:class|interface|enum|@interface)\s+\w+[^{{;]*\{{"
+_FIELD = rf"^\s*{_ANN}+{_MODS}*{_TYPE}\s+\w+\s*[=,;]"
+_KEYWORDS = ("return", "new", "else", "throw", "if", "for", "while", "switch", "catch", "package", "import", "try", "case", "public", "protected", "private", "static", "final", "abstract", "default", "synchronized", "native")
 # Annotations and names that decide what a declaration is.
 INJECTING = ("Reference", "DubboReference", "Resource", "Autowired")
 ROUTES = ("RequestMapping", "PostMapping", "GetMapping", "PutMapping", "DeleteMapping", "PatchMapping", "MobileAPI")
 JOBS = ("Scheduled", "AriesCronJobListener", "XxlJob")
-LANG = ("String", "Object", "Integer", "Long", "Boolean", "Double", "Float", "Byte", "Short", "Character", "Void", "Number", "Exception", "RuntimeException", "Throwable", "Iterable", "Runnable", "Override", "Deprecated")
-PRIMITIVE = ("int", "long", "boolean", "double", "float", "byte", "short", "char", "void")
-#: Names of library methods, which are no calls of a class's own methods.
-LIBRARY = ("equals", "hashCode", "toString", "getClass", "stream", "map", "filter", "collect", "forEach", "get", "put", "add", "remove", "contains", "size", "isEmpty", "of", "valueOf", "format", "println", "print", "append", "length", "substring", "split", "trim", "if", "for", "while", "switch", "catch", "return", "super", "this", "synchronized")
+PRIMITIVE = ("int", "long", "short", "byte", "float", "double", "boolean", "char", "void")
+LANG = ("String", "Object", "Integer", "Long", "Boolean", "Double", "Float", "Byte", "Short", "Character")
+# Names of library methods, which without a qualifier are no calls of a class's own methods.
+LIBRARY = """
+stream collect map filter forEach reduce flatMap
+orElse orElseGet ifPresent isPresent get of empty
+equals hashCode toString clone finalize
+wait notify notifyAll getClass
+findFirst findAny anyMatch allMatch noneMatch
+sorted distinct limit skip peek count
+max min sum average toArray
+join split replace substring trim toLowerCase toUpperCase
+contains startsWith endsWith indexOf lastIndexOf
+add remove clear size isEmpty iterator
+put putAll containsKey containsValue keySet values entrySet
+equalsIgnoreCase compareTo compareToIgnoreCase
+""".split()
+#: Words before a bracket that are no calls.
+STATEMENTS = ("if", "for", "while", "switch", "catch", "return", "super", "this", "synchronized", "throw", "new", "else", "try")
+
+#: A literal, the header of a method of an anonymous class (both no calls), or a call with its qualifier and first argument.
+_CALL = rf"""\"(?:\\.|[^\"\\])*\"|(?!(?:else|new|return|throw)\b)\b{_MODS}*{_TYPE}\s+\w+\s*\([^()]*\)\s*(?:throws\s+[\w., ]+)?\{{|(?:\b(\w+|this)\s*\.\s*)?\b(?<!new )(\w+)\s*\((?:\s*(?:"[^"]*"|[\w.]+))?"""
+
+_LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'")
+_SIGN = re.compile(r"[(){};]")
+_HEAD = re.compile(_CLASS)
+_NOTE = re.compile(_ANN)
+
+
+def outline(text: str) -> list[tuple[str, list[str]]]:
+    """(head, members) of each class and interface in order, nested ones too; a nested type is no member of the outer one."""
+    plain = _LITERAL.sub(lambda m: m.group()[0] + " " * (len(m.group()) - 2) + m.group()[-1], text)
+    heads = {m.end() - 1: m for m in _HEAD.finditer(plain)}
+    # (head or None, members, where the current member starts, whether it ends only with a semicolon) of each open bracket
+    found, stack = [], []
+    for sign in _SIGN.finditer(plain):
+        c, at = sign.group(), sign.start()
+        if c == "{" and at in heads:
+            members: list[str] = []
+            if not re.search(r"(?:enum|@interface)\s+\w+[^{]*\{$", heads[at].group()):
+                found.append((at, text[heads[at].start() : at + 1], members))
+            stack.append([at, members, at + 1, False])
+        elif c in "({":
+            if stack and stack[-1][0] is not None and c == "{" and "=" in _NOTE.sub("", plain[stack[-1][2] : at]):
+                stack[-1][3] = True  # an initial value
+            stack.append([None, None, 0, False])
+        elif c in ")}":
+            closed = stack.pop() if stack else None
+            if closed and stack and stack[-1][0] is not None and c == "}":
+                top = stack[-1]
+                if closed[0] is not None:
+                    top[2] = at + 1
+                elif not top[3]:
+                    top[1].append(text[top[2] : at + 1])
+                    top[2] = at + 1
+        elif stack and stack[-1][0] is not None:
+            top = stack[-1]
+            top[1].append(text[top[2] : at + 1])
+            top[2], top[3] = at + 1, False
+    return [(head, members) for _, head, members in sorted(found, key=lambda x: x[0])]
+
+
+def _outlines(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A row per type of a file (columns head, members after the file's own), one with an empty head if there is none; text on the first only."""
+    for df in it:
+        rows = []
+        for project, path, text, package, imports in df.itertuples(index=False):
+            for n, (head, members) in enumerate(outline(text) or [("", [])]):
+                rows.append((project, path, None if n else text, package, imports, head, members))
+        yield pd.DataFrame(rows, columns=[*df.columns, "head", "members"])
 
 
 @dataclass(frozen=True)
@@ -63,17 +132,26 @@ def _annotations(text: Column) -> Column:
 
 
 def _full_name(name: Column, package: Column, imports: Column) -> Column:
-    """A type's full name: as written if dotted, java.lang and primitive types, an import, else the file's package."""
+    """A type's full name: as written if dotted, a primitive, of java.lang, imported, of the file's package, or (in no package) of the
+    first package that is imported whole."""
     bare = F.regexp_replace(name, r"<.*|\[\]", "")
-    imported = F.element_at(F.filter(imports, lambda i: i.endswith(F.concat(F.lit("."), bare))), 1)
-    own = F.when(package == "", bare).otherwise(F.concat_ws(".", package, bare))
-    return F.when(bare.contains(".") | bare.isin(*PRIMITIVE), bare).when(F.get(F.filter(imports, lambda i: i.endswith(F.concat(F.lit("."), bare))), F.lit(0)).isNotNull(), imported).when(bare.isin(*LANG), F.concat(F.lit("java.lang."), bare)).otherwise(own)
+    imported = F.get(F.filter(imports, lambda i: i.endswith(F.concat(F.lit("."), bare))), F.lit(0))
+    whole = F.get(F.filter(imports, lambda i: i.endswith(".*")), F.lit(0))
+    own = F.when(package != "", F.concat_ws(".", package, bare)).when(whole.isNotNull(), F.concat(F.regexp_replace(whole, r"\*$", ""), bare)).otherwise(bare)
+    return F.when(bare.contains(".") | bare.isin(*PRIMITIVE), bare).when(bare.isin(*LANG), F.concat(F.lit("java.lang."), bare)).otherwise(F.coalesce(imported, own))
+
+
+def module(path: Column, project: Column) -> Column:
+    """The module of a file: the first part of its path, or the project if that is src."""
+    first = F.element_at(F.split(path, "/"), 1)
+    return F.when(first == "src", project).otherwise(first)
 
 
 def extract(files: DataFrame) -> Facts:
     """The facts of the Java files among `files` (path, content, project); tests and pruned folders are left out."""
-    src = files.where(is_java_source(F.col("path"))).select("project", F.col("path").alias("file_path"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?s)/\*.*?\*/|(?m)(?<![:\"])//.*?$", " ").alias("text"))
-    src = src.select("project", "file_path", "text", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)", 1).alias("package"), _all(F.col("text"), r"import\s+(?:static\s+)?([\w.]+)\s*;", 1).alias("imports"), F.regexp_extract("text", _CLASS, 0).alias("head"))
+    src = files.where(is_java_source(F.col("path"))).select("project", F.col("path").alias("file_path"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?s)/\*.*?\*/|(?m)(?<![:\"])//.*?$", " ").alias("text")).select("project", "file_path", "text")
+    src = src.select("*", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)", 1).alias("package"), _all(F.col("text"), r"import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", 1).alias("imports"))
+    src = src.mapInPandas(_outlines, "project string, file_path string, text string, package string, imports array<string>, head string, members array<string>")
     src = written(src)  # one parse serves every table below
     errors = src.where(F.col("head") == "").select("project", "file_path", F.when(F.col("text").rlike(r"\b(?:enum|@interface)\s+\w+"), "no class or interface").otherwise("no type declaration").alias("error"))
     ok = src.where(F.col("head") != "")
@@ -86,11 +164,7 @@ def extract(files: DataFrame) -> Facts:
     dubbo = F.arrays_overlap("annotations", F.array(F.lit("DubboService"))) | F.array_contains("annotations", "Service") & F.exists("imports", lambda i: i.contains("dubbo"))
     mapper = F.array_contains("annotations", "Mapper") | F.col("is_interface") & (F.col("name").endswith("Mapper") | F.lower("package").contains("mapper"))
     t = t.withColumn("is_dubbo_service", dubbo).withColumn("is_mapper", mapper)
-    # the body is cut before each method header
-    body = F.expr("substring(text, instr(text, head) + length(head))")
-    parts = F.split(F.regexp_replace(body, _HEADER, "\u0001$0"), "\u0001")
-    t = t.withColumn("parts", parts)
-    m = t.select("project", "file_path", "fqn", "package", "imports", "is_interface", F.posexplode("parts").alias("i", "part")).where("i > 0")
+    m = t.select("project", "file_path", "fqn", "package", "imports", "is_interface", F.explode("members").alias("part"))
     head = F.regexp_extract("part", r"^\s*(" + rf"{_ANN}*{_MODS}*(?:<[^>]+>\s+)?{_TYPE}\s+\w+\s*\([^()]*(?:\([^()]*\)[^()]*)*\)" + ")", 1)
     m = m.withColumn("head", head).withColumn("plain", F.regexp_replace("head", rf"^(?:{_ANN})*", ""))
     m = m.withColumn("name", F.regexp_extract("plain", r"(\w+)\s*\(", 1)).withColumn("return_type", F.regexp_extract("plain", rf"^{_MODS}*(?:<[^>]+>\s+)?({_TYPE})\s+\w+\s*\(", 1)).where(~F.col("return_type").isin(*_KEYWORDS, "") & ~F.col("name").isin(*_KEYWORDS))
@@ -101,30 +175,32 @@ def extract(files: DataFrame) -> Facts:
     m = written(m)
     methods = m.select("project", F.col("fqn").alias("class_fqn"), "name", "signature", "return_type", "parameters", "annotations", visibility(_all(F.regexp_extract("plain", rf"^{_MODS}*", 0), r"\w+", 0)).alias("visibility"))
 
-    f = t.select("project", "fqn", "package", "imports", F.explode(F.flatten(F.transform("parts", lambda p: _all(p, _FIELD)))).alias("field"))
+    f = t.select("project", "fqn", "package", "imports", F.explode("members").alias("field")).where(F.col("field").rlike(_FIELD)).withColumn("field", F.regexp_replace("field", r"^\s+", ""))
     f = f.withColumn("injection_type", F.get(F.filter(_annotations(F.col("field")), lambda a: a.isin(*INJECTING)), F.lit(0))).where("injection_type IS NOT NULL")
     f = f.withColumn("decl", F.regexp_replace("field", rf"^(?:{_ANN})*{_MODS}*", ""))
-    fields = f.select("project", F.col("fqn").alias("class_fqn"), F.regexp_extract("decl", r"(\w+)\s*(?:=.*)?;$", 1).alias("name"), _full_name(F.regexp_extract("decl", rf"^({_TYPE})", 1), F.col("package"), F.col("imports")).alias("type_fqn"), F.when(F.col("injection_type") == "DubboReference", "Reference").otherwise(F.col("injection_type")).alias("injection_type"))
+    each = F.explode(_all(F.regexp_replace("decl", rf"^{_TYPE}", ""), r"(?:^|,)\s*(\w+)\s*(?=[=,;])", 1)).alias("name")  # a row per declarator
+    fields = f.select("project", F.col("fqn").alias("class_fqn"), each, _full_name(F.regexp_extract("decl", rf"^({_TYPE})", 1), F.col("package"), F.col("imports")).alias("type_fqn"), F.when(F.col("injection_type") == "DubboReference", "Reference").otherwise(F.col("injection_type")).alias("injection_type"))
 
-    c = m.select("project", "fqn", "signature", F.explode(_all(F.col("body"), r'(?:\b(\w+|this)\s*\.\s*)?\b(?<!new )(\w+)\s*\((?:\s*(?:"[^"]*"|[\w.]+))?')).alias("call"))
+    c = m.select("project", "fqn", "signature", F.explode(_all(F.col("body"), _CALL)).alias("call")).where(~F.col("call").startswith('"') & ~F.col("call").endswith("{"))
     c = c.withColumn("qualifier", F.nullif(F.regexp_extract("call", r"^(\w+)\s*\.", 1), F.lit(""))).withColumn("callee", F.regexp_extract("call", r"(\w+)\s*\(", 1)).withColumn("argument", F.regexp_extract("call", r"\(\s*(.*)$", 1))
     own = fields.select(F.col("class_fqn").alias("fqn"), F.col("name").alias("qualifier"), F.col("type_fqn").alias("target"), "injection_type")
     c = c.join(own, ["fqn", "qualifier"], "left")
-    inner = F.col("target").isNull() & (F.col("qualifier").isNull() | (F.col("qualifier") == "this")) & ~F.col("callee").isin(*LIBRARY)
+    inner = F.col("target").isNull() & (F.col("qualifier").isNull() | (F.col("qualifier") == "this")) & ~F.col("callee").isin(*LIBRARY, *STATEMENTS)
     sender = (F.col("callee") == "send") & F.lower(simple_name(F.col("target"))).contains("kafka") | F.col("callee").isin("send", "sendDelay", "sendAsync", "convertAndSend") & F.lower(simple_name(F.col("target"))).contains("rocket")
     constants = src.select("file_path", F.explode(_all(F.col("text"), r'String\s+\w+\s*=\s*"[^"]*"')).alias("k")).select("file_path", F.regexp_extract("k", r"String\s+(\w+)", 1).alias("constant"), F.get(_strings(F.col("k")), F.lit(0)).alias("value"))
     sends = c.where(F.coalesce(sender, F.lit(False))).join(m.select("signature", "file_path").distinct(), "signature").withColumn("constant", simple_name(F.col("argument"))).join(constants, ["file_path", "constant"], "left")
     topic = F.coalesce(F.get(_strings(F.col("argument")), F.lit(0)), "value", "constant")
     kafka = F.lower("target").contains("kafka")
     sends = sends.select("project", "signature", F.when(kafka, topic).otherwise(F.element_at(F.split(topic, ":"), 1)).alias("topic"), F.when(kafka, "kafka").otherwise("rocket").alias("mq_type")).distinct()
-    calls = c.where(F.col("target").isNotNull() & ~F.coalesce(sender, F.lit(False)) | inner)
+    # only types that own an injected field are searched for calls
+    calls = c.where(F.col("target").isNotNull() & ~F.coalesce(sender, F.lit(False)) | inner).join(fields.select(F.col("class_fqn").alias("fqn")).distinct(), "fqn", "left_semi")
     calls = calls.select("project", F.col("fqn").alias("caller_fqn"), F.col("signature").alias("caller"), F.coalesce("target", "fqn").alias("callee_fqn"), F.col("callee").alias("callee_name"), F.when(F.col("target").isNotNull(), F.col("qualifier")).alias("via_field"), F.coalesce("injection_type", F.lit("Internal")).alias("call_type")).distinct()
 
     route = m.where(F.arrays_overlap("annotations", F.array(*map(F.lit, ROUTES))))
     route = route.select("project", "signature", F.explode(_all(F.col("notes"), rf"@(?:{'|'.join(ROUTES)})(?:{_ARGS})?")).alias("a"))
     paths = F.coalesce(F.nullif(_strings(F.coalesce(F.nullif(F.regexp_extract("a", r"(?:path|value)\s*=\s*(\{[^}]*\}|\"[^\"]*\")", 1), F.lit("")), F.regexp_replace("a", r"\w+\s*=\s*(?:\{[^}]*\}|\"[^\"]*\"|[\w.]+)", ""))), F.array().cast("array<string>")), F.array(F.lit("")))
     endpoints = route.select("project", "signature", F.explode(paths).alias("path"), http_method(F.regexp_extract("a", r"@(\w+)", 1)).alias("http_method"))
-    endpoints = endpoints.select(F.concat("path", F.lit("#"), simple_name(F.regexp_replace("signature", r"\(.*", ""))).alias("id"), "project", "signature", "path", "http_method")
+    endpoints = endpoints.select(F.concat("path", F.lit("#"), simple_name(F.col("signature"))).alias("id"), "project", "signature", "path", "http_method")
     job = m.where(F.arrays_overlap("annotations", F.array(*map(F.lit, JOBS)))).withColumn("a", F.regexp_extract("notes", rf"@(?:{'|'.join(JOBS)})(?:{_ARGS})?", 0))
     jobs = job.select("project", "fqn", "signature", F.concat_ws(".", "fqn", "name").alias("job_fqn"), F.when(F.col("a").contains("@Scheduled"), "scheduled").otherwise("listener").alias("job_type"), F.nullif(F.regexp_extract("a", r'\(\s*"([^"]*)"\s*\)', 1), F.lit("")).alias("cron_expr"))
     listen = m.select("project", "file_path", "fqn", "signature", F.explode(_all(F.col("notes"), rf"@(?:KafkaListener|RocketMQMessageListener|RabbitListener){_ARGS}")).alias("a"))
@@ -133,7 +209,7 @@ def extract(files: DataFrame) -> Facts:
     listeners = listen.select("project", "fqn", "signature", F.coalesce(F.get(_strings(F.col("raw")), F.lit(0)), "value", "constant").alias("topic"), kind.alias("mq_type"), F.nullif(F.regexp_extract("a", r'(?:groupId|consumerGroup)\s*=\s*"([^"]*)"', 1), F.lit("")).alias("group"))
 
     is_job = F.arrays_overlap("annotations", F.array(F.lit("AriesCronJobListener"), F.lit("AriesJob")))
-    types = t.select("project", "fqn", F.when(F.col("is_mapper"), "MAPPER").when(is_job, "ARIES_JOB").when(F.col("is_interface"), "INTERFACE").otherwise("CLASS").alias("kind"), "name", "package", architecture_layer(F.col("name"), F.col("package"), F.col("annotations"), F.col("is_mapper"), F.col("is_dubbo_service"), F.col("implements")).alias("arch_layer"), visibility(F.col("modifiers")).alias("visibility"), "file_path", "is_dubbo_service", "is_mapper", F.transform("extends", lambda x: _full_name(x, F.col("package"), F.col("imports"))).alias("extends"), F.transform("implements", lambda x: _full_name(x, F.col("package"), F.col("imports"))).alias("implements"))
+    types = t.select("project", module(F.col("file_path"), F.col("project")).alias("module"), "fqn", F.when(F.col("is_mapper"), "MAPPER").when(is_job, "ARIES_JOB").when(F.col("is_interface"), "INTERFACE").otherwise("CLASS").alias("kind"), "name", "package", architecture_layer(F.col("name"), F.col("package"), F.col("annotations"), F.col("is_mapper"), F.col("is_dubbo_service"), F.col("implements")).alias("arch_layer"), visibility(F.col("modifiers")).alias("visibility"), "file_path", "is_dubbo_service", "is_mapper", F.transform("extends", lambda x: _full_name(x, F.col("package"), F.col("imports"))).alias("extends"), F.transform("implements", lambda x: _full_name(x, F.col("package"), F.col("imports"))).alias("implements"))
     tables = types.where("is_mapper").select("fqn", table_name(F.col("name")).alias("table_name"))
     return Facts(types, methods, fields, calls, endpoints, jobs, listeners, sends, tables, errors)
 
@@ -155,6 +231,7 @@ def call_edges(facts: Facts) -> tuple[DataFrame, DataFrame]:
     dst = F.coalesce("found", F.concat(F.concat_ws(".", "callee_fqn", "callee_name"), F.lit("(...)")))
     far = (F.col("call_type") == "Reference") & (F.col("callee_project").isNull() | (F.col("callee_project") != F.col("project")))
     kind = F.when(F.coalesce("is_mapper", F.lit(False)), "DB_CALL").when(far, "DUBBO_CALLS").otherwise("CALLS")
-    edges = c.select(F.col("caller").alias("src"), dst.alias("dst"), kind.alias("rel_type"), "via_field", F.when((F.col("call_type") == "Reference") & ~far, "Internal").otherwise(F.col("call_type")).alias("call_type")).dropDuplicates(["src", "rel_type", "dst"])
+    edges = c.select(F.col("caller").alias("src"), dst.alias("dst"), kind.alias("rel_type"), "via_field", F.when((F.col("call_type") == "Reference") & ~far, "Internal").otherwise(F.col("call_type")).alias("call_type"))
+    edges = edges.groupBy("src", "rel_type", "dst").agg(F.max(F.struct("via_field", "call_type")).alias("x")).select("src", "dst", "rel_type", "x.via_field", "x.call_type")  # one per pair
     stubs = c.where("callee_project IS NULL").select(F.col("callee_fqn").alias("fqn"), simple_name(F.col("callee_fqn")).alias("name"), F.lit("INTERFACE").alias("kind"), F.lit(True).alias("is_external")).distinct()
     return edges, stubs

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions import rules
-from codeloom.sources import files, java, merge
+from codeloom.sources import files, java, load, merge
 
 JAVA = {
     "shop-service/src/main/java/com/acme/web/OrderController.java": """package com.acme.web;
@@ -97,6 +97,91 @@ def test_members(facts):
     assert sorted((r.topic, r.mq_type) for r in facts.sends.collect()) == [("t", "rocket"), ("x-topic", "kafka")]
 
 
+NESTED = """package com.acme.deep;
+import com.acme.api.*;
+import static java.util.Map.Entry;
+import com.other.Base;
+@Service("x{;")
+public class Outer extends Base implements Api, java.io.Serializable {
+    int[] sizes = {1, 2};
+    @Resource
+    private Helper one, two = null;
+    static { boot(); }
+    public Outer(int n) { one.made(); }
+    public void run() { one.go("} two.no("); /* two.no() */ this.own(); count(); orElse(1); other.far(); new Thing(); new Runnable() { public void inner() { two.deep(); } }; }
+    private void own() throws E { char c = '}'; if (x) { two.end(); } }
+    static class Inner { @Autowired private Helper in; void last() { in.stop(); } interface Deep { void d(); } enum Kind { A; void k() {} } }
+    public int after() { return 1; }
+}
+class Second { void s() { } }
+@interface Note { }
+"""
+
+
+def test_nested_types_declarators_and_calls(spark):
+    rows = [("p", "core/src/main/java/com/acme/deep/Outer.java", NESTED), ("p", "src/main/java/Plain.java", "import a.b.*;\nclass Plain { @Autowired Q q; }")]
+    f = java.extract(spark.createDataFrame(rows, "project string, path string, content string"))
+    assert {(r.fqn, r.module) for r in f.types.collect()} == {("com.acme.deep.Outer", "core"), ("com.acme.deep.Inner", "core"), ("com.acme.deep.Deep", "core"), ("com.acme.deep.Second", "core"), ("Plain", "p")}
+    assert {(r.class_fqn, r.name, r.type_fqn) for r in f.fields.collect()} == {("com.acme.deep.Outer", "one", "com.acme.deep.Helper"), ("com.acme.deep.Outer", "two", "com.acme.deep.Helper"), ("com.acme.deep.Inner", "in", "com.acme.deep.Helper"), ("Plain", "q", "a.b.Q")}
+    assert {r.signature for r in f.methods.collect()} == {"com.acme.deep.Outer.run()", "com.acme.deep.Outer.own()", "com.acme.deep.Outer.after()", "com.acme.deep.Inner.last()", "com.acme.deep.Deep.d()", "com.acme.deep.Second.s()"}
+    got = {(r.caller.split(".", 3)[3], r.callee_name, r.via_field) for r in f.calls.collect()}
+    assert got == {("Outer.run()", "go", "one"), ("Outer.run()", "own", None), ("Outer.run()", "deep", "two"), ("Outer.own()", "end", "two"), ("Inner.last()", "stop", "in")}
+    t = f.types.where("name = 'Outer'").first()
+    assert (t.extends, t.implements) == (["com.other.Base"], ["com.acme.deep.Api", "java.io.Serializable"])
+
+
+@pytest.fixture(scope="module")
+def loaded(spark, facts):
+    return load.load(facts, spark.createDataFrame([(n, f"/repos/{n}") for n in ("shop-service", "shop-api")], "name string, path string"), packages=True)
+
+
+def test_load_makes_every_kind_of_edge(loaded):
+    short = lambda s: ".".join(s.split("(")[0].split(".")[-2:])
+    got = {(r.rel_type, short(r.src), short(r.dst)) for r in loaded.edge.collect()}
+    assert {
+        ("CONTAINS", "shop-api", "api.OrderService"), ("CONTAINS", "acme.dao", "dao.ChatroomNobleMapper"), ("DECLARES", "api.OrderService", "OrderService.find"), ("HAS_FIELD", "impl.OrderServiceImpl", "OrderServiceImpl.pay"),
+        ("MAPPER_FOR_TABLE", "dao.ChatroomNobleMapper", "chatroom_noble"), ("EXPOSES", "OrderController.show", "/c#show"), ("MQ_KAFKA_CONSUMER", "mq.Mq", "kafka:one"), ("MQ_CONSUMES_METHOD", "kafka:one", "Mq.a"),
+        ("MQ_KAFKA_PRODUCER", "Mq.a", "kafka:x-topic"), ("MQ_ROCKET_PRODUCER", "Mq.b", "rocket:t"), ("DUBBO_PROVIDES", "impl.OrderServiceImpl", "api.OrderService"), ("IMPLEMENTS", "impl.OrderServiceImpl", "api.OrderService"),
+        ("DUBBO_CALLS", "OrderServiceImpl.place", "PayApi.charge"), ("DECLARES", "pay.PayApi", "PayApi.charge"), ("DB_CALL", "OrderServiceImpl.find", "ChatroomNobleMapper.select"), ("CALLS", "OrderController.create", "OrderController.check"),
+    } <= got
+    assert not any("PlainDto" in x or "JobTask" in x for e in got for x in e)  # no business types
+    assert {(r.name, r.mq_type, r.group) for r in loaded.topic.collect()} == {("one", "kafka", "g"), ("x-topic", "kafka", None), ("t", "rocket", None)}
+    assert [(r.fqn, r.kind) for r in loaded.type.where("is_external").collect()] == [("com.pay.PayApi", "INTERFACE")]
+    assert {(r.id, r.service_name) for r in loaded.endpoint.where("path = '/c'").collect()} == {("/c#show(String)", "com.acme.web.OrderController")}
+
+
+def test_stubs_of_parents_and_interfaces(spark):
+    rows = [("p", "src/A.java", "package a;\n@DubboService public class A extends B implements C, D { }"), ("p", "src/C.java", "package a;\n@DubboService public class C extends D { }")]
+    x = load.load(java.extract(spark.createDataFrame(rows, "project string, path string, content string")), spark.createDataFrame([("p", "/p")], "name string, path string"))
+    assert {(r.fqn, r.kind, r.is_external) for r in x.type.collect()} == {("a.A", "CLASS", None), ("a.C", "CLASS", None), ("a.B", "CLASS", None), ("a.D", "CLASS", None)}
+    assert {(r.src, r.rel_type, r.dst, r.dst_label) for r in x.edge.where("rel_type IN ('EXTENDS', 'IMPLEMENTS')").collect()} == {("a.A", "EXTENDS", "a.B", "CLASS"), ("a.C", "EXTENDS", "a.D", "CLASS"), ("a.A", "IMPLEMENTS", "a.C", "CLASS"), ("a.A", "IMPLEMENTS", "a.D", "CLASS")}
+
+
+def test_scan_report(loaded):
+    import json
+
+    r = {x.project: x for x in load.scan_report(loaded).collect()}
+    assert (r["shop-api"].total_classes, r["shop-api"].total_methods) == (1, 3)
+    module = json.loads(r["shop-service"].report)["shop-service"]
+    assert module["total_classes"] == r["shop-service"].total_classes and module["total_packages"] == 4
+    dao = json.loads(module["packages"])["com.acme.dao"][0]
+    assert (dao["name"], dao["method_count"], dao["is_mapper"]) == ("ChatroomNobleMapper", 2, True)
+
+
+def test_incremental_scans(spark, facts):
+    rows = [(p.split("/")[0], p, t) for p, t in JAVA.items()]
+    src = spark.createDataFrame(rows, "project string, path string, content string")
+    want = spark.createDataFrame([("com.acme.api.OrderService",), ("com.acme.Color",), ("com.acme.Gone",)], "fqn string")
+    found, missing = load.requested(src, want)
+    assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["Color.java", "OrderService.java"] and [r.fqn for r in missing.collect()] == ["com.acme.Gone"]
+    assert [r.fqn for r in load.implementers(src, "OrderService").collect()] == ["com.acme.impl.OrderServiceImpl"]
+    assert load.pending(facts.types, want).collect() == []
+    one = facts.types.where("name = 'OrderServiceImpl'")
+    assert [r.fqn for r in load.pending(one, want.limit(0)).collect()] == ["com.acme.api.OrderService"] and load.pending(one, want).collect() == []
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert [r.name for r in load.to_scan(names("a", "b"), names("a")).collect()] == ["b"] and load.to_scan(names("a", "b"), names("a"), force=True).count() == 2
+
+
 def test_call_edges(facts):
     edges, stubs = java.call_edges(facts)
     short = lambda s: ".".join(s.split("(")[0].split(".")[-2:]) + ("(...)" if s.endswith("(...)") else "")
