@@ -178,11 +178,12 @@ def sample(docs: DataFrame, labels: DataFrame, columns: list[str], maker: Maker,
     return Sample(np.concatenate(parts) if parts else np.empty(0, np.int32), at, ys)
 
 
-def hinge(rows: Sample, y: np.ndarray, scale: np.ndarray, extra: np.ndarray | None = None, c: float = 1.0, passes: int = 20) -> tuple[np.ndarray, float, np.ndarray]:
+def hinge(rows: Sample, y: np.ndarray, scale: np.ndarray, extra: np.ndarray | None = None, c: float = 1.0, passes: int = 20, tolerance: float = 1e-3) -> tuple[np.ndarray, float, np.ndarray]:
     """(w, bias, weights of extra): a linear hinge-loss model by dual coordinate descent.
 
     Minimises |w|^2 / 2 + c * sum of max(0, 1 - y f(x)), y being 0 or 1 and x a row's indicators times scale, a
-    constant 1, and the row of extra. Each step solves one row's dual variable exactly within [0, c]."""
+    constant 1, and the row of extra. Each step solves one row's dual variable exactly within [0, c]; passes end when none
+    moves by more than tolerance * c."""
     n = len(rows)
     sign = np.where(y > 0, 1.0, -1.0)
     extra = np.zeros((n, 0)) if extra is None else extra
@@ -204,7 +205,7 @@ def hinge(rows: Sample, y: np.ndarray, scale: np.ndarray, extra: np.ndarray | No
                 v += d * extra[i]
                 moved = max(moved, abs(a - alpha[i]))
                 alpha[i] = a
-        if moved < 1e-3 * c:
+        if moved < tolerance * c:
             break
     return w, b, v
 
