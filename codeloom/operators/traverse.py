@@ -1,18 +1,43 @@
 """Bounded traversals as level-by-level joins.
 
-Each level joins the frontier with the edges, drops what was reached before, and is written, so a
-plan never grows with depth and a lost executor costs one level. A level's frontier is the only
-thing exchanged; the edges keep their layout.
+Each level joins the frontier with the edges, drops what was reached before by one join with all former levels, and is written, so a
+plan never grows with depth and a lost executor costs one level. A small frontier is broadcast, so a level only scans the
+edges; a large one is exchanged, and edges that are stored by their source (`by_source`) are not.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.store import written
+from ..sources.store import bucketed, scratch, written
+
+Children = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+class Levels:
+    """The levels of a traversal: a folder of one table, partitioned by depth."""
+
+    def __init__(self, first: DataFrame) -> None:
+        """first: the columns of every level; depth is not among them."""
+        self.spark, self.path, self.schema = first.sparkSession, scratch(first.sparkSession), first.schema
+
+    def add(self, rows: DataFrame, depth: int) -> DataFrame:
+        """Writes a level; returns it as read again."""
+        where = f"{self.path}/depth={depth}"
+        rows.write.parquet(where)
+        return self.spark.read.schema(self.schema).parquet(where)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*self.schema, T.StructField("depth", T.IntegerType())])).parquet(self.path)
+
+
+def by_source(edges: DataFrame) -> DataFrame:
+    """edges (src, dst, ...) stored in buckets of src, so that no traversal exchanges them again."""
+    return bucketed(edges, "src")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, zero: bool = True) -> DataFrame:
@@ -20,19 +45,21 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, zero: bool = True) ->
 
     edges: src, dst; seeds: source, node. With zero the seeds are reached at depth 0; without, a seed counts
     only if a cycle leads back to it."""
-    edges = edges.select(F.col("src").alias("node"), "dst").distinct()
+    edges = edges.select(F.col("src").alias("node"), "dst")
     first = seeds.select("source", "node").distinct()
-    frontier = written(first.withColumn("depth", F.lit(0)))
-    levels = [frontier] if zero else []
+    levels = Levels(first)
+    if zero:
+        frontier = levels.add(first, 0)
+    else:
+        frontier, found = written(first), False
     for d in range(1, depth + 1):
         step = frontier.join(edges, "node").select("source", F.col("dst").alias("node")).distinct()
-        for seen in levels:
-            step = step.join(seen.select("source", "node"), ["source", "node"], "left_anti")
-        frontier = written(step.withColumn("depth", F.lit(d)))
+        if zero or found:
+            step = step.join(levels.all().select("source", "node"), ["source", "node"], "left_anti")
+        frontier, found = levels.add(step, d), True
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels) if levels else frontier
+    return levels.all().select("source", "node", "depth")
 
 
 def lengths(edges: DataFrame, seeds: DataFrame, depth: int, state: dict[str, F.Column] | None = None) -> DataFrame:
@@ -42,35 +69,35 @@ def lengths(edges: DataFrame, seeds: DataFrame, depth: int, state: dict[str, F.C
     and its own former value). Distinct per level, so a level never holds more than sources x nodes x states."""
     state = state or {}
     e = edges.select(F.col("src").alias("node"), *[c for c in edges.columns if c != "src"])
-    frontier = written(seeds)
-    levels = [frontier]
+    first = seeds.drop("depth")
+    levels = Levels(first)
+    frontier = levels.add(first, 0)
     for d in range(1, depth + 1):
-        step = frontier.drop("depth").join(e, "node")
-        step = step.select("source", F.col("dst").alias("node"), *(x.alias(n) for n, x in state.items())).distinct()
-        frontier = written(step.withColumn("depth", F.lit(d)))
+        step = frontier.join(e, "node").select("source", F.col("dst").alias("node"), *(x.alias(n) for n, x in state.items())).distinct()
+        frontier = levels.add(step.select(first.columns), d)
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+    return levels.all()
 
 
-def simple_paths(edges: DataFrame, seeds: DataFrame, depth: int, per_parent: int | None = None, order: str = "dst") -> DataFrame:
+def simple_paths(children: Children, seeds: DataFrame, depth: int, per_parent: int | None = None, order: str = "dst") -> DataFrame:
     """(path array, node, depth): all paths without a repeated node; with per_parent, each node's children are cut to
-    the first so many in the order of `order` (for display). seeds: node."""
+    the first so many in the order of `order` (for display). seeds: node; children: edges (src, dst), or a function that
+    gives those of the nodes (column node) it is asked for."""
     from pyspark.sql import Window
 
-    frontier = written(seeds.select(F.array("node").alias("path"), "node", F.lit(0).alias("depth")))
-    levels = [frontier]
-    e = edges.select(F.col("src").alias("node"), "dst").distinct()
+    first = seeds.select(F.array("node").alias("path"), "node")
+    levels = Levels(first)
+    frontier = levels.add(first, 0)
     for d in range(1, depth + 1):
-        step = frontier.join(e, "node").where(~F.array_contains("path", F.col("dst")))
+        e = children(frontier.select("node").distinct()) if callable(children) else children
+        step = frontier.join(e.select(F.col("src").alias("node"), "dst").distinct(), "node").where(~F.array_contains("path", F.col("dst")))
         if per_parent is not None:
             step = step.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(order))).where(F.col("rn") <= per_parent)
-        frontier = written(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node"), F.lit(d).alias("depth")))
+        frontier = levels.add(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node")), d)
         if frontier.isEmpty():
             break
-        levels.append(frontier)
-    return reduce(DataFrame.unionByName, levels)
+    return levels.all()
 
 
 def on_paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, depth: int, at_start: bool = True) -> DataFrame:

@@ -66,9 +66,11 @@ def dubbo_calls(g: Graph, methods: DataFrame, depth: int = DEPTH, cross_project_
     iface = m.where("kind = 'INTERFACE'").select(F.col("method_id").alias("dst"), F.col("type_id").alias("iface"), F.col("fqn").alias("dubbo_interface"), F.col("name").alias("dubbo_method"), F.col("project").alias("own_project"))
     impl = g.implements.join(g.type.where("kind = 'CLASS'").join(g.project_name, "project_id", "left").select(F.col("type_id").alias("src"), "project"), "src")
     impl = impl.select(F.col("dst").alias("iface"), F.col("src").alias("impl"), F.col("project").alias("impl_project"))
-    declared = g.method.select(F.col("type_id").alias("impl"), F.col("name").alias("impl_method"))
+    # an implementation counts if it declares the method, or no method at all
+    named = g.method.select(F.col("type_id").alias("impl"), F.col("name").alias("dubbo_method"), F.lit(True).alias("named")).distinct()
+    declares = g.method.select(F.col("type_id").alias("impl"), F.lit(True).alias("declares")).distinct()
     rows = hop.join(caller, "src").join(iface, "dst").join(impl, "iface", "left")
-    rows = rows.join(declared, "impl", "left").where("impl_method IS NULL OR impl_method = dubbo_method")
+    rows = rows.join(named, ["impl", "dubbo_method"], "left").join(declares, "impl", "left").where("named OR declares IS NULL")
     other = F.col("impl_project").isNull() | (F.col("caller_project") != F.col("impl_project"))
     if cross_project_only:
         rows = rows.where(other)
@@ -186,7 +188,7 @@ def dependency_graph(g: Graph, starts: DataFrame, depth: int = 3, mode: str = "m
 
     own = g.type.join(starts.select(F.col("node").alias("type_id")), "type_id").select("project_id")
     ends = g.type.select(F.col("type_id").alias("node"), "project_id")
-    ends = ends.join(F.broadcast(own.select(F.col("project_id").alias("own")).distinct()), F.col("project_id").isNull() | (F.col("project_id") == F.col("own")), "left_semi").select("node")
+    ends = ends.where("project_id IS NULL").select("node").union(ends.join(own, "project_id", "left_semi").select("node"))
     edges = on_paths(g.depends_on, starts, ends, depth)
     end = lambda side, n: g.type.select(F.col("type_id").alias(side), F.col("fqn").alias(f"{n}_fqn"), F.col("name").alias(f"{n}_name"))
     out = edges.join(end("src", "from"), "src").join(end("dst", "to"), "dst")
@@ -249,13 +251,18 @@ def _jqa07(g: Graph) -> DataFrame:
     return dependents(g, start_type(g), 3).join(g.type.select(F.col("type_id").alias("node"), F.col("fqn").alias("class_fqn")), "node").select(F.col("depth").cast("long").alias("level"), "class_fqn")
 
 
+def _children(g: Graph, nodes: DataFrame) -> DataFrame:
+    """(src, dst): the methods that the given ones (node) call, and of an interface's method the implementations."""
+    calls = g.calls("CALLS").join(nodes.select(F.col("node").alias("src")), "src", "left_semi").select("src", "dst")
+    return calls.union(_same_name_impl(g, nodes.select(F.col("node").alias("iface_method"))))
+
+
 def call_tree(g: Graph, methods: DataFrame, depth: int = 4, per_parent: int | None = None, leaves: int = 5) -> DataFrame:
     """The call tree as rows: path (method ids from the root, joined by /), depth, node_type, name.
 
     A method's children: the methods it calls and, of an interface's method, the implementations (at most per_parent, if given); none
     that is an ancestor. Leaves: its Dubbo calls, and at most `leaves` tables reached over 1-3 CALLS or DB_CALL."""
-    child = g.calls("CALLS").select("src", "dst").union(_same_name_impl(g, g.method.select(F.col("method_id").alias("iface_method"))))
-    nodes = simple_paths(child, methods, depth, per_parent)
+    nodes = simple_paths(lambda at: _children(g, at), methods, depth, per_parent)
     text = F.concat_ws("/", F.transform("path", lambda x: x.cast("string")))
     m = g.owned
     named = nodes.join(m.select(F.col("method_id").alias("node"), "signature", "kind"), "node").withColumn("at", text)
@@ -292,8 +299,7 @@ def _trv10(g: Graph) -> DataFrame:
 
 @on_graph("trv_23_tree_class_stats", f"""WITH {START}, {_TREE} SELECT y.fqn AS class_fqn, count(*) AS call_count, count(DISTINCT m.name) AS n_methods FROM t JOIN fx_method m ON m.method_id = t.node JOIN fx_type y ON y.type_id = m.type_id GROUP BY y.fqn""")
 def _trv23(g: Graph) -> DataFrame:
-    child = g.calls("CALLS").select("src", "dst").union(_same_name_impl(g, g.method.select(F.col("method_id").alias("iface_method"))))
-    nodes = simple_paths(child, start(g).select("node"), 4).select(F.col("node").alias("method_id"))
+    nodes = simple_paths(lambda at: _children(g, at), start(g).select("node"), 4).select(F.col("node").alias("method_id"))
     return nodes.join(g.owned, "method_id").groupBy(F.col("fqn").alias("class_fqn")).agg(F.count("*").alias("call_count"), F.countDistinct("name").alias("n_methods"))
 
 

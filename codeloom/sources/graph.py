@@ -1,17 +1,18 @@
 """The code graph as DataFrames, and one derived from the driver's tables by rule (FIXTURES.md, section 3).
 
 A graph is stored once per application and input as Parquet (calls partitioned by rel_type, so
-that a query on some edge types reads only theirs) and every query reads that store.
+that a query on some edge types reads only theirs, in buckets of their source, so that no traversal exchanges them) and every query reads that store.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import bucketed, small, written
 
 #: The views of FIXTURES.md in order; the text runs on Spark and on DuckDB alike.
 FIXTURE: dict[str, str] = {
@@ -92,20 +93,21 @@ class Graph:
     job: DataFrame
     mq: DataFrame
 
-    @property
+    @cached_property
     def project_name(self) -> DataFrame:
-        return self.project.select("project_id", F.col("name").alias("project"))
+        """project_id and name, to be broadcast if a count shows that they are few."""
+        return small(self.project.select("project_id", F.col("name").alias("project")))
 
     @property
     def owned(self) -> DataFrame:
         """Methods with their class and its project (NULL if the class is not contained)."""
         t = self.type.select("type_id", "fqn", F.col("name").alias("class_name"), "kind", "arch_layer", "project_id", "is_external", "package")
-        return self.method.join(t, "type_id").join(F.broadcast(self.project_name), "project_id", "left")  # projects: thousands at most
+        return self.method.join(t, "type_id").join(self.project_name, "project_id", "left")
 
     @property
     def contained(self) -> DataFrame:
         """Types in a project, with its name."""
-        return self.type.join(F.broadcast(self.project_name), "project_id")
+        return self.type.join(self.project_name, "project_id")
 
     def calls(self, *rel_types: str) -> DataFrame:
         return self.call.where(F.col("rel_type").isin(*rel_types)) if rel_types else self.call
@@ -123,7 +125,7 @@ def open_graph(spark: SparkSession, sf_dir: str) -> Graph:
         made = {}
         for name, sql in FIXTURE.items():
             df = spark.sql(sql)
-            made[name] = written(df, "rel_type") if name == "fx_call" else written(df)
+            made[name] = bucketed(df, "src", "rel_type") if name == "fx_call" else bucketed(df, "src") if name == "fx_depends_on" else written(df)
             made[name].createOrReplaceTempView(name)
         _open[key] = Graph(spark, **{n.removeprefix("fx_"): d for n, d in made.items()})
         for t in (*_BASE, *FIXTURE):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.rules import simple_name
 from .graph import Graph
 from .java import Facts, business_types, call_edges
-from .store import written
+from .store import bucketed, written
 
 #: Columns of edges that only some types have.
 _MORE = ("via_field", "call_type", "field_name", "group")
@@ -134,7 +134,7 @@ def as_graph(loaded: Loaded) -> Graph:
         "job": e("EXECUTES_JOB").select(of("src").alias("method_id"), F.col("dst").alias("fqn")).join(loaded.job, "fqn").select("method_id", F.col("fqn").alias("job_fqn"), "job_type", "cron_expr"),
         "mq": topic.join(loaded.method.select("signature", "class_fqn"), "signature").select(of("signature").alias("method_id"), of("class_fqn").alias("type_id"), F.substring_index("key", ":", -1).alias("topic"), F.substring_index("key", ":", 1).alias("mq_type"), "role"),
     }
-    return Graph(spark, **{k: written(v, "rel_type") if k == "call" else written(v) for k, v in made.items()})
+    return Graph(spark, **{k: bucketed(v, "src", "rel_type") if k == "call" else bucketed(v, "src") if k == "depends_on" else written(v) for k, v in made.items()})
 
 
 def scan_report(loaded: Loaded) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,10 +14,14 @@ _roots: dict[str, str] = {}
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir (a local folder only where that is unset); deleted when the application ends."""
+    """A new path below spark.checkpoint.dir (a local folder where that is unset and the master is local); deleted when the application ends."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-")
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+        if not root:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+            root = tempfile.mkdtemp(prefix="spark-")
         _roots[app] = f"{root}/graph-{app}"
 
         def drop() -> None:
@@ -37,6 +42,24 @@ def written(df: DataFrame, *partition_by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows for which a stored table has one bucket; never fewer than BUCKETS of them.
+PER_BUCKET, BUCKETS = 5_000_000, 8
+
+
+def bucketed(df: DataFrame, key: str, *partition_by: str) -> DataFrame:
+    """df as a stored table in buckets of key, sorted by it: joins and groups on key do not exchange it. Survives as written() does."""
+    spark = df.sparkSession
+    df = written(df)
+    path = scratch(spark)
+    name = f"t_{path.rsplit('/', 1)[1]}"
+    n = max(BUCKETS, df.count() // PER_BUCKET)
+    writer = df.write.bucketBy(n, key).sortBy(key)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.saveAsTable(name, path=path)
+    return spark.table(name)
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if a count shows it to be small; else unchanged."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -53,6 +53,18 @@ def test_reach(spark, edges):
     assert got(True, 1) == {(1, 1): 0, (1, 2): 1, (6, 6): 0}
 
 
+def test_levels_do_not_exchange_edges(spark, sf_dir):
+    """Joined with a frontier too large to broadcast, the stored edges are read as they lie: the one exchange is the frontier's."""
+    from codeloom.sources.graph import open_graph
+
+    g = open_graph(spark, sf_dir)
+    plan = lambda edges: spark.range(100).select(F.col("id").alias("src")).hint("merge").join(edges, "src")._jdf.queryExecution().executedPlan().toString()
+    assert plan(g.calls("CALLS")).count("Exchange hashpartitioning") == 1
+    assert plan(g.depends_on).count("Exchange hashpartitioning") == 1
+    shuffled = g.calls("CALLS").select("dst", F.col("src").alias("src")).repartition(3)
+    assert plan(shuffled).count("Exchange") >= 2
+
+
 def test_lengths_keep_every_depth(spark, edges):
     seeds = _seed(spark, 1).withColumn("depth", F.lit(0))
     got = {(r.node, r.depth) for r in lengths(edges.select("src", "dst"), seeds, 5).collect()}
