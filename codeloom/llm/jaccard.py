@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, read, sized, written
-from .words import U, batches, grams, mix, words
+from .words import U, batches, grams, mix, release, words
 
 SHINGLE = 5
 NUM, DEN = 75, 100
@@ -161,6 +161,7 @@ def _sign(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by sig and doc, those whose sig has another row (or is marked so), and the rows of sizes. Holds one batch and one row."""
+    release()
     last: tuple[int, int, int, bool] | None = None  # the row held back, and whether its sig has had another one
     for b in it:
         sig, doc, aux = (b.column(i).to_numpy() for i in range(3))
@@ -290,6 +291,7 @@ def _deal(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by key, salt, side (the hub first): linked pairs. Holds one batch and one set."""
+    release()
     hub, hub_set = None, np.empty(0, dtype=U)
     for b in it:
         left, right = [], []

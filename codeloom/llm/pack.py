@@ -31,14 +31,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read, sized, written
-from .words import CACHES
+from .words import CACHES, release
 
 SIZE = 2048
 END = 0
 #: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBER = 800_000
+REMEMBER = 500_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -116,6 +116,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFr
     path = path or vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         enc = encoder(path)
         end = struct.pack("<I", END)
         row = 0

@@ -7,6 +7,8 @@ treated as an empty text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,11 +116,24 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray = NOT_SPACE
     return s, e, h, np.searchsorted(s, offsets)
 
 
+def release() -> None:
+    """Gives memory that is free in this process back to the system: a worker is used again by other tasks, of other
+    operators too, and the executor's memory holds what all of them once needed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with this C library
+        pass
+
+
 def batches(it: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with the bytes and offsets of their texts."""
     for c in CACHES:
         c.clear()
+    release()
     for b in it:
         data, off = buffers(b.column(b.schema.get_field_index(text)))
         for i, j in chunks(off):
             yield b.slice(i, j - i), data[off[i] : off[j]], off[i : j + 1] - off[i]
+    release()
