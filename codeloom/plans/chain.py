@@ -7,6 +7,8 @@ queries start at the method with the most CALLS edges (the smallest id of equals
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,12 +127,17 @@ _IMPL = """x AS (SELECT DISTINCT xm.method_id AS node, im.method_id AS iface FRO
  JOIN fx_type xt ON xt.type_id = i.src AND xt.kind = 'CLASS' JOIN fx_method xm ON xm.type_id = xt.type_id AND xm.name = im.name)"""
 
 
-@on_graph("trv_06_tables", f"""WITH {START}, {_walk("'CALLS'", 8)}, {_IMPL},
+_PROJECT_START = "s AS (SELECT m.method_id AS node FROM fx_method m JOIN fx_type t ON t.type_id = m.type_id WHERE t.project_id = 3)"
+
+
+@on_graph("trv_06_tables", f"""WITH {_PROJECT_START}, {_walk("'CALLS'", 8)}, {_IMPL},
 v(node, d, db) AS (SELECT DISTINCT x.node, 0, false FROM x JOIN w ON w.node = x.iface AND w.d > 0 UNION SELECT e.dst, v.d + 1, v.db OR e.rel_type = 'DB_CALL' FROM v JOIN fx_call e ON e.src = v.node WHERE v.d < 5 AND e.rel_type IN ('CALLS', 'DB_CALL'))
 SELECT DISTINCT p.name AS project, t.fqn AS mapper_fqn, t.name AS mapper_name, mt.table_name FROM v JOIN fx_method m ON m.method_id = v.node JOIN fx_type t ON t.type_id = m.type_id AND t.kind = 'MAPPER'
 JOIN fx_project p ON p.project_id = t.project_id LEFT JOIN fx_mapper_table mt ON mt.src = t.type_id WHERE v.db AND v.d > 0""")
 def _trv06(g: Graph) -> DataFrame:
-    return tables(g, start(g))
+    """From every method of a project: a single method hardly ever calls an interface that is implemented in front of a mapper."""
+    m = g.owned.where("project_id = 3")
+    return tables(g, m.select(F.col("method_id").alias("source"), F.col("method_id").alias("node")))
 
 
 def jobs(g: Graph, methods: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -216,7 +223,7 @@ b(node, d) AS (SELECT node, 0 FROM z UNION SELECT e.src, b.d + 1 FROM b JOIN fx_
 f1 AS (SELECT node, min(d) AS d FROM f GROUP BY node), b1 AS (SELECT node, min(d) AS d FROM b GROUP BY node)
 SELECT DISTINCT x.fqn AS from_fqn, y.fqn AS to_fqn FROM fx_depends_on e JOIN f1 ON f1.node = e.src JOIN b1 ON b1.node = e.dst JOIN fx_type x ON x.type_id = e.src JOIN fx_type y ON y.type_id = e.dst WHERE f1.d + 1 + b1.d <= 2""")
 def _trv02(g: Graph) -> DataFrame:
-    own = g.type.where("project_id IS NOT NULL").groupBy("project_id").count().orderBy(F.desc("count"), "project_id").limit(1)
+    own = g.type.where("project_id IS NOT NULL").groupBy("project_id").count().orderBy(F.desc("count"), "project_id").limit(1)  # one row
     starts = g.type.join(F.broadcast(own), "project_id", "left_semi").select(F.col("type_id").alias("node"))
     ends = starts.union(g.type.where("project_id IS NULL").select("type_id"))
     name = lambda side, n: g.type.select(F.col("type_id").alias(side), F.col("fqn").alias(n))
@@ -300,7 +307,7 @@ def _trv10(g: Graph) -> DataFrame:
 @on_graph("trv_23_tree_class_stats", f"""WITH {START}, {_TREE} SELECT y.fqn AS class_fqn, count(*) AS call_count, count(DISTINCT m.name) AS n_methods FROM t JOIN fx_method m ON m.method_id = t.node JOIN fx_type y ON y.type_id = m.type_id GROUP BY y.fqn""")
 def _trv23(g: Graph) -> DataFrame:
     nodes = simple_paths(lambda at: _children(g, at), start(g).select("node"), 4).select(F.col("node").alias("method_id"))
-    return nodes.join(g.owned, "method_id").groupBy(F.col("fqn").alias("class_fqn")).agg(F.count("*").alias("call_count"), F.countDistinct("name").alias("n_methods"))
+    return nodes.join(g.owned, "method_id").groupBy(F.col("fqn").alias("class_fqn")).agg(F.count("*").alias("call_count"), F.countDistinct("name").alias("n_methods")).orderBy(F.desc("call_count"), "class_fqn")
 
 
 def find_start(g: Graph, wanted: DataFrame) -> DataFrame:
@@ -460,13 +467,104 @@ def full_chain(g: Graph, methods: DataFrame, depth: int = DEPTH) -> dict[str, Da
     }
 
 
-@on_graph("trv_21_full_chain_counts", f"""WITH {START}, {_IMPL}, b AS (SELECT node FROM s UNION SELECT x.node FROM x JOIN s ON s.node = x.iface),
+_FULL = f"""{START}, {_IMPL}, b AS (SELECT node FROM s UNION SELECT x.node FROM x JOIN s ON s.node = x.iface),
 w(node, d) AS (SELECT node, 0 FROM b UNION SELECT e.dst, w.d + 1 FROM w JOIN fx_call e ON e.src = w.node WHERE w.d < 10 AND e.rel_type = 'CALLS'), {_DOWN}, a AS (SELECT node FROM b UNION SELECT node FROM dn),
 c(node, d) AS (SELECT node, 0 FROM a UNION SELECT e.dst, c.d + 1 FROM c JOIN fx_call e ON e.src = c.node WHERE c.d < 10 AND e.rel_type IN ('CALLS', 'DB_CALL')),
-j(node, d) AS (SELECT node, 0 FROM a UNION SELECT e.dst, j.d + 1 FROM j JOIN fx_call e ON e.src = j.node WHERE j.d < 10)
-SELECT 'internal_classes' AS result, count(DISTINCT t.fqn) AS n FROM c JOIN fx_method m ON m.method_id = c.node JOIN fx_type t ON t.type_id = m.type_id WHERE t.project_id IS NOT NULL AND NOT t.is_external
-UNION ALL SELECT 'aries_jobs', count(*) FROM (SELECT DISTINCT t.fqn, q.job_type, q.cron_expr FROM j JOIN fx_job q ON q.method_id = j.node JOIN fx_method m ON m.method_id = j.node JOIN fx_type t ON t.type_id = m.type_id WHERE t.project_id IS NOT NULL AND t.kind = 'ARIES_JOB')""")
+j(node, d) AS (SELECT node, 0 FROM a UNION SELECT e.dst, j.d + 1 FROM j JOIN fx_call e ON e.src = j.node WHERE j.d < 10),
+a8(node, d) AS (SELECT node, 0 FROM a UNION SELECT e.dst, a8.d + 1 FROM a8 JOIN fx_call e ON e.src = a8.node WHERE a8.d < 8 AND e.rel_type = 'CALLS'),
+v(node, d, db) AS (SELECT DISTINCT x.node, 0, false FROM x JOIN a8 ON a8.node = x.iface AND a8.d > 0 UNION SELECT e.dst, v.d + 1, v.db OR e.rel_type = 'DB_CALL' FROM v JOIN fx_call e ON e.src = v.node WHERE v.d < 5 AND e.rel_type IN ('CALLS', 'DB_CALL')),
+ac AS (SELECT a.node FROM a JOIN fx_method m ON m.method_id = a.node JOIN fx_type t ON t.type_id = m.type_id WHERE t.project_id IS NOT NULL),
+k(node, d) AS (SELECT node, 0 FROM ac UNION SELECT e.dst, k.d + 1 FROM k JOIN fx_call e ON e.src = k.node WHERE k.d < 10 AND e.rel_type IN ('CALLS', 'DB_CALL')),
+q AS (SELECT DISTINCT p.name AS project, t.fqn, f.mq_type, f.topic, f.role, m.name AS method FROM fx_mq f JOIN fx_method m ON m.method_id = f.method_id JOIN fx_type t ON t.type_id = m.type_id JOIN fx_project p ON p.project_id = t.project_id
+ WHERE f.role = 'consumer' AND t.kind <> 'INTERFACE' AND f.method_id IN (SELECT node FROM k) OR f.role = 'producer' AND f.method_id IN (SELECT node FROM j)),
+r_classes AS (SELECT DISTINCT p.name AS x, t.fqn AS y, coalesce(t.arch_layer, 'Other') AS z FROM c JOIN fx_method m ON m.method_id = c.node JOIN fx_type t ON t.type_id = m.type_id JOIN fx_project p ON p.project_id = t.project_id WHERE NOT t.is_external),
+r_dubbo AS ({_DUBBO}),
+r_jobs AS (SELECT DISTINCT p.name AS x, t.fqn AS y, q.job_type AS z, q.cron_expr FROM j JOIN fx_job q ON q.method_id = j.node JOIN fx_method m ON m.method_id = j.node JOIN fx_type t ON t.type_id = m.type_id AND t.kind = 'ARIES_JOB' JOIN fx_project p ON p.project_id = t.project_id),
+r_tables AS (SELECT DISTINCT p.name AS x, t.fqn AS y, mt.table_name AS z FROM v JOIN fx_method m ON m.method_id = v.node JOIN fx_type t ON t.type_id = m.type_id AND t.kind = 'MAPPER' JOIN fx_project p ON p.project_id = t.project_id LEFT JOIN fx_mapper_table mt ON mt.src = t.type_id WHERE v.db AND v.d > 0),
+up AS (SELECT i.src, i.dst, t.fqn FROM fx_implements i JOIN fx_type t ON t.type_id = i.dst AND t.kind = 'INTERFACE'),
+ov AS (SELECT DISTINCT up.fqn, im.method_id, im.name FROM b JOIN fx_method m ON m.method_id = b.node JOIN up ON up.src = m.type_id JOIN fx_method im ON im.type_id = up.dst AND im.name = m.name),
+ep AS (SELECT coalesce(p.name, '') AS project, t.fqn, m.name, e.path, e.http_method FROM b JOIN fx_method m ON m.method_id = b.node JOIN fx_endpoint e USING (method_id) JOIN fx_type t ON t.type_id = m.type_id LEFT JOIN fx_project p ON p.project_id = t.project_id
+ UNION ALL SELECT '', ov.fqn, ov.name, e.path, e.http_method FROM ov JOIN fx_endpoint e USING (method_id)
+ UNION ALL SELECT coalesce(p.name, ''), t.fqn, m.name, coalesce(e1.path, e2.path), coalesce(e1.http_method, e2.http_method) FROM (SELECT DISTINCT z.src FROM fx_call z JOIN ov ON ov.method_id = z.dst WHERE z.rel_type = 'DUBBO_CALLS') z
+ JOIN fx_method m ON m.method_id = z.src JOIN fx_type t ON t.type_id = m.type_id LEFT JOIN fx_project p ON p.project_id = t.project_id LEFT JOIN fx_endpoint e1 ON e1.method_id = m.method_id
+ LEFT JOIN (SELECT up.src, im.name, e.path, e.http_method FROM up JOIN fx_method im ON im.type_id = up.dst JOIN fx_endpoint e ON e.method_id = im.method_id WHERE up.fqn NOT LIKE '%java.util%') e2 ON e2.src = t.type_id AND e2.name = m.name),
+r_endpoints AS (SELECT fqn, name, path, http_method, min(project) AS project FROM ep WHERE path IS NOT NULL GROUP BY ALL)"""
+
+
+@on_graph("trv_21_full_chain", f"""WITH {_FULL}
+SELECT 'internal_classes' AS result, x AS project, y AS one, z AS other FROM r_classes UNION ALL SELECT 'aries_jobs', x, y, z FROM r_jobs UNION ALL SELECT 'tables', x, y, z FROM r_tables UNION ALL SELECT 'endpoints', project, fqn, http_method || ' ' || path FROM r_endpoints
+UNION ALL SELECT 'mq_info', project, fqn, role || ' ' || topic FROM q UNION ALL SELECT 'dubbo_calls', target_project, caller_class, dubbo_interface || '.' || dubbo_method FROM r_dubbo""")
 def _trv21(g: Graph) -> DataFrame:
-    sets = full_chain(g, start(g))
-    n = [sets[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("result"), "n") for k in ("internal_classes", "aries_jobs")]
-    return n[0].union(n[1])
+    """The rows of all six result sets of a chain."""
+    x = full_chain(g, start(g))
+    rows = x["internal_classes"].select(F.lit("internal_classes").alias("result"), "project", F.col("class_fqn").alias("one"), F.col("arch_layer").alias("other"))
+    rows = rows.union(x["aries_jobs"].select(F.lit("aries_jobs"), "project", "class_fqn", "job_type")).union(x["tables"].select(F.lit("tables"), "project", "mapper_fqn", "table_name"))
+    rows = rows.union(x["endpoints"].select(F.lit("endpoints"), "project", "class_fqn", F.concat_ws(" ", "http_method", "path"))).union(x["mq_info"].select(F.lit("mq_info"), "project", "class_fqn", F.concat_ws(" ", "role", "topic")))
+    return rows.union(x["dubbo_calls"].select(F.lit("dubbo_calls"), "target_project", "caller_class", F.concat_ws(".", "dubbo_interface", "dubbo_method")))
+
+
+def call_statistics(sets: dict[str, DataFrame]) -> DataFrame:
+    """(name, n, records): the result sets of a chain under the names of the statistics view, each as JSON records."""
+    out = None
+    for name, of in (("class_stats", "internal_classes"), ("tables", "tables"), ("mq_list", "mq_info"), ("frontend_entries", "endpoints"), ("dubbo_calls", "dubbo_calls")):
+        one = records(sets[of]).select(F.lit(name).alias("name"), "n", "records")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def records(df: DataFrame) -> DataFrame:
+    """(n, records): a result set, bounded by what is reached, as one JSON array in the order of its columns."""
+    row = F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"})
+    return df.select(row.alias("r")).agg(F.count("*").alias("n"), F.concat(F.lit("["), F.array_join(F.sort_array(F.collect_list("r")), ","), F.lit("]")).alias("records"))
+
+
+def result_json(sets: dict[str, DataFrame], message: str = "") -> DataFrame:
+    """(result): all sets of a chain as one nested JSON object (success, message, and an array of records per set)."""
+    parts = None
+    for name, df in sets.items():
+        one = records(df).select(F.concat(F.lit(f'"{name}":'), "records").alias("part"))
+        parts = one if parts is None else parts.union(one)
+    head = F.lit(f'{{"success":true,"message":{json.dumps(message, ensure_ascii=False)},')
+    return parts.agg(F.concat(head, F.array_join(F.sort_array(F.collect_list("part")), ","), F.lit("}")).alias("result"))
+
+
+@on_graph("agg_11_call_statistics", f"""WITH {_FULL} SELECT 'class_stats' AS name, count(*) AS n FROM r_classes UNION ALL SELECT 'tables', count(*) FROM r_tables UNION ALL SELECT 'mq_list', count(*) FROM q UNION ALL SELECT 'frontend_entries', count(*) FROM r_endpoints UNION ALL SELECT 'dubbo_calls', count(*) FROM r_dubbo""")
+def _agg11(g: Graph) -> DataFrame:
+    return call_statistics(full_chain(g, start(g))).select("name", F.size(F.from_json("records", "array<map<string,string>>")).cast("long").alias("n"))
+
+
+@on_graph("agg_09_chain_summary", f"""WITH {_CLASS_START}, {_LEN.replace("w.d < 6", "w.d < 15")}, r AS (SELECT DISTINCT t.type_id, p.name AS project, coalesce(t.arch_layer, 'Other') AS layer FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id JOIN fx_project p ON p.project_id = t.project_id WHERE w.d > 0),
+n AS (SELECT project, layer, count(*) AS n FROM r GROUP BY ALL) SELECT project, CAST(sum(n) AS BIGINT) AS total_classes, string_agg(layer || '=' || n, ',' ORDER BY layer) AS layers FROM n GROUP BY project""")
+def _agg09(g: Graph) -> DataFrame:
+    """Per project: the classes of a chain, and how many of each layer."""
+    seeds = _class_starts(g).select(F.lit(0).cast("long").alias("source"), "node")
+    hit = reach(g.call, seeds, 15, zero=False).select(F.col("node").alias("method_id")).join(g.owned.where("project IS NOT NULL"), "method_id").select("type_id", "project", F.coalesce("arch_layer", F.lit("Other")).alias("layer")).distinct()
+    n = hit.groupBy("project", "layer").agg(F.count("*").alias("n"))
+    return n.groupBy("project").agg(F.sum("n").alias("total_classes"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("layer", "n"))), lambda x: F.concat_ws("=", x["layer"], x["n"].cast("string"))), ",").alias("layers"))
+
+
+@on_graph("trv_23_tree_tables_and_topics", f"""WITH {START}, {_TREE}, z AS (SELECT DISTINCT node FROM t), h(source, node, d) AS (SELECT node, node, 0 FROM z UNION SELECT h.source, e.dst, h.d + 1 FROM h JOIN fx_call e ON e.src = h.node WHERE h.d < 3 AND e.rel_type IN ('CALLS', 'DB_CALL'))
+SELECT DISTINCT 'table' AS what, mt.table_name AS name FROM h JOIN fx_method m ON m.method_id = h.node JOIN fx_type y ON y.type_id = m.type_id AND y.kind = 'MAPPER' JOIN fx_mapper_table mt ON mt.src = y.type_id WHERE h.d > 0 UNION SELECT 'topic', f.topic FROM z JOIN fx_mq f ON f.method_id = z.node""")
+def _trv23t(g: Graph) -> DataFrame:
+    """Tables reached over 1-3 calls from the nodes of a call tree, and the topics of these nodes."""
+    nodes = simple_paths(lambda at: _children(g, at), start(g).select("node"), 4).select("node").distinct()
+    to = reach(g.calls("CALLS", "DB_CALL"), nodes.select(F.lit(0).cast("long").alias("source"), "node"), 3, zero=False).select(F.col("node").alias("method_id"))
+    mapper = to.join(g.owned.where("kind = 'MAPPER'").select("method_id", "type_id"), "method_id").join(g.mapper_table.withColumnRenamed("src", "type_id"), "type_id")
+    topic = g.mq.join(nodes.withColumnRenamed("node", "method_id"), "method_id", "left_semi")
+    return mapper.select(F.lit("table").alias("what"), F.col("table_name").alias("name")).union(topic.select(F.lit("topic"), "topic")).distinct()
+
+
+@on_graph("dsg_08_callers_of_tables", "WITH b(t, node, d) AS (SELECT DISTINCT mt.table_name, m.method_id, 0 FROM fx_mapper_table mt JOIN fx_method m ON m.type_id = mt.src UNION SELECT b.t, e.src, b.d + 1 FROM b JOIN fx_call e ON e.dst = b.node WHERE b.d < 3 AND e.rel_type IN ('CALLS', 'DB_CALL')) SELECT DISTINCT b.t AS table_name, p.name AS project FROM b JOIN fx_method m ON m.method_id = b.node JOIN fx_type y ON y.type_id = m.type_id JOIN fx_project p ON p.project_id = y.project_id WHERE b.d > 0")
+def _dsg08t(g: Graph) -> DataFrame:
+    """Projects with a method from which a table is reached over 1-3 calls."""
+    own = g.mapper_table.withColumnRenamed("src", "type_id").join(g.method.select("type_id", "method_id"), "type_id").select(F.col("table_name").alias("source"), F.col("method_id").alias("node")).distinct()
+    back = g.calls("CALLS", "DB_CALL").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    hit = reach(back, own, 3, zero=False).select(F.col("source").alias("table_name"), F.col("node").alias("method_id"))
+    return hit.join(g.owned.where("project IS NOT NULL").select("method_id", "project"), "method_id").select("table_name", "project").distinct()
+
+
+@on_graph("dsg_08_url_to_classes", f"WITH s AS (SELECT method_id AS node FROM fx_endpoint WHERE path = '/api/o10'), {_walk(chr(39) + 'CALLS' + chr(39) + ', ' + chr(39) + 'DB_CALL' + chr(39))} SELECT DISTINCT p.name AS project, t.fqn AS class_fqn FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id JOIN fx_project p ON p.project_id = t.project_id WHERE NOT t.is_external")
+def _dsg08u(g: Graph) -> DataFrame:
+    """The classes of the chain behind a URL."""
+    at = g.endpoint.where("path = '/api/o10'").select(F.col("method_id").alias("source"), F.col("method_id").alias("node"))
+    return internal_classes(g, at).select("project", "class_fqn")

@@ -17,7 +17,7 @@ def _types(g: Graph, side: str, *cols: str) -> DataFrame:
 
 def dependencies(g: Graph) -> DataFrame:
     """DEPENDS_ON with both classes and their projects."""
-    p = lambda s: F.broadcast(g.project.select(F.col("project_id").alias(f"{s}_project_id"), F.col("name").alias(f"{s}_project")))
+    p = lambda s: g.project_name.select(F.col("project_id").alias(f"{s}_project_id"), F.col("project").alias(f"{s}_project"))
     d = g.depends_on.join(_types(g, "src", "fqn", "project_id", "package"), "src").join(_types(g, "dst", "fqn", "project_id", "package"), "dst")
     return d.join(p("src"), "src_project_id", "left").join(p("dst"), "dst_project_id", "left")
 
@@ -186,9 +186,9 @@ def _qry02(g: Graph) -> DataFrame:
     return g.implements.join(i, "dst").join(_types(g, "src", "fqn"), "src").select(F.col("dst_fqn").alias("interface_fqn"), F.col("src_fqn").alias("impl_fqn"))
 
 
-@on_graph("qry_03_interface_methods", f"WITH {_OWN} SELECT fqn, method, signature FROM o WHERE kind = 'INTERFACE' ORDER BY fqn, signature LIMIT 100")
+@on_graph("qry_03_interface_methods", f"WITH {_OWN} SELECT fqn, method, signature FROM o WHERE kind = 'INTERFACE'")
 def _qry03(g: Graph) -> DataFrame:
-    return g.owned.where("kind = 'INTERFACE'").select("fqn", F.col("name").alias("method"), "signature").orderBy("fqn", "signature").limit(100)
+    return g.owned.where("kind = 'INTERFACE'").select("fqn", F.col("name").alias("method"), "signature")
 
 
 def _dubbo(g: Graph) -> DataFrame:
@@ -252,9 +252,9 @@ def _qry13(g: Graph) -> DataFrame:
     return out.select(F.col("name").alias("project"), *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_packages", "n_types", "n_methods")))
 
 
-@on_graph("qry_14_packages_of", "SELECT DISTINCT p.name AS project, t.package FROM fx_type t JOIN fx_project p ON p.project_id = t.project_id WHERE p.name IN ('FRANCE', 'CHINA')")
+@on_graph("qry_14_packages_of", "SELECT DISTINCT p.name AS project, t.package FROM fx_type t JOIN fx_project p ON p.project_id = t.project_id WHERE p.project_id IN (1, 2, 3)")
 def _qry14(g: Graph) -> DataFrame:
-    return g.contained.where(F.col("project").isin("FRANCE", "CHINA")).select("project", "package").distinct()
+    return g.contained.where(F.col("project_id").isin(1, 2, 3)).select("project", "package").distinct()
 
 
 @on_graph("qry_16_entities_under_project", "SELECT p.name AS project, count(DISTINCT t.type_id) + count(DISTINCT m.method_id) AS n FROM fx_project p JOIN fx_type t ON t.project_id = p.project_id LEFT JOIN fx_method m ON m.type_id = t.type_id GROUP BY p.name")
@@ -364,9 +364,12 @@ def _flt01(g: Graph) -> DataFrame:
     return g.type.join(used, "type_id", "left").where(keep).select("fqn")
 
 
-@on_graph("flt_13_entity_like", "SELECT fqn, name, CAST(0 AS BIGINT) AS field_count FROM fx_type WHERE name LIKE '%Entity' OR name LIKE '%Model' ORDER BY fqn LIMIT 100")
+@on_graph("flt_13_entity_like", "SELECT t.fqn, t.name, count(d.dst) AS field_count FROM fx_type t LEFT JOIN fx_depends_on d ON d.src = t.type_id WHERE t.name LIKE '%Entity' OR t.name LIKE '%Model' GROUP BY t.type_id, t.fqn, t.name")
 def _flt13(g: Graph) -> DataFrame:
-    return g.type.where(F.col("name").endswith("Entity") | F.col("name").endswith("Model")).select("fqn", "name", F.lit(0).cast("long").alias("field_count")).orderBy("fqn").limit(100)
+    """Entity-like types, with the number of types that they depend on."""
+    n = g.depends_on.groupBy(F.col("src").alias("type_id")).agg(F.count("*").alias("n"))
+    rows = g.type.where(F.col("name").endswith("Entity") | F.col("name").endswith("Model")).join(n, "type_id", "left")
+    return rows.select("fqn", "name", F.coalesce("n", F.lit(0).cast("long")).alias("field_count"))
 
 
 @on_graph("flt_11_uncontained_called", "SELECT DISTINCT t.fqn FROM fx_type t JOIN fx_method m ON m.type_id = t.type_id WHERE t.project_id IS NULL AND m.method_id IN (SELECT dst FROM fx_call)")
@@ -378,7 +381,7 @@ def _flt11(g: Graph) -> DataFrame:
 def _prj07(g: Graph) -> DataFrame:
     from ..functions.rules import simple_name
 
-    return g.type.join(F.broadcast(g.project_name), "project_id", "left").select("fqn", F.coalesce("arch_layer", F.lit("Other")).alias("arch_layer"), F.coalesce("project", F.lit("External")).alias("project"), simple_name(F.col("fqn")).alias("simple"))
+    return g.type.join(g.project_name, "project_id", "left").select("fqn", F.coalesce("arch_layer", F.lit("Other")).alias("arch_layer"), F.coalesce("project", F.lit("External")).alias("project"), simple_name(F.col("fqn")).alias("simple"))
 
 
 @on_graph("trv_19_contained", "SELECT p.name AS project, t.fqn AS entity FROM fx_type t JOIN fx_project p ON p.project_id = t.project_id UNION ALL SELECT p.name, m.signature FROM fx_method m JOIN fx_type t ON t.type_id = m.type_id JOIN fx_project p ON p.project_id = t.project_id")
@@ -386,10 +389,24 @@ def _trv19(g: Graph) -> DataFrame:
     return g.contained.select("project", F.col("fqn").alias("entity")).union(g.owned.where("project IS NOT NULL").select("project", "signature"))
 
 
-@on_graph("trv_20_dependency_chain", "SELECT i.fqn AS interface_fqn, t.fqn AS class_fqn, 'implementation' AS role FROM fx_implements x JOIN fx_type i ON i.type_id = x.dst JOIN fx_type t ON t.type_id = x.src UNION ALL SELECT DISTINCT i.fqn, a.fqn, 'reference' FROM fx_call c JOIN fx_method m ON m.method_id = c.dst JOIN fx_type i ON i.type_id = m.type_id JOIN fx_method n ON n.method_id = c.src JOIN fx_type a ON a.type_id = n.type_id WHERE c.rel_type = 'DUBBO_CALLS'")
+def dependency_chain(g: Graph, starts: DataFrame) -> DataFrame:
+    """(start, role, fqn) for start types (node): their implementations, the facades and services that these depend on, and what they call over Dubbo."""
+    fqn = lambda c, n: g.type.select(F.col("type_id").alias(c), F.col("fqn").alias(n))
+    impl = g.implements.join(starts.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").select(F.col("dst").alias("begin"), F.col("src").alias("impl"))
+    named = impl.select("begin", F.lit("implementation").alias("role"), F.col("impl").alias("of"))
+    facade = F.col("fqn").contains("Facade") | F.col("fqn").contains("Service")
+    used = impl.join(g.depends_on.withColumnRenamed("src", "impl"), "impl").join(g.type.where(facade).select(F.col("type_id").alias("dst")), "dst", "left_semi").select("begin", F.lit("facade"), "dst")
+    remote = impl.join(_dubbo(g).select(F.col("src_type").alias("impl"), F.col("dst_type").alias("to")).distinct(), "impl").select("begin", F.lit("reference"), "to")
+    rows = named.union(used).union(remote).distinct()
+    return rows.join(fqn("begin", "start"), "begin").join(fqn("of", "fqn"), "of").select("start", "role", "fqn")
+
+
+@on_graph("trv_20_dependency_chain", """WITH i AS (SELECT x.dst AS start, x.src AS impl FROM fx_implements x JOIN fx_type t ON t.type_id = x.dst AND t.kind = 'INTERFACE'),
+r AS (SELECT start, 'implementation' AS role, impl AS x FROM i UNION SELECT i.start, 'facade', d.dst FROM i JOIN fx_depends_on d ON d.src = i.impl JOIN fx_type t ON t.type_id = d.dst WHERE contains(t.fqn, 'Facade') OR contains(t.fqn, 'Service')
+UNION SELECT i.start, 'reference', b.type_id FROM i JOIN fx_method a ON a.type_id = i.impl JOIN fx_call c ON c.src = a.method_id AND c.rel_type = 'DUBBO_CALLS' JOIN fx_method b ON b.method_id = c.dst)
+SELECT s.fqn AS start, r.role, t.fqn FROM r JOIN fx_type s ON s.type_id = r.start JOIN fx_type t ON t.type_id = r.x""")
 def _trv20(g: Graph) -> DataFrame:
-    impl = g.implements.join(_types(g, "dst", "fqn"), "dst").join(_types(g, "src", "fqn"), "src").select(F.col("dst_fqn").alias("interface_fqn"), F.col("src_fqn").alias("class_fqn"), F.lit("implementation").alias("role"))
-    return impl.union(_dubbo(g).select("dst_fqn", "src_fqn", F.lit("reference")).distinct())
+    return dependency_chain(g, g.type.where("kind = 'INTERFACE'").select(F.col("type_id").alias("node")))
 
 
 @on_graph("dsg_08_service_table_matrix", f"WITH {_OWN} SELECT a.project, mt.table_name, count(*) AS n FROM fx_call c JOIN o a ON a.method_id = c.src JOIN fx_method m ON m.method_id = c.dst JOIN fx_mapper_table mt ON mt.src = m.type_id WHERE c.rel_type = 'DB_CALL' AND a.project IS NOT NULL GROUP BY ALL")
@@ -414,3 +431,66 @@ def _dsg04(g: Graph) -> DataFrame:
 @on_graph("api_class_methods", f"WITH {_OWN} SELECT project, fqn, method, signature FROM o WHERE project IS NOT NULL AND class_name LIKE '%Controller'")
 def _api(g: Graph) -> DataFrame:
     return g.owned.where("project IS NOT NULL").where(F.col("class_name").endswith("Controller")).select("project", "fqn", F.col("name").alias("method"), "signature").orderBy("fqn", "method", "signature")
+
+
+@on_graph("agg_13_dependency_totals", """SELECT (SELECT count(*) FROM fx_project) AS project_count, (SELECT count(*) FROM fx_type WHERE project_id IS NOT NULL) AS type_count,
+(SELECT count(*) FROM fx_depends_on d JOIN fx_type t ON t.type_id = d.src WHERE t.project_id IS NOT NULL) + (SELECT count(*) FROM fx_call c JOIN fx_method m ON m.method_id = c.src JOIN fx_type t ON t.type_id = m.type_id WHERE c.rel_type = 'CALLS' AND t.project_id IS NOT NULL) AS dependency_count""")
+def _agg13(g: Graph) -> DataFrame:
+    """Projects, contained types, and edges of several kinds that lead out of these."""
+    own = g.contained.select(F.col("type_id").alias("src"))
+    methods = g.method.join(g.contained.select("type_id"), "type_id", "left_semi").select(F.col("method_id").alias("src"))
+    n = g.depends_on.join(own, "src", "left_semi").select("src").union(g.calls("CALLS").join(methods, "src", "left_semi").select("src")).agg(F.count("*").alias("dependency_count"))
+    p, t = g.project.agg(F.count("*").alias("project_count")), g.contained.agg(F.count("*").alias("type_count"))
+    return p.join(F.broadcast(t)).join(F.broadcast(n))  # one row each
+
+
+@on_graph("qry_20_types_and_edges_per_project", "SELECT coalesce(p.name, 'none') AS what, count(*) AS n FROM fx_type t LEFT JOIN fx_project p ON p.project_id = t.project_id GROUP BY ALL UNION ALL SELECT 'DEPENDS_ON', count(*) FROM fx_depends_on UNION ALL SELECT kind, count(*) FROM fx_type GROUP BY kind")
+def _qry20(g: Graph) -> DataFrame:
+    n = g.type.join(g.project_name, "project_id", "left").groupBy(F.coalesce("project", F.lit("none")).alias("what")).agg(F.count("*").alias("n"))
+    return n.union(g.depends_on.agg(F.lit("DEPENDS_ON"), F.count("*"))).union(g.type.groupBy("kind").agg(F.count("*")))
+
+
+@on_graph("qry_27_dubbo_diagnosis", """SELECT DISTINCT y.fqn AS dubbo_interface, b.name AS dubbo_method, c.via_field, m.signature AS impl_signature, p.name AS impl_project, x.fqn AS impl_class_fqn, q.name AS iface_project
+FROM fx_call c JOIN fx_method b ON b.method_id = c.dst JOIN fx_type y ON y.type_id = b.type_id AND y.kind = 'INTERFACE' LEFT JOIN fx_project q ON q.project_id = y.project_id
+LEFT JOIN (SELECT i.dst, t.* FROM fx_implements i JOIN fx_type t ON t.type_id = i.src AND t.kind = 'CLASS') x ON x.dst = y.type_id LEFT JOIN fx_method m ON m.type_id = x.type_id AND m.name = b.name LEFT JOIN fx_project p ON p.project_id = x.project_id WHERE c.rel_type = 'DUBBO_CALLS'""")
+def _qry27(g: Graph) -> DataFrame:
+    """Each Dubbo call's interface with its implementing classes and their methods of that name, null where there are none."""
+    project = lambda n: g.project_name.select(F.col("project_id").alias(f"{n}_id"), F.col("project").alias(n))
+    iface = g.method.join(g.type.where("kind = 'INTERFACE'").select("type_id", F.col("fqn").alias("dubbo_interface"), F.col("project_id").alias("iface_project_id")), "type_id").select(F.col("method_id").alias("dst"), F.col("type_id").alias("iface"), F.col("name").alias("dubbo_method"), "dubbo_interface", "iface_project_id")
+    impl = g.implements.join(g.type.where("kind = 'CLASS'").select(F.col("type_id").alias("src"), F.col("fqn").alias("impl_class_fqn"), F.col("project_id").alias("impl_project_id")), "src").select(F.col("dst").alias("iface"), F.col("src").alias("impl"), "impl_class_fqn", "impl_project_id")
+    own = g.method.select(F.col("type_id").alias("impl"), F.col("name").alias("dubbo_method"), F.col("signature").alias("impl_signature"))
+    rows = g.calls("DUBBO_CALLS").select("dst", "via_field").distinct().join(iface, "dst").join(impl, "iface", "left").join(own, ["impl", "dubbo_method"], "left")
+    rows = rows.join(project("impl_project"), "impl_project_id", "left").join(project("iface_project"), "iface_project_id", "left")
+    return rows.select("dubbo_interface", "dubbo_method", "via_field", "impl_signature", "impl_project", "impl_class_fqn", "iface_project").distinct()
+
+
+@on_graph("qry_29_by_interface_substring", f"""WITH {_OWN} SELECT 'IMPLEMENTS' AS what, p.name AS project, a.fqn AS one, i.fqn AS other FROM fx_implements x JOIN fx_type a ON a.type_id = x.src JOIN fx_type i ON i.type_id = x.dst LEFT JOIN fx_project p ON p.project_id = a.project_id WHERE contains(i.fqn, 'Service')
+UNION SELECT 'DUBBO_CALLS', b.project, b.fqn, b.method FROM fx_call c JOIN o b ON b.method_id = c.dst WHERE c.rel_type = 'DUBBO_CALLS' AND contains(b.signature, 'Service')""")
+def _qry29(g: Graph) -> DataFrame:
+    impl = g.implements.join(_types(g, "dst", "fqn").where(F.col("dst_fqn").contains("Service")), "dst").join(_types(g, "src", "fqn", "project_id").withColumnRenamed("src_project_id", "project_id"), "src").join(g.project_name, "project_id", "left")
+    impl = impl.select(F.lit("IMPLEMENTS").alias("what"), "project", F.col("src_fqn").alias("one"), F.col("dst_fqn").alias("other"))
+    to = g.owned.where(F.col("signature").contains("Service")).join(g.calls("DUBBO_CALLS").select(F.col("dst").alias("method_id")), "method_id", "left_semi")
+    return impl.union(to.select(F.lit("DUBBO_CALLS"), "project", "fqn", "name")).distinct()
+
+
+def entity(g: Graph, key: str) -> DataFrame:
+    """(label, key, name) of the type or method with a full name or signature."""
+    t = g.type.where(F.col("fqn") == key).select(F.col("kind").alias("label"), F.col("fqn").alias("key"), "name")
+    return t.union(g.method.where(F.col("signature") == key).select(F.lit("Method"), "signature", "name"))
+
+
+@on_graph("dsg_01_find_entity", "WITH k AS (SELECT fqn AS key FROM fx_type WHERE type_id = 10) SELECT t.kind AS label, t.fqn AS key, t.name FROM fx_type t JOIN k ON k.key = t.fqn UNION ALL SELECT 'Method', m.signature, m.name FROM fx_method m JOIN k ON k.key = m.signature")
+def _dsg01(g: Graph) -> DataFrame:
+    return entity(g, g.type.where("type_id = 10").first()["fqn"])
+
+
+@on_graph("dsg_08_service_dependency_matrix", f"WITH {_OWN} SELECT a.project AS from_project, b.project AS to_project, count(*) AS n FROM fx_call c JOIN o a ON a.method_id = c.src JOIN o b ON b.method_id = c.dst WHERE c.rel_type = 'DUBBO_CALLS' AND a.project IS NOT NULL AND b.project IS NOT NULL GROUP BY ALL")
+def _dsg08d(g: Graph) -> DataFrame:
+    return _dubbo(g).where("src_project IS NOT NULL AND dst_project IS NOT NULL").groupBy(F.col("src_project").alias("from_project"), F.col("dst_project").alias("to_project")).agg(F.count("*").alias("n"))
+
+
+@on_graph("prj_05_unwind", "SELECT p.name AS project, label, count(*) AS n FROM (SELECT project_id, unnest([kind, coalesce(arch_layer, 'Other')]) AS label FROM fx_type) t JOIN fx_project p ON p.project_id = t.project_id GROUP BY ALL")
+def _prj05(g: Graph) -> DataFrame:
+    """A row per label of a type: its kind and its layer."""
+    rows = g.contained.select("project", F.explode(F.array("kind", F.coalesce("arch_layer", F.lit("Other")))).alias("label"))
+    return rows.groupBy("project", "label").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str) -> DataFrame:
@@ -45,3 +46,20 @@ def resolve_stubs(types: DataFrame) -> DataFrame:
     real = types.where(~F.coalesce("is_external", F.lit(False))).select("fqn").distinct()
     stub = F.coalesce("is_external", F.lit(False))
     return types.where(~stub).unionByName(types.where(stub).join(real, "fqn", "left_anti"))
+
+
+def storable(df: DataFrame) -> DataFrame:
+    """df without the columns that a property cannot hold: all but plain values and arrays of them."""
+    plain = lambda t: isinstance(t, (T.StringType, T.NumericType, T.BooleanType, T.TimestampType))
+    return df.select(*(f.name for f in df.schema if plain(f.dataType) or isinstance(f.dataType, T.ArrayType) and plain(f.dataType.elementType)))
+
+
+def file_entities(types: DataFrame, project: str, file_path: str) -> DataFrame:
+    """The types of one file of a project."""
+    return types.where((F.col("project") == project) & (F.col("file_path") == file_path))
+
+
+def save_version(versions: DataFrame, project: str, commit: str, seq: int) -> DataFrame:
+    """versions (project, commit, seq) with the version of a project set."""
+    new = versions.sparkSession.createDataFrame([(project, commit, seq)], versions.schema)
+    return upsert(versions, new, ["project"], "seq").select(versions.columns)

@@ -15,15 +15,6 @@ from ..sources import java
 FILES = "project string, path string, content string, modified_time timestamp"
 
 
-def _read(spark: SparkSession, path: str, schema) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def _swap(new: DataFrame, path: str, version: int) -> None:
     """Writes a version of a table beside the one being read; the reader follows the newest complete one."""
     new.write.mode("overwrite").parquet(f"{path}/v={version}")
@@ -41,15 +32,18 @@ def current(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def merge_batch(batch: DataFrame, batch_id: int, store: str) -> None:
-    """Replaces the types of the batch's files in the table store/types."""
+    """Replaces what the batch's files declare in the tables store/types and store/methods."""
     spark = batch.sparkSession
     last = batch.groupBy("project", "path").agg(F.max_by("content", "modified_time").alias("content"))
-    types = java.extract(last).types.withColumn("batch", F.lit(batch_id))
-    old = current(spark, f"{store}/types")
-    if old is not None:
-        changed = last.select("project", F.col("path").alias("file_path"))
-        types = old.where(F.col("batch") != batch_id).join(changed, ["project", "file_path"], "left_anti").unionByName(types)
-    _swap(types, f"{store}/types", batch_id)
+    facts = java.extract(last)
+    changed = last.select("project", F.col("path").alias("file_path"))
+    of = facts.types.select(F.col("fqn").alias("class_fqn"), "file_path").distinct()
+    for name, new in (("types", facts.types), ("methods", facts.methods.join(of, "class_fqn"))):
+        new = new.withColumn("batch", F.lit(batch_id))
+        old = current(spark, f"{store}/{name}")
+        if old is not None:
+            new = old.where(F.col("batch") != batch_id).join(changed, ["project", "file_path"], "left_anti").unionByName(new)
+        _swap(new, f"{store}/{name}", batch_id)
 
 
 def ingest(spark: SparkSession, drop: str, store: str, checkpoint: str):

@@ -93,6 +93,26 @@ def test_trees_keep_every_child_of_a_hub(spark, monkeypatch):
     assert [(r.call_count, r.n_methods) for r in chain._trv23(g).collect()] == [(101, 101)]
 
 
+def test_results_as_json(spark):
+    import json
+
+    from codeloom.plans import chain
+
+    sets = {"tables": spark.createDataFrame([("p", None), ("a", 't"1')], "project string, table_name string"), "endpoints": spark.createDataFrame([], "path string")}
+    got = json.loads(chain.result_json(sets, 'found "it"').first()["result"])
+    assert got == {"success": True, "message": 'found "it"', "tables": [{"project": "a", "table_name": 't"1'}, {"project": "p", "table_name": None}], "endpoints": []}
+
+
+def test_search_says_what_it_cuts(spark):
+    from codeloom.plans.texts import search
+
+    files = spark.createDataFrame([("p/a.txt", "x\nhit\ny\nHIT"), ("p/b.txt", "hit\n" * 600), ("q/c.txt", "hit"), ("p/d.md", "hit")], "path string, content string")
+    got = {r.file: r for r in search(files, "hit", "p", "*.txt", 3, 1).collect()}
+    assert sorted(got) == ["a.txt", "b.txt"] and [m.line_number for m in got["a.txt"].matches] == [2, 4] and len(got["b.txt"].matches) == 1
+    assert got["a.txt"].truncated and got["a.txt"].full_content and got["b.txt"].full_content is None and got["a.txt"].matches[0].before == "x"
+    assert not search(files, "hit", "q").first().truncated and search(files, "none").collect() == []
+
+
 def test_on_paths(spark, edges):
     one = lambda n: _seed(spark, n).select("node")
     assert {(r.src, r.dst) for r in on_paths(edges, one(1), one(5), 3).collect()} == {(1, 2), (2, 4), (4, 5)}
@@ -101,10 +121,11 @@ def test_on_paths(spark, edges):
 
 def test_ingest_replaces_files(spark, tmp_path):
     drop, store, ck = (str(tmp_path / x) for x in ("drop", "store", "ck"))
-    row = lambda name, at: ("p", "src/A.java", f"package a;\npublic class {name} {{ }}", at)
+    row = lambda name, at: ("p", "src/A.java", f"package a;\npublic class {name} {{ void do{name}() {{ }} }}", at)
     for names in (["A"], ["B"]):
         rows = [row(n, None) for n in names]
         spark.createDataFrame(rows, "project string, path string, content string, modified_time timestamp").withColumn("modified_time", F.current_timestamp()).write.mode("append").parquet(drop)
         q = ingest(spark, drop, store, ck)
         assert q.awaitTermination(120)
         assert [r.name for r in current(spark, f"{store}/types").collect()] == names
+        assert [r.name for r in current(spark, f"{store}/methods").collect()] == [f"do{n}" for n in names]

@@ -213,7 +213,49 @@ def test_read_files_and_git(spark, tmp_path):
     committed = {r.path: r.content for r in files.git_files(spark, str(repo), pattern="*.java").collect()}
     assert committed == {"src/A.java": "class A {}\n"}
     info = files.git_info(spark, str(repo)).first()
-    assert info.subject == "first | with a bar" and len(info.version) == 8
+    assert info.subject == "first | with a bar" and len(info.version) == 8 and (info.name, info.branch) == ("demo", "main")
+    git("remote", "add", "origin", "git@host.org:team/digit.git")
+    assert [(r.name, r.url) for r in files.git_repos(spark, str(tmp_path)).collect()] == [("digit", "git@host.org:team/digit.git")]
+    git("mv", "src/b.py", "src/moved.py")
+    git("commit", "-qam", "second")
+    changes = lambda commit: {(r.file_path, r.change_type, r.old_path) for r in files.git_changes(spark, str(repo), commit).collect()}
+    assert changes(info.commit) == {("src/A.java", "modified", None), ("src/moved.py", "renamed", "src/b.py")}
+    assert changes("0" * 40) == {("src/A.java", "added", None), ("src/moved.py", "added", None), ("src/c.png", "added", None)}
+    git("branch", "old", info.commit)
+    assert {r.path for r in files.git_files(spark, str(repo), "old").collect()} == {"src/A.java", "src/b.py"}
+    assert files.git_files(spark, str(repo)).where("modified_time IS NULL").count() == 0
+
+
+def test_read_archives(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("p/src/A.java", "class A {}")
+        z.writestr("p/target/B.java", "class B {}")
+        z.writestr("p/x.png", b"x")
+    assert [(r.path, r.content) for r in files.read_archives(spark, str(tmp_path)).collect()] == [("p/src/A.java", "class A {}")]
+
+
+def test_file_filters(spark, tmp_path):
+    one = spark.range(1)
+    get = lambda c: one.select(c).first()[0]
+    assert get(files.name_matches(F.lit("a/MyFile.JAVA"), "*.java")) and get(files.name_matches(F.lit("a/MyFile.java"), "file.java")) and not get(files.name_matches(F.lit("a/b.javax"), "*.java"))
+    assert get(files.hidden(F.lit("a/.git/x"))) and not get(files.hidden(F.lit("a/b.c/x")))
+    assert get(files.kept(F.lit("src/A.java"), ("out",), ("*Test.java",), (".java",))) and not get(files.kept(F.lit("src/ATest.java"), ("out",), ("*Test.java",)))
+    assert not get(files.kept(F.lit("out/A.java"), ("out",))) and not get(files.kept(F.lit("A.kt"), extensions=(".java",)))
+    a = F.array(F.lit("org.x.Generated"), F.lit("Data"))
+    assert not get(files.without_annotations(a, ("Generated",))) and not get(files.without_annotations(a, ("org.x.*",))) and get(files.without_annotations(a, ("Other", "Dat*x")))
+    (tmp_path / "base").mkdir()
+    assert files.contained(f"{tmp_path}/base/x/../y", f"{tmp_path}/base") and not files.contained(f"{tmp_path}/base-other/x", f"{tmp_path}/base") and not files.contained(f"{tmp_path}/base/../z", f"{tmp_path}/base")
+
+
+def test_properties_versions_and_file_entities(spark):
+    df = spark.createDataFrame([("k", ["a"], {"x": "y"}, [{"m": "n"}], 1)], "key string, tags array<string>, props map<string,string>, nested array<map<string,string>>, n int")
+    assert merge.storable(df).columns == ["key", "tags", "n"]
+    v = spark.createDataFrame([("p", "c1", 1), ("q", "c1", 1)], "project string, commit string, seq bigint")
+    assert {tuple(r) for r in merge.save_version(v, "p", "c2", 2).collect()} == {("p", "c2", 2), ("q", "c1", 1)}
+    t = spark.createDataFrame([("p", "A.java", "a.A"), ("p", "B.java", "a.B")], "project string, file_path string, fqn string")
+    assert [r.fqn for r in merge.file_entities(t, "p", "A.java").collect()] == ["a.A"]
 
 
 def test_diff(spark):
