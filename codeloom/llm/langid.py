@@ -171,7 +171,8 @@ def identify(docs: DataFrame) -> DataFrame:
 
     docs: doc_id, text, lang; other columns are ignored. A text without letters, or null, is `und` with score 0;
     so is every text if nothing can be learned (no docs give no row). Equal distances: the
-    first language in alphabetical order. Rows that repeat count as often as they occur."""
+    first language in alphabetical order; n-grams of equal counts rank by their code points. Rows that repeat count as often as they occur. A
+    text of any length is read whole, in a chunk of its own if it is long."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text", "lang")
     learned = profiles(rows.where("NOT held_out"))
     return predict(rows.select("doc_id", "held_out", "text"), learned)

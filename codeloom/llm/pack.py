@@ -178,7 +178,8 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFram
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs: doc_id (bigint), text; other columns are ignored. A null or empty text is one piece of END
-    alone; rows that repeat an id (or have none) are documents of their own; no docs give no row."""
+    alone; rows that repeat an id (or have none) are documents of their own; no docs give no row. A text of any length is
+    encoded whole and cut into pieces; pieces of equal length take places in the order of their ids."""
     spark = docs.sparkSession
     table = written(pieces(docs, path, size))
     salts = 8 + table.count() // PER_SALT

@@ -73,7 +73,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     docs: doc_id, text; labels: doc_id, quality; other columns are ignored. A null text is scored as an empty one; a null id is scored
     like any other. Without labels of both classes every score is the known share (one half if none). Rows that repeat give
-    repeated results; no docs give no row."""
+    repeated results; no docs give no row. A text of any length is read whole (each indicator counts once); a score of exactly 0.5 is predicted 1."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     given = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 

@@ -183,7 +183,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     docs: doc_id (bigint), text; other columns are ignored. A null or empty text has no words and a text
     of fewer than WINDOW words loses none. Repeated rows are documents of their own, so each is a
-    copy of the other, whatever their ids (null ids too); no docs give no row."""
+    copy of the other, whatever their ids (null ids too); no docs give no row. A text of any length is read whole;
+    of equal hashes in a window the leftmost is its anchor."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     marks = written(repeats(docs))
     out = docs.withColumn("key", _key()).join(_spans(marks), "key", "left")

@@ -77,7 +77,8 @@ def score(docs: DataFrame, labels: DataFrame, chain: tuple[tuple[str, str], ...]
 
     docs: doc_id, text; labels: doc_id and what the chain's expressions name; other columns are ignored. A null text is scored as an
     empty one, a null id like any other. Without labels of both values a category has the known share (one half if none).
-    Repeated rows give repeated results; no docs give no row."""
+    Repeated rows give repeated results; no docs give no row. A text of any length is read whole (each indicator counts once); a
+    probability of exactly 0.5 counts as the category."""
     rows = docs.select("doc_id", held_out().alias("held_out"), "text")
     given = docs.sparkSession.sparkContext.broadcast(train(docs, labels, chain))
     names = ["doc_id", "held_out", *(f"p_{c}" for c, _ in chain)]
