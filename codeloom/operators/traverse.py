@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,11 +24,13 @@ class Levels:
     def __init__(self, first: DataFrame) -> None:
         """first: the columns of every level; depth is not among them."""
         self.spark, self.path, self.schema = first.sparkSession, scratch(first.sparkSession), first.schema
+        self.last = 0
 
     def add(self, rows: DataFrame, depth: int) -> DataFrame:
-        """Writes a level; returns it as read again."""
-        where = f"{self.path}/depth={depth}"
-        rows.write.parquet(where)
+        """Writes a level; returns it as read again. Its rows are counted as they are written (`last`)."""
+        where, seen = f"{self.path}/depth={depth}", Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(where)
+        self.last = seen.get["n"]
         return self.spark.read.schema(self.schema).parquet(where)
 
     def all(self) -> DataFrame:
@@ -57,7 +59,7 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, zero: bool = True) ->
         if zero or found:
             step = step.join(levels.all().select("source", "node"), ["source", "node"], "left_anti")
         frontier, found = levels.add(step, d), True
-        if frontier.isEmpty():
+        if not levels.last:
             break
     return levels.all().select("source", "node", "depth")
 
@@ -75,7 +77,7 @@ def lengths(edges: DataFrame, seeds: DataFrame, depth: int, state: dict[str, F.C
     for d in range(1, depth + 1):
         step = frontier.join(e, "node").select("source", F.col("dst").alias("node"), *(x.alias(n) for n, x in state.items())).distinct()
         frontier = levels.add(step.select(first.columns), d)
-        if frontier.isEmpty():
+        if not levels.last:
             break
     return levels.all()
 
@@ -95,7 +97,7 @@ def simple_paths(children: Children, seeds: DataFrame, depth: int, per_parent: i
         if per_parent is not None:
             step = step.withColumn("rn", F.row_number().over(Window.partitionBy("path").orderBy(order))).where(F.col("rn") <= per_parent)
         frontier = levels.add(step.select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("node")), d)
-        if frontier.isEmpty():
+        if not levels.last:
             break
     return levels.all()
 

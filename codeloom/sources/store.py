@@ -63,3 +63,9 @@ def bucketed(df: DataFrame, key: str, *partition_by: str) -> DataFrame:
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """df with a broadcast hint if a count shows it to be small; else unchanged."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def clear(spark: SparkSession, path: str) -> None:
+    """Empties a stored graph: every table below a folder, wherever it lies."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

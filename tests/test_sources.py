@@ -249,6 +249,14 @@ def test_file_filters(spark, tmp_path):
     assert files.contained(f"{tmp_path}/base/x/../y", f"{tmp_path}/base") and not files.contained(f"{tmp_path}/base-other/x", f"{tmp_path}/base") and not files.contained(f"{tmp_path}/base/../z", f"{tmp_path}/base")
 
 
+def test_clear(spark, tmp_path):
+    from codeloom.sources.store import clear
+
+    spark.range(3).write.parquet(f"{tmp_path}/g/types")
+    clear(spark, f"{tmp_path}/g")
+    assert not (tmp_path / "g").exists()
+
+
 def test_properties_versions_and_file_entities(spark):
     df = spark.createDataFrame([("k", ["a"], {"x": "y"}, [{"m": "n"}], 1)], "key string, tags array<string>, props map<string,string>, nested array<map<string,string>>, n int")
     assert merge.storable(df).columns == ["key", "tags", "n"]
