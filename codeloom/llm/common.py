@@ -18,6 +18,10 @@ from pyspark.sql import types as T
 #: Bytes of a table (see `sized`) that may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of an Arrow batch between the JVM and a Python worker, unless the session asks for its own: each task holds some
+#: batches outside the heap, and the buffers of an executor never shrink.
+ARROW_BYTES = "8m"
+
 _roots: dict[str, str] = {}
 
 
@@ -25,8 +29,11 @@ _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package (once per application), wherever the driver has it from."""
+    """Gives the executors this package (once per application), wherever the driver has it from, and keeps Arrow batches small."""
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) in ("67108864b", "64MB"):  # Spark's own value
+        spark.conf.set(key, ARROW_BYTES)
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]

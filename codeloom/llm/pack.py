@@ -38,7 +38,7 @@ END = 0
 #: One salt for so many pieces of the corpus: the most that one task ranks, even if all had one length.
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
-REMEMBER = 500_000
+REMEMBER = 800_000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -67,6 +67,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.remember = REMEMBER
 
     def _learn(self, new: list[str]) -> None:
         """Looks new words up; Latin letters and the punctuation behind them are apart for the tokenizer."""
@@ -90,7 +91,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         known = self.known
-        if len(known) > REMEMBER:
+        if len(known) > self.remember:
             known.clear()
         if not _CASED.search(text):
             text = text.lower()  # as the tokenizer does; fewer different words
@@ -111,13 +112,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
+def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, remember: int = REMEMBER) -> DataFrame:
     """Per piece: doc_id, row (which of the rows of its Arrow batch), piece, start, length, ids_crc32."""
     path = path or vocabulary()
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
         enc = encoder(path)
+        enc.remember = remember
         end = struct.pack("<I", END)
         row = 0
         for b in it:
@@ -174,14 +176,14 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
     return out
 
 
-def pack(docs: DataFrame, path: str | None = None, size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, remember: int = REMEMBER) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     docs: doc_id (bigint), text; other columns are ignored. A null or empty text is one piece of END
     alone; rows that repeat an id (or have none) are documents of their own; no docs give no row. A text of any length is
-    encoded whole and cut into pieces; pieces of equal length take places in the order of their ids."""
+    encoded whole and cut into pieces; a worker remembers the ids of `remember` words; pieces of equal length take places in the order of their ids."""
     spark = docs.sparkSession
-    table = written(pieces(docs, path, size))
+    table = written(pieces(docs, path, size, remember))
     salts = 8 + table.count() // PER_SALT
     table = table.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "start", "row"), F.lit(salts)))
     counted = written(table.groupBy("length", "salt").agg(F.count("*").alias("n")))

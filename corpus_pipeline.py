@@ -21,6 +21,10 @@ from codeloom.llm import decontaminate, jaccard, pack, quality, secrets
 from codeloom.llm.common import read, ship, sized, written
 
 
+#: Words that a worker of the packing stage remembers: fewer than alone, as executors hold what the stages before left.
+REMEMBER = 500_000
+
+
 def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """docs without the ids in gone (doc_id, not null); the ids are broadcast if they are few."""
     return docs.join(sized(written(gone)), "doc_id", "left_anti")
@@ -64,7 +68,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The places of all pieces in training sequences (doc_id, piece, start, length, ids_crc32, sequence_id, offset). A null or empty text is one
     piece of one id; rows that repeat a doc_id, or have none, are documents of their own; equal lengths take places in the order of their ids."""
     ship(spark)
-    return pack.pack(docs)
+    return pack.pack(docs, remember=REMEMBER)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
