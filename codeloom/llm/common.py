@@ -87,17 +87,19 @@ def sized(small: DataFrame, rows: int | None = None, limit: int = BROADCAST_BYTE
     A row counts as 16 bytes, 8 for each column, and what its strings, binaries and arrays hold. small should be a written
     table, as it is read for its size; rows: its number of rows, if known (for numbers only)."""
     width = 16 + 8 * len(small.columns)
-    if rows is None:
-        more = F.lit(0).cast("long")
-        for f in small.schema:
-            if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-                more = more + F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0))
-            elif isinstance(f.dataType, T.ArrayType):
-                each = 8 * len(f.dataType.elementType) + 16 if isinstance(f.dataType.elementType, T.StructType) else 8
-                more = more + F.greatest(F.size(f"`{f.name}`"), F.lit(0)) * each
-        held = small.agg(F.coalesce(F.sum(more + width), F.lit(0))).first()[0]
+    more = None
+    for f in small.schema:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            each = F.coalesce(F.octet_length(f"`{f.name}`"), F.lit(0)).cast("long")
+        elif isinstance(f.dataType, T.ArrayType):
+            each = F.greatest(F.size(f"`{f.name}`"), F.lit(0)).cast("long") * (8 * len(f.dataType.elementType) + 16 if isinstance(f.dataType.elementType, T.StructType) else 8)
+        else:
+            continue
+        more = each if more is None else more + each
+    if more is None or rows is not None:  # of numbers, the count tells all
+        held = (small.count() if rows is None else rows) * width
     else:
-        held = rows * width
+        held = small.agg(F.coalesce(F.sum(more + width), F.lit(0))).first()[0]
     return F.broadcast(small) if held <= limit else small.hint("merge")
 
 
