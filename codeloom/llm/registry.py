@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, html, jaccard, langid, pack, quality, secrets, substring, toxicity
+from . import alignment, decontaminate, embeddings, exact, html, jaccard, langid, pack, quality, secrets, substring, toxicity, trie
 from .common import ship
 
 
@@ -31,6 +31,9 @@ _ALL = [
     decontaminate.op8_decontaminate,
     langid.op9_language,
     quality.op10_quality,
+    trie.op11_trie,
+    exact.op12_exact,
+    alignment.op13_alignment,
 ]
 QUERIES = {f.__name__: _ready(f) for f in _ALL}
-SQL = {**embeddings.SQL, **substring.SQL, **jaccard.SQL, **decontaminate.SQL}
+SQL = {**embeddings.SQL, **substring.SQL, **jaccard.SQL, **decontaminate.SQL, **trie.SQL, **exact.SQL}
