@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.store import bucketed, scratch, written
+from ..sources.store import bucketed, scratch, small, written
 
 Children = DataFrame | Callable[[DataFrame], DataFrame]
 
@@ -64,22 +64,57 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, zero: bool = True) ->
     return levels.all().select("source", "node", "depth")
 
 
-def lengths(edges: DataFrame, seeds: DataFrame, depth: int, state: dict[str, F.Column] | None = None) -> DataFrame:
+def reusable(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(src, dst) of the edges that a walk of at most `depth` edges from the seeds (node) might use twice: those left when edges that end where none
+    begins, or begin where none ends, are taken away `depth` times. All edges on cycles are among them, few others."""
+    one = F.lit(0).cast("long").alias("source")
+    near = reach(edges, seeds.select(one, "node"), depth).select("node")
+    left = written(edges.select("src", "dst").distinct().join(near.withColumnRenamed("node", "src"), "src", "left_semi"))
+    for _ in range(depth):
+        n = left.count()
+        left = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        if left.count() == n:
+            break
+    return left
+
+
+def lengths(edges: DataFrame, seeds: DataFrame, depth: int, state: dict[str, F.Column] | None = None, exact: bool = False, ends: DataFrame | None = None) -> DataFrame:
     """(source, node, depth, *state): every number of edges, up to depth, of a walk from source to node.
 
     state: columns carried along a walk (as expressions on the frontier's and the edges' columns: dst, rel_type, via_field
-    and its own former value). Distinct per level, so a level never holds more than sources x nodes x states."""
-    state = state or {}
+    and its own former value). Distinct per level, so a level never holds more than sources x nodes x states.
+
+    exact: only trails count, which use no edge (one row of edges) twice. A trail carries the edges it has used, but only those that could
+    be used again (`reusable`), so where there are no cycles nothing is carried, and trails that used the same ones are one. Among cycles their number may
+    grow with the power of depth. ends (node): only what can still reach one of these within the depth is followed, and told."""
+    state = dict(state or {})
+    if exact:
+        again = reusable(edges, seeds, depth).withColumn("_again", F.lit(True))
+        edges = written(edges.withColumn("_edge", F.monotonically_increasing_id()))  # written: an id stays what it is
+        edges = edges.join(small(written(again)), ["src", "dst"], "left").withColumn("_edge", F.when(F.col("_again"), F.col("_edge"))).drop("_again")
+        edges = written(edges)
+        seeds = seeds.withColumn("_used", F.array().cast("array<bigint>"))
+        state["_used"] = F.when(F.col("_edge").isNull(), F.col("_used")).otherwise(F.array_sort(F.array_append("_used", F.col("_edge"))))
+    back = None
+    if ends is not None:
+        turned = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+        back = reach(turned, ends.select(F.lit(0).cast("long").alias("source"), "node"), depth).select("node", F.col("depth").alias("_left"))
+        back = small(written(back))
     e = edges.select(F.col("src").alias("node"), *[c for c in edges.columns if c != "src"])
     first = seeds.drop("depth")
     levels = Levels(first)
     frontier = levels.add(first, 0)
     for d in range(1, depth + 1):
-        step = frontier.join(e, "node").select("source", F.col("dst").alias("node"), *(x.alias(n) for n, x in state.items())).distinct()
-        frontier = levels.add(step.select(first.columns), d)
+        step = frontier.join(e, "node")
+        if exact:
+            step = step.where(F.col("_edge").isNull() | ~F.array_contains("_used", F.col("_edge")))
+        step = step.select("source", F.col("dst").alias("node"), *(x.alias(n) for n, x in state.items()))
+        if back is not None:
+            step = step.join(back, "node").where(F.col("_left") + d <= depth).drop("_left")
+        frontier = levels.add(step.distinct().select(first.columns), d)
         if not levels.last:
             break
-    return levels.all()
+    return levels.all().drop("_used").distinct() if exact else levels.all()
 
 
 def simple_paths(children: Children, seeds: DataFrame, depth: int, per_parent: int | None = None, order: str = "dst") -> DataFrame:

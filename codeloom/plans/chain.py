@@ -405,22 +405,52 @@ _CLASS_START = "s AS (SELECT m.method_id AS node FROM fx_method m WHERE m.type_i
 _LEN = "w(node, d) AS (SELECT node, 0 FROM s UNION SELECT e.dst, w.d + 1 FROM w JOIN fx_call e ON e.src = w.node WHERE w.d < 6)"
 
 
-@on_graph("trv_15_class_tables_all_depths", f"""WITH {_CLASS_START}, {_LEN} SELECT DISTINCT mt.table_name, t.name AS mapper_name, m.name AS mapper_method, CAST(w.d AS BIGINT) AS call_depth FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id AND t.kind = 'MAPPER' JOIN fx_mapper_table mt ON mt.src = t.type_id WHERE w.d > 0""")
-def _trv15(g: Graph) -> DataFrame:
-    walk = lengths(g.call.select("src", "dst"), _class_starts(g), 6).where("depth > 0").select(F.col("node").alias("method_id"), "depth").distinct()
-    out = walk.join(g.owned.where("kind = 'MAPPER'"), "method_id").join(g.mapper_table.withColumnRenamed("src", "type_id"), "type_id")
+_TABLES = "SELECT DISTINCT mt.table_name, t.name AS mapper_name, m.name AS mapper_method, CAST(w.d AS BIGINT) AS call_depth FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id AND t.kind = 'MAPPER' JOIN fx_mapper_table mt ON mt.src = t.type_id WHERE w.d > 0"
+_SERVICES = "SELECT DISTINCT t.fqn AS service_fqn, t.name AS service_name, m.name AS method_name, CAST(w.d AS BIGINT) AS call_depth, w.via AS via_field FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id WHERE w.via IS NOT NULL AND (t.is_external OR t.project_id IS NULL)"
+_VIA = "coalesce(w.via, CASE WHEN e.rel_type = 'DUBBO_CALLS' THEN e.via_field END)"
+#: Walks that use no edge twice, by the list of those used.
+_TRAIL = f"w(node, d, via, used) AS (SELECT node, 0, CAST(NULL AS VARCHAR), CAST([] AS VARCHAR[]) FROM s UNION ALL SELECT e.dst, w.d + 1, {_VIA}, list_append(w.used, e.src || '>' || e.dst) FROM w JOIN fx_call e ON e.src = w.node WHERE w.d < 5 AND NOT list_contains(w.used, e.src || '>' || e.dst))"
+
+
+def class_tables(g: Graph, starts: DataFrame, depth: int, exact: bool = False) -> DataFrame:
+    """Tables that mapper methods at any distance from the starts read, with every distance: of walks, or (exact) of trails only."""
+    mappers = g.owned.where("kind = 'MAPPER'")
+    ends = written(mappers.select(F.col("method_id").alias("node"))) if exact else None
+    walk = lengths(g.call.select("src", "dst"), starts, depth, exact=exact, ends=ends).where("depth > 0").select(F.col("node").alias("method_id"), "depth").distinct()
+    out = walk.join(mappers, "method_id").join(g.mapper_table.withColumnRenamed("src", "type_id"), "type_id")
     return out.select("table_name", F.col("class_name").alias("mapper_name"), F.col("name").alias("mapper_method"), F.col("depth").cast("long").alias("call_depth")).distinct()
 
 
-@on_graph("trv_16_class_dubbo_services", f"""WITH {_CLASS_START}, w(node, d, via) AS (SELECT node, 0, CAST(NULL AS VARCHAR) FROM s UNION SELECT e.dst, w.d + 1, coalesce(w.via, CASE WHEN e.rel_type = 'DUBBO_CALLS' THEN e.via_field END) FROM w JOIN fx_call e ON e.src = w.node WHERE w.d < 6)
-SELECT DISTINCT t.fqn AS service_fqn, t.name AS service_name, m.name AS method_name, CAST(w.d AS BIGINT) AS call_depth, w.via AS via_field FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id WHERE w.via IS NOT NULL AND (t.is_external OR t.project_id IS NULL)""")
-def _trv16(g: Graph) -> DataFrame:
-    seeds = _class_starts(g).withColumn("via", F.lit(None).cast("string"))
-    walk = lengths(g.call, seeds, 6, {"via": F.coalesce("via", F.when(F.col("rel_type") == "DUBBO_CALLS", F.col("via_field")))}).where("via IS NOT NULL")
-    out = walk.select(F.col("node").alias("method_id"), "depth", "via").distinct().join(g.owned.where("is_external OR project_id IS NULL"), "method_id")
+def class_services(g: Graph, starts: DataFrame, depth: int, exact: bool = False) -> DataFrame:
+    """Outside services that calls from the starts come to after a remote call, with every distance and the first remote call's field."""
+    seeds = starts.withColumn("via", F.lit(None).cast("string"))
+    far = g.owned.where("is_external OR project_id IS NULL")
+    ends = written(far.select(F.col("method_id").alias("node"))) if exact else None
+    walk = lengths(g.call, seeds, depth, {"via": F.coalesce("via", F.when(F.col("rel_type") == "DUBBO_CALLS", F.col("via_field")))}, exact, ends).where("via IS NOT NULL")
+    out = walk.select(F.col("node").alias("method_id"), "depth", "via").distinct().join(far, "method_id")
     return out.select(F.col("fqn").alias("service_fqn"), F.col("class_name").alias("service_name"), F.col("name").alias("method_name"), F.col("depth").cast("long").alias("call_depth"), F.col("via").alias("via_field")).distinct()
 
 
+@on_graph("trv_15_class_tables_all_depths", f"WITH {_CLASS_START}, {_LEN} {_TABLES}")
+def _trv15(g: Graph) -> DataFrame:
+    return class_tables(g, _class_starts(g), 6)
+
+
+@on_graph("trv_15_class_tables_by_trails", f"WITH {_CLASS_START}, {_TRAIL} {_TABLES}")
+def _trv15_trails(g: Graph) -> DataFrame:
+    return class_tables(g, _class_starts(g), 5, exact=True)
+
+
+@on_graph("trv_16_class_dubbo_services", f"WITH {_CLASS_START}, w(node, d, via) AS (SELECT node, 0, CAST(NULL AS VARCHAR) FROM s UNION SELECT e.dst, w.d + 1, {_VIA} FROM w JOIN fx_call e ON e.src = w.node WHERE w.d < 6) {_SERVICES}")
+def _trv16(g: Graph) -> DataFrame:
+    return class_services(g, _class_starts(g), 6)
+
+
+@on_graph("trv_16_class_dubbo_services_by_trails", f"WITH {_CLASS_START}, {_TRAIL} {_SERVICES}")
+def _trv16_trails(g: Graph) -> DataFrame:
+    return class_services(g, _class_starts(g), 5, exact=True)
+
+
 @on_graph("trv_17_involved_classes", f"""WITH {_CLASS_START}, {_LEN.replace("w.d < 6", "w.d < 15")} SELECT t.fqn AS class_fqn, p.name AS project, t.arch_layer, CAST(min(w.d) AS BIGINT) AS min_depth FROM w JOIN fx_method m ON m.method_id = w.node JOIN fx_type t ON t.type_id = m.type_id JOIN fx_project p ON p.project_id = t.project_id WHERE w.d > 0 GROUP BY ALL""")
 def _trv17(g: Graph) -> DataFrame:
     seeds = _class_starts(g).select(F.lit(0).cast("long").alias("source"), "node")

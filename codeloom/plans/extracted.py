@@ -1,15 +1,18 @@
-"""Queries on a graph that is extracted from Java sources: the sources are rendered from the driver's tables, read back, and loaded."""
+"""Queries on a graph that is extracted from Java sources: the sources are rendered from the driver's tables, read back, loaded, and stored."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources import java
+from ..functions.options import layered
+from ..sources import files as fl
+from ..sources import java, wider
 from ..sources import load as ld
+from ..sources.durable import GraphStore
 from ..sources.graph import Graph
-from ..sources.program import program_sql, render
-from ..sources.store import written
+from ..sources.program import LAYER, program_sql, render
+from ..sources.store import scratch, written
 from .chain import internal_classes
 from .registry import on_tables
 
@@ -18,13 +21,15 @@ _graphs: dict[tuple[str, str], Graph] = {}
 
 
 def program(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, java.Facts, ld.Loaded]:
-    """(files, facts, loaded graph) of the sources of sf_dir; made at the application's first use."""
+    """(files, facts, loaded graph) of the sources of sf_dir; made at the application's first use. The graph is read from a store that it was saved to."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _loaded:
         files = written(render(spark, sf_dir))
         facts = java.extract(files)
         projects = files.select(F.col("project").alias("name"), F.concat(F.lit("/repos/"), F.lower("project")).alias("path")).distinct()
-        _loaded[key] = (files, facts, ld.load(facts, projects, packages=True))
+        where = scratch(spark)
+        ld.save(GraphStore(spark, where), ld.load(facts, projects, packages=True))
+        _loaded[key] = (files, facts, ld.stored(GraphStore(spark, where)))
     return _loaded[key]
 
 
@@ -35,13 +40,13 @@ def graph(spark: SparkSession, sf_dir: str) -> Graph:
     return _graphs[key]
 
 
-@on_tables("ext_01_types", program_sql("""SELECT fqn, name, package, project, module, path AS file_path, kind, CASE WHEN kind = 'MAPPER' THEN 'Mapper' WHEN role = 'Controller' THEN 'Controller' WHEN role = 'Service' THEN 'Service' ELSE 'Other' END AS arch_layer,
+@on_tables("ext_01_types", program_sql(f"""SELECT fqn, name, package, project, module, path AS file_path, kind, {LAYER} AS arch_layer,
 CASE WHEN role = 'Inner' THEN 'package' ELSE 'public' END AS visibility, role = 'Impl' AS is_dubbo_service FROM jx_type"""))
 def _ext01(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(spark, sf_dir)[1].types.select("fqn", "name", "package", "project", "module", "file_path", "kind", "arch_layer", "visibility", "is_dubbo_service")
 
 
-@on_tables("ext_04_injected_fields", program_sql("SELECT class_fqn, field AS name, type_fqn, injection_type FROM jx_field"))
+@on_tables("ext_04_injected_fields", program_sql("SELECT class_fqn, field AS name, type_fqn, injection_type FROM jx_field UNION ALL SELECT class_fqn, 'unused2', type_fqn, injection_type FROM jx_field WHERE field = 'g1'"))
 def _ext04(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(spark, sf_dir)[1].fields.select("class_fqn", "name", "type_fqn", "injection_type")
 
@@ -51,27 +56,159 @@ def _ext05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return program(spark, sf_dir)[1].methods.select("class_fqn", "name", "signature", "visibility")
 
 
-@on_tables("ext_16_endpoints_and_jobs", program_sql("""SELECT signature, '/t' || id || '/a' || k AS path, 'POST' AS what FROM jx_method WHERE role = 'Controller' AND k IN (1, 2) UNION ALL SELECT signature, '/b', 'POST' FROM jx_method WHERE role = 'Controller' AND k IN (1, 2)
+@on_tables("ext_16_endpoints_and_jobs", program_sql("""SELECT signature, path, verb AS what FROM jx_route
 UNION ALL SELECT signature, '0 * * * *', 'scheduled' FROM jx_method WHERE kind = 'ARIES_JOB' AND k = 0"""))
 def _ext16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes with literals, arrays, sums and none; the verb is told by the annotation (EXT-17)."""
     facts = program(spark, sf_dir)[1]
     return facts.endpoints.select("signature", "path", F.col("http_method").alias("what")).union(facts.jobs.select("signature", "cron_expr", "job_type"))
 
 
+@on_tables("ext_02_imports", program_sql("""SELECT t.fqn, i.name, i.path FROM jx_type t JOIN (SELECT file_id, regexp_extract(type_fqn, '[^.]*$') AS name, type_fqn AS path FROM jx_field WHERE style = 'imported'
+UNION SELECT file_id, regexp_extract(up, '[^.]*$'), up FROM jx_extends WHERE NOT own UNION SELECT file_id, 'ping', 'com.lib.Help.ping' FROM jx_type
+UNION SELECT id, CASE WHEN id % 2 = 0 THEN concat('Row', CAST(id % 5 AS VARCHAR), 'DO') ELSE concat('Line', CAST(id % 5 AS VARCHAR), 'Entity') END, CASE WHEN id % 2 = 0 THEN concat('com.acme.entity.Row', CAST(id % 5 AS VARCHAR), 'DO') ELSE concat('com.acme.domain.Line', CAST(id % 5 AS VARCHAR), 'Entity') END FROM jx_type WHERE role = 'Store') i
+ON i.file_id = t.file_id"""))
+def _ext02(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each type's file imports by name."""
+    t = program(spark, sf_dir)[1].declared
+    return t.select("fqn", F.explode("imported").alias("name", "path"))
+
+
+@on_tables("ext_14_field_types", program_sql("SELECT style, class_fqn, field AS name, type_fqn FROM jx_field"))
+def _ext14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types resolved as they are written: dotted, imported, of the own package."""
+    facts = program(spark, sf_dir)[1]
+    f = wider.fields(facts).where(F.exists("annotations", lambda a: a["name"].isin(*java.INJECTING)))
+    style = F.when(F.col("type").contains("."), "dotted").when(F.map_contains_key("imported", F.col("type")), "imported").otherwise("own")
+    return f.where(~F.col("name").startswith("unused")).select(style.alias("style"), F.col("fqn").alias("class_fqn"), "name", "type_fqn")
+
+
+@on_tables("ext_08_sends", program_sql("SELECT DISTINCT signature, topic, mq_type FROM jx_send"))
+def _ext08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What methods send to queues, by literals and by constants (EXT-09, EXT-10)."""
+    return program(spark, sf_dir)[1].sends.select("signature", "topic", "mq_type")
+
+
+@on_tables("ext_19_listeners", program_sql("SELECT signature, topic, mq_type, grp AS listens_as FROM jx_listen"))
+def _ext19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listeners of all three kinds; a method that listens to several queues has a row for each (EXT-24)."""
+    return program(spark, sf_dir)[1].listeners.select("signature", "topic", "mq_type", F.col("group").alias("listens_as"))
+
+
+@on_tables("ext_23_inferred_tables", program_sql("SELECT fqn, CASE WHEN role = 'Mapper' THEN concat('t', CAST(id AS VARCHAR)) WHEN id % 2 = 0 THEN concat('row', CAST(id % 5 AS VARCHAR)) ELSE concat('line', CAST(id % 5 AS VARCHAR)) END AS table_name FROM jx_type WHERE kind = 'MAPPER'"))
+def _ext23(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of mappers by name, by an entity among the parameters, and by an imported entity."""
+    return wider.inferred_tables(program(spark, sf_dir)[1])
+
+
+_DEPENDS = """SELECT DISTINCT m.class_fqn AS src, x.dst FROM jx_method m JOIN (SELECT id, field AS dst, CASE field WHEN 'kt' THEN 3 WHEN 'rt' THEN 4 END AS k FROM jx_field WHERE field <> 'g1' UNION SELECT id, 'xs', NULL FROM jx_type UNION SELECT id, 'com.lib.Help.ping', NULL FROM jx_type) x
+ON x.id = m.id AND (x.k IS NULL OR x.k = m.k) WHERE m.kind IN ('CLASS', 'ARIES_JOB')"""
+
+
+@on_tables("ext_25_depends_by_text", program_sql(_DEPENDS))
+def _ext25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wider.depends_on(program(spark, sf_dir)[1])
+
+
+@on_tables("ext_22_members", program_sql("""SELECT 'Method' AS what, signature AS key FROM jx_method UNION ALL SELECT 'Field', concat(class_fqn, '.', field) FROM jx_field UNION ALL SELECT 'Field', concat(f.class_fqn, '.unused2') FROM jx_field f WHERE f.field = 'g1'
+UNION ALL SELECT 'Field', concat(fqn, '.', n) FROM jx_type, (SELECT 'TOPIC' AS n UNION ALL SELECT 'GROUP') WHERE kind = 'CLASS' AND role <> 'Inner' UNION ALL SELECT 'Field', concat(fqn, '.BIG') FROM jx_type WHERE kind = 'CLASS' AND role <> 'Inner' AND id % 500 = 0
+UNION ALL SELECT 'Parameter', concat(signature, '#', n) FROM jx_method, (SELECT '0' AS n UNION ALL SELECT '1') WHERE params <> '' AND (n = '0' OR params LIKE 'int%')"""))
+def _ext22(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every member and parameter, injected or not."""
+    facts = program(spark, sf_dir)[1]
+    rows = [(w, df, k) for w, df, k in (("Method", wider.methods(facts), "signature"), ("Field", wider.fields(facts), "key"), ("Parameter", wider.parameters(facts), "key"))]
+    out = None
+    for what, df, key in rows:
+        part = df.select(F.lit(what).alias("what"), F.col(key).alias("key"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@on_tables("ext_26_annotations", program_sql("""SELECT label, owner, name FROM jx_note UNION ALL SELECT 'Field', concat(class_fqn, '.unused2'), CASE injection_type WHEN 'Reference' THEN 'DubboReference' ELSE injection_type END FROM jx_field WHERE field = 'g1'"""))
+def _ext26(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = wider.entities(program(spark, sf_dir)[1])
+    return e.edge.where("rel_type = 'ANNOTATED_BY'").select(F.col("src_label").alias("label"), F.col("src").alias("owner"), F.col("dst").alias("name"))
+
+
+@on_tables("ext_26_attributes", program_sql("""SELECT signature AS owner, attributes FROM (SELECT signature, CASE path WHEN '/t/a' THEN 'produces=no/path;value=' WHEN '/api/**' THEN 'value=/api/**' WHEN '/p{id}' THEN 'consumes=X.Y;value=/p{id}' WHEN '' THEN '' WHEN '/r' THEN 'method=RequestMethod.GET;value=/r' ELSE 'value=/x/y' END AS attributes FROM jx_route WHERE path NOT IN ('/b', '/t/a'))
+UNION ALL SELECT signature, 'path=/t/a,/b;produces=no/path' FROM jx_route WHERE path = '/t/a'"""))
+def _ext26_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The attributes of routes, as a map."""
+    a = wider.annotated(program(spark, sf_dir)[1]).where((F.col("label") == "Method") & F.col("name").isin(*java.ROUTES))
+    said = F.array_join(F.transform(F.sort_array(F.map_keys("attributes")), lambda k: F.concat(k, F.lit("="), F.element_at("attributes", k))), ";")
+    return a.select("owner", said.alias("attributes"))
+
+
+@on_tables("ext_26_entities", program_sql("""SELECT 'Package' AS label, count(DISTINCT package) AS n FROM jx_type UNION ALL SELECT 'Type', count(*) FROM jx_type UNION ALL SELECT 'Method', count(*) FROM jx_method
+UNION ALL SELECT 'MQTopic', count(*) FROM (SELECT topic, mq_type FROM jx_listen UNION SELECT topic, mq_type FROM jx_send) UNION ALL SELECT 'Annotation', count(DISTINCT name) FROM jx_note
+UNION ALL SELECT 'Table', count(DISTINCT CASE WHEN role = 'Mapper' THEN concat('t', CAST(id AS VARCHAR)) WHEN id % 2 = 0 THEN concat('row', CAST(id % 5 AS VARCHAR)) ELSE concat('line', CAST(id % 5 AS VARCHAR)) END) FROM jx_type WHERE kind = 'MAPPER'"""))
+def _ext26_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of each kind, each once however often it is named (fields and parameters: ext_22)."""
+    e = wider.entities(program(spark, sf_dir)[1])
+    return e.node.where("label NOT IN ('Field', 'Parameter')").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@on_tables("snk_15_second_scan", program_sql("""SELECT 'Type' AS label, CASE WHEN file_id % 2 = 0 THEN 'first' ELSE 'second' END AS scan, count(*) AS n FROM jx_type GROUP BY ALL
+UNION ALL SELECT 'Method', CASE WHEN t.file_id % 2 = 0 THEN 'first' ELSE 'second' END, count(*) FROM jx_method m JOIN jx_type t ON t.fqn = m.class_fqn GROUP BY ALL UNION ALL SELECT 'Package', 'first', count(DISTINCT package) FROM jx_type WHERE file_id % 2 = 0
+UNION ALL SELECT 'Package', 'second', n FROM (SELECT count(DISTINCT package) AS n FROM jx_type WHERE package NOT IN (SELECT package FROM jx_type WHERE file_id % 2 = 0)) WHERE n > 0"""))
+def _snk15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan of every second file, and then of all: types scanned before, and what they declare, are left as they were."""
+    files = program(spark, sf_dir)[0]
+    even = F.regexp_extract("path", r"/T(\d+)\w*\.java$", 1).cast("long") % 2 == 0
+    mark = lambda e, scan: wider.Entities(*(x.withColumn("attributes", F.map_concat(F.coalesce("attributes", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))), F.create_map(F.lit("scan"), F.lit(scan)))) for x in (e.node, e.edge)))
+    both = wider.merged(mark(wider.entities(java.extract(files.where(even))), "first"), mark(wider.entities(program(spark, sf_dir)[1]), "second"))
+    return both.node.where("label IN ('Type', 'Method', 'Package')").groupBy("label", F.element_at("attributes", F.lit("scan")).alias("scan")).agg(F.count("*").alias("n"))
+
+
+@on_tables("chg_07_scan_closure", program_sql("""WITH root AS (SELECT fqn FROM jx_type WHERE role = 'Manager' ORDER BY id LIMIT 3),
+named AS (SELECT t.file_id, x.ref FROM jx_type t JOIN (SELECT id, up AS ref FROM jx_impl UNION SELECT id, up FROM jx_extends UNION SELECT id, type_fqn FROM jx_field) x ON x.id = t.id),
+w(fqn) AS (SELECT fqn FROM root UNION SELECT n.ref FROM w JOIN jx_type t ON t.fqn = w.fqn JOIN named n ON n.file_id = t.file_id)
+SELECT w.fqn, t.path FROM w LEFT JOIN jx_type t ON t.fqn = w.fqn"""))
+def _chg07(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every class that a scan from three roots asks for, until nothing new is named."""
+    files, facts, _ = program(spark, sf_dir)
+    roots = facts.types.where("name LIKE 'T%Manager'").orderBy(F.regexp_extract("name", r"\d+", 0).cast("long")).limit(3).select("fqn")
+    return ld.scan_closure(files, roots).select("fqn", "path")
+
+
+@on_tables("snk_11_topics", program_sql("""WITH x AS (SELECT l.*, row_number() OVER (PARTITION BY topic, mq_type ORDER BY t.project, t.path, l.signature) AS rn FROM jx_listen l JOIN jx_type t ON t.fqn = l.class_fqn)
+SELECT topic AS name, mq_type, grp AS first_group FROM x WHERE rn = 1 UNION ALL SELECT DISTINCT topic, mq_type, NULL FROM jx_send s WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.topic = s.topic AND x.mq_type = s.mq_type)"""))
+def _snk11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topics with the group of their first listener."""
+    return program(spark, sf_dir)[2].topic.select("name", "mq_type", F.col("group").alias("first_group"))
+
+
+@on_tables("snk_11_queue_edges", program_sql("""SELECT DISTINCT class_fqn AS src, CASE mq_type WHEN 'kafka' THEN 'MQ_KAFKA_CONSUMER' ELSE 'MQ_ROCKET_CONSUMER' END AS rel_type, concat(mq_type, ':', topic) AS dst FROM jx_listen
+UNION ALL SELECT DISTINCT concat(mq_type, ':', topic), 'MQ_CONSUMES_METHOD', signature FROM jx_listen UNION ALL SELECT DISTINCT signature, CASE mq_type WHEN 'kafka' THEN 'MQ_KAFKA_PRODUCER' ELSE 'MQ_ROCKET_PRODUCER' END, concat(mq_type, ':', topic) FROM jx_send"""))
+def _snk11_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return program(spark, sf_dir)[2].edge.where(F.col("rel_type").startswith("MQ_")).select("src", "rel_type", "dst")
+
+
+@on_tables("src_08_configured_files", program_sql("SELECT project, path FROM jx_top WHERE path NOT LIKE 'mod1/%' AND name NOT LIKE '%Dto' AND name NOT LIKE '%Helper'"))
+def _src08(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that the options of four layers keep, the later layer before the earlier one."""
+    o = layered({"exclude_dirs": ["mod2"], "filters": {"patterns": ["*Dto.java"], "extensions": [".py"]}}, {"filters": {"extensions": [".java", ".xml"]}}, {"exclude_dirs": ["mod1"]}, {"filters": {"patterns": ["*Dto.java", "*Helper.java"]}})
+    files = program(spark, sf_dir)[0]
+    return files.where(fl.kept(F.col("path"), o["exclude_dirs"], o["filters"]["patterns"], o["filters"]["extensions"])).select("project", "path")
+
+
 @on_tables("snk_13_call_edges", program_sql("SELECT src, dst, rel_type, via_field, call_type FROM jx_edge"))
 def _snk13(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls resolved to every overload or a stub, and classified (EXT-20)."""
     return program(spark, sf_dir)[2].edge.where("rel_type IN ('CALLS', 'DB_CALL', 'DUBBO_CALLS')").select("src", "dst", "rel_type", "via_field", "call_type")
 
 
-@on_tables("snk_05_load_counts", program_sql("""SELECT 'type' AS what, count(*) AS n FROM (SELECT fqn FROM jx_business UNION SELECT up FROM jx_impl) UNION ALL SELECT 'method', count(*) FROM (SELECT signature FROM jx_method WHERE id IN (SELECT id FROM jx_business) UNION SELECT dst FROM jx_edge)
-UNION ALL SELECT 'field', count(*) FROM jx_field UNION ALL SELECT 'table', count(*) FROM jx_business WHERE kind = 'MAPPER' UNION ALL SELECT 'CONTAINS', 2 * count(*) FROM jx_business UNION ALL SELECT 'HAS_FIELD', count(*) FROM jx_field
-UNION ALL SELECT 'MAPPER_FOR_TABLE', count(*) FROM jx_business WHERE kind = 'MAPPER' UNION ALL SELECT 'EXPOSES', 2 * count(*) FROM jx_method WHERE role = 'Controller' AND k IN (1, 2) AND id IN (SELECT id FROM jx_business)
-UNION ALL SELECT 'EXECUTES_JOB', count(*) FROM jx_method WHERE kind = 'ARIES_JOB' AND k = 0 AND id IN (SELECT id FROM jx_business) UNION ALL SELECT 'IMPLEMENTS', count(*) FROM jx_impl
+@on_tables("snk_05_load_counts", program_sql("""WITH up AS (SELECT e.* FROM jx_extends e WHERE e.id IN (SELECT id FROM jx_business)), route AS (SELECT r.* FROM jx_route r WHERE r.id IN (SELECT id FROM jx_business))
+SELECT 'type' AS what, count(*) AS n FROM (SELECT fqn FROM jx_business UNION SELECT up FROM jx_impl UNION SELECT up FROM up) UNION ALL SELECT 'method', count(*) FROM (SELECT signature FROM jx_method WHERE id IN (SELECT id FROM jx_business) UNION SELECT dst FROM jx_edge)
+UNION ALL SELECT 'field', count(*) + count(*) FILTER (field = 'g1') FROM jx_field UNION ALL SELECT 'table', count(*) FROM jx_business WHERE kind = 'MAPPER' UNION ALL SELECT 'CONTAINS', 2 * count(*) FROM jx_business UNION ALL SELECT 'HAS_FIELD', count(*) + count(*) FILTER (field = 'g1') FROM jx_field
+UNION ALL SELECT 'MAPPER_FOR_TABLE', count(*) FROM jx_business WHERE kind = 'MAPPER' UNION ALL SELECT 'EXPOSES', count(*) FROM route
+UNION ALL SELECT 'EXECUTES_JOB', count(*) FROM jx_method WHERE kind = 'ARIES_JOB' AND k = 0 AND id IN (SELECT id FROM jx_business) UNION ALL SELECT 'IMPLEMENTS', count(*) FROM jx_impl UNION ALL SELECT 'EXTENDS', count(*) FROM up
 UNION ALL SELECT 'DUBBO_PROVIDES', count(*) FROM jx_impl WHERE up IN (SELECT fqn FROM jx_business) UNION ALL SELECT 'DUBBO_DEPENDS', count(*) FROM (SELECT DISTINCT class_fqn, type_fqn FROM jx_field WHERE injection_type = 'Reference')
-UNION ALL SELECT 'DECLARES', (SELECT count(*) FROM jx_field) + (SELECT count(*) FROM (SELECT signature FROM jx_method WHERE id IN (SELECT id FROM jx_business) UNION SELECT dst FROM jx_edge)) UNION ALL SELECT rel_type, count(*) FROM jx_edge GROUP BY rel_type"""))
+UNION ALL SELECT 'DECLARES', (SELECT count(*) + count(*) FILTER (field = 'g1') FROM jx_field) + (SELECT count(*) FROM (SELECT signature FROM jx_method WHERE id IN (SELECT id FROM jx_business) UNION SELECT dst FROM jx_edge)) UNION ALL SELECT rel_type, count(*) FROM jx_edge GROUP BY rel_type
+UNION ALL SELECT CASE mq_type WHEN 'kafka' THEN 'MQ_KAFKA_CONSUMER' ELSE 'MQ_ROCKET_CONSUMER' END, count(*) FROM (SELECT DISTINCT class_fqn, topic, mq_type FROM jx_listen) GROUP BY 1 UNION ALL SELECT 'MQ_CONSUMES_METHOD', count(*) FROM (SELECT DISTINCT signature, topic, mq_type FROM jx_listen)
+UNION ALL SELECT CASE mq_type WHEN 'kafka' THEN 'MQ_KAFKA_PRODUCER' ELSE 'MQ_ROCKET_PRODUCER' END, count(*) FROM (SELECT DISTINCT signature, topic, mq_type FROM jx_send) GROUP BY 1"""))
 def _snk05(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows of the node tables and of each type of edge after the whole load."""
+    """Rows of the node tables and of each type of edge of the stored graph."""
     x = program(spark, sf_dir)[2]
     n = x.edge.groupBy(F.col("rel_type").alias("what")).agg(F.count("*").alias("n"))
     for name, df in (("type", x.type.select("fqn").distinct()), ("method", x.method), ("field", x.field), ("table", x.table)):
@@ -79,11 +216,11 @@ def _snk05(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n
 
 
-@on_tables("snk_14_hierarchy", program_sql("SELECT i.fqn AS src, i.up AS dst, b.id IS NULL AS stub FROM jx_impl i LEFT JOIN jx_business b ON b.fqn = i.up"))
+@on_tables("snk_14_hierarchy", program_sql("""SELECT i.rel_type, i.fqn AS src, i.up AS dst, b.id IS NULL AS stub FROM (SELECT 'IMPLEMENTS' AS rel_type, fqn, up FROM jx_impl UNION ALL SELECT 'EXTENDS', fqn, up FROM jx_extends WHERE id IN (SELECT id FROM jx_business)) i LEFT JOIN jx_business b ON b.fqn = i.up"""))
 def _snk14(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = program(spark, sf_dir)[2]
     known = x.type.select(F.col("fqn").alias("dst"), F.col("file_path").isNull().alias("stub"))
-    return x.edge.where("rel_type = 'IMPLEMENTS'").select("src", "dst").join(known, "dst")
+    return x.edge.where("rel_type IN ('IMPLEMENTS', 'EXTENDS')").select("rel_type", "src", "dst").join(known, "dst")
 
 
 @on_tables("snk_04_contains", program_sql("SELECT 'Project' AS src_label, project AS src, fqn AS dst FROM jx_business UNION ALL SELECT 'Package', package, fqn FROM jx_business"))
@@ -109,9 +246,9 @@ def _src10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.union(missing.select("fqn", F.lit(None).cast("string")))
 
 
-@on_tables("trv_04_on_extracted_graph", program_sql("""WITH s AS (SELECT src AS node FROM jx_edge WHERE rel_type = 'CALLS' GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
+@on_tables("trv_04_on_extracted_graph", program_sql(f"""WITH s AS (SELECT src AS node FROM jx_edge WHERE rel_type = 'CALLS' GROUP BY src ORDER BY count(*) DESC, src LIMIT 1),
 w(node, d) AS (SELECT node, 0 FROM s UNION SELECT e.dst, w.d + 1 FROM w JOIN jx_edge e ON e.src = w.node WHERE w.d < 10 AND e.rel_type IN ('CALLS', 'DB_CALL'))
-SELECT DISTINCT b.project, b.fqn AS class_fqn, b.name AS class_name, CASE WHEN b.kind = 'MAPPER' THEN 'Mapper' WHEN b.role = 'Controller' THEN 'Controller' WHEN b.role = 'Service' THEN 'Service' ELSE 'Other' END AS arch_layer
+SELECT DISTINCT b.project, b.fqn AS class_fqn, b.name AS class_name, {LAYER} AS arch_layer
 FROM w JOIN jx_business b ON starts_with(w.node, concat(b.fqn, '.'))"""))
 def _trv04(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = graph(spark, sf_dir)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rules import glob_pattern
+from .store import ship
 
 # Languages by extension, folders and kinds of files that are left out.
 LANGUAGES = {"java": "java", "py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "jsx": "javascript", "go": "go", "rs": "rust", "xml": "xml", "sql": "sql"}
@@ -111,6 +112,7 @@ def git_files(spark: SparkSession, repo: str, rev: str = "HEAD", pattern: str =
 
     The listing is the driver's; contents are read in tasks, by one git process for each Arrow batch, so the repository must lie
     in a folder that all executors see. Nothing is checked out."""
+    ship(spark)
     rows = [line.split("\t", 1) for line in _git(repo, "ls-tree", "-r", "-l", "-z", rev).split("\0") if line]
     listed = [(p, m.split()[2], int(m.split()[3])) for m, p in rows if m.split()[1] == "blob"]
     at = _git(repo, "log", "-1", "--pretty=%cI", rev).strip()
@@ -169,6 +171,7 @@ def read_archives(spark: SparkSession, root: str, pattern: str = "*") -> DataFra
                     rows = [(path, n, z.read(n).decode(errors="replace")) for n in z.namelist() if not n.endswith("/")]
                 yield pd.DataFrame(rows, columns=["archive", "path", "content"])
 
+    ship(spark)
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(root).select("path", "content")
     files = raw.mapInPandas(unzip, "archive string, path string, content string")
     return files.where(outside(F.col("path"), PRUNED) & ~extension(F.col("path")).isin(*BINARY) & matching(F.col("path"), pattern))

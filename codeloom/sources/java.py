@@ -1,36 +1,32 @@
-"""Facts from Java sources as column expressions over files (path, content, project).
+"""Facts from Java sources (files: path, content, project) as typed tables.
 
-Comments go, string literals stay. Regular expressions cannot match braces, so one small helper (`outline`) cuts a file, in Arrow
-batches, into its type declarations, nested ones too, and each of them into its members (a field, or a method with its
-annotations and body). All else is done by the JVM's regular expressions on these; a file without a class or interface
-gives a row in `errors`, never a failed task.
+A task reads each file once (`lexer`: a linear scanner and a reader of declarations), and gives a row per type with what it declares as nested
+columns. All else is Spark's: members, calls, routes, jobs, queues and constants are exploded from these rows, names are resolved
+by lookups in the file's imports, and calls by joins with the fields of their class. A file without a class or
+interface gives a row in `errors`, never a failed task.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.rules import architecture_layer, http_method, simple_name, table_name, visibility
 from .files import is_java_source
-from .store import written
-
-_ARGS = r"\((?:[^()\"]|\"(?:\\.|[^\"\\])*\"|\([^()]*\))*\)"
-_ANN = rf"(?:@\w+(?:{_ARGS})?\s*)"
-_MODS = r"(?:(?:public|protected|private|static|final|abstract|default|synchronized|native)\s+)"
-_TYPE = r"(?:[\w.]+(?:<[^;(){}]*?>)?(?:\[\])*)"
-_CLASS = rf"{_ANN}*{_MODS}*(?:class|interface|enum|@interface)\s+\w+[^{{;]*\{{"
-_FIELD = rf"^\s*{_ANN}+{_MODS}*{_TYPE}\s+\w+\s*[=,;]"
-_KEYWORDS = ("return", "new", "else", "throw", "if", "for", "while", "switch", "catch", "package", "import", "try", "case", "public", "protected", "private", "static", "final", "abstract", "default", "synchronized", "native")
+from .lexer import read
+from .store import ship, written
+
 # Annotations and names that decide what a declaration is.
 INJECTING = ("Reference", "DubboReference", "Resource", "Autowired")
 ROUTES = ("RequestMapping", "PostMapping", "GetMapping", "PutMapping", "DeleteMapping", "PatchMapping", "MobileAPI")
 JOBS = ("Scheduled", "AriesCronJobListener", "XxlJob")
+LISTENERS = ("KafkaListener", "RocketMQMessageListener", "RabbitListener")
 PRIMITIVE = ("int", "long", "short", "byte", "float", "double", "boolean", "char", "void")
 LANG = ("String", "Object", "Integer", "Long", "Boolean", "Double", "Float", "Byte", "Short", "Character")
 # Names of library methods, which without a qualifier are no calls of a class's own methods.
@@ -48,64 +44,56 @@ add remove clear size isEmpty iterator
 put putAll containsKey containsValue keySet values entrySet
 equalsIgnoreCase compareTo compareToIgnoreCase
 """.split()
-#: Words before a bracket that are no calls.
-STATEMENTS = ("if", "for", "while", "switch", "catch", "return", "super", "this", "synchronized", "throw", "new", "else", "try")
-
-#: A literal, the header of a method of an anonymous class (both no calls), or a call with its qualifier and first argument.
-_CALL = rf"""\"(?:\\.|[^\"\\])*\"|(?!(?:else|new|return|throw)\b)\b{_MODS}*{_TYPE}\s+\w+\s*\([^()]*\)\s*(?:throws\s+[\w., ]+)?\{{|(?:\b(\w+|this)\s*\.\s*)?\b(?<!new )(\w+)\s*\((?:\s*(?:"[^"]*"|[\w.]+))?"""
-
-_LITERAL = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])+'")
-_SIGN = re.compile(r"[(){};]")
-_HEAD = re.compile(_CLASS)
-_NOTE = re.compile(_ANN)
-
-
-def outline(text: str) -> list[tuple[str, list[str]]]:
-    """(head, members) of each class and interface in order, nested ones too; a nested type is no member of the outer one."""
-    plain = _LITERAL.sub(lambda m: m.group()[0] + " " * (len(m.group()) - 2) + m.group()[-1], text)
-    heads = {m.end() - 1: m for m in _HEAD.finditer(plain)}
-    # (head or None, members, where the current member starts, whether it ends only with a semicolon) of each open bracket
-    found, stack = [], []
-    for sign in _SIGN.finditer(plain):
-        c, at = sign.group(), sign.start()
-        if c == "{" and at in heads:
-            members: list[str] = []
-            if not re.search(r"(?:enum|@interface)\s+\w+[^{]*\{$", heads[at].group()):
-                found.append((at, text[heads[at].start() : at + 1], members))
-            stack.append([at, members, at + 1, False])
-        elif c in "({":
-            if stack and stack[-1][0] is not None and c == "{" and "=" in _NOTE.sub("", plain[stack[-1][2] : at]):
-                stack[-1][3] = True  # an initial value
-            stack.append([None, None, 0, False])
-        elif c in ")}":
-            closed = stack.pop() if stack else None
-            if closed and stack and stack[-1][0] is not None and c == "}":
-                top = stack[-1]
-                if closed[0] is not None:
-                    top[2] = at + 1
-                elif not top[3]:
-                    top[1].append(text[top[2] : at + 1])
-                    top[2] = at + 1
-        elif stack and stack[-1][0] is not None:
-            top = stack[-1]
-            top[1].append(text[top[2] : at + 1])
-            top[2], top[3] = at + 1, False
-    return [(head, members) for _, head, members in sorted(found, key=lambda x: x[0])]
-
-
-def _outlines(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A row per type of a file (columns head, members after the file's own), one with an empty head if there is none; text on the first only."""
-    for df in it:
-        rows = []
-        for project, path, text, package, imports in df.itertuples(index=False):
-            for n, (head, members) in enumerate(outline(text) or [("", [])]):
-                rows.append((project, path, None if n else text, package, imports, head, members))
-        yield pd.DataFrame(rows, columns=[*df.columns, "head", "members"])
+#: Rows that a task holds before it gives them on.
+_AT_ONCE = 64
+
+_NOTES = "array<struct<name string, args array<struct<name string, literal boolean, value string>>>>"
+_PARSED = f"""project string, file_path string, package string, imports array<string>, imported map<string, string>, whole array<string>,
+constants array<struct<name string, value string>>, failed string, name string, kind string, annotations {_NOTES}, modifiers array<string>,
+extends array<string>, implements array<string>, fields array<struct<name string, type string, value string, annotations {_NOTES}, modifiers array<string>>>,
+methods array<struct<name string, return_type string, parameters array<struct<type string, name string, annotations {_NOTES}>>,
+annotations {_NOTES}, modifiers array<string>, calls array<struct<qualifier string, callee string, literal boolean, argument string>>>>"""
+
+
+def _rows(project: str, path: str, text: str) -> list[dict]:
+    """A row per type of a file; one without a type's columns if there is none or the text cannot be read."""
+    row = {"project": project, "file_path": path}
+    try:
+        r = read(text)
+    except (RecursionError, IndexError) as e:  # annotations in annotations in annotations
+        return [{**row, "failed": type(e).__name__}]
+    imported: dict[str, str] = {}
+    for name, _ in r.imports:
+        if not name.endswith(".*"):
+            imported.setdefault(name.rsplit(".", 1)[-1], name)
+    row |= {"package": r.package, "imports": [n for n, _ in r.imports], "imported": list(imported.items()), "whole": [n[:-1] for n, static in r.imports if n.endswith(".*") and not static]}
+    return [{**row, "constants": [] if i else r.constants(), **t} for i, t in enumerate(r.types)] or [row]
+
+
+def parsed(files: DataFrame) -> DataFrame:
+    """A row per type declared in the Java files among `files`, of any kind and depth (_PARSED); constants on a file's first row only."""
+    ship(files.sparkSession)
+    schema = to_arrow_schema(StructType.fromDDL(_PARSED.replace("\n", " ")))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+        for b in it:
+            for project, path, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                held += _rows(project, path, text)
+                if len(held) >= _AT_ONCE:
+                    yield pa.RecordBatch.from_pylist(held, schema)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, schema)
+
+    src = files.where(is_java_source(F.col("path"))).select("project", F.col("path").alias("file_path"), F.coalesce("content", F.lit("")).alias("text"))
+    return src.mapInArrow(run, _PARSED)
 
 
 @dataclass(frozen=True)
 class Facts:
-    """types, methods, fields, calls, endpoints, jobs, listeners, sends, tables and errors, one DataFrame each."""
+    """types, methods, fields, calls, endpoints, jobs, listeners, sends, tables and errors, one DataFrame each; declared: every type as it was parsed,
+    with its full name (`wider` reads annotations, parameters and all members from it)."""
 
     types: DataFrame
     methods: DataFrame
@@ -117,28 +105,23 @@ class Facts:
     sends: DataFrame
     tables: DataFrame
     errors: DataFrame
+    declared: DataFrame
 
 
-def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-
-
-def _strings(text: Column) -> Column:
-    return _all(text, r'"((?:\\.|[^"\\])*)"', 1)
-
+def names(annotations: str | Column) -> Column:
+    return F.transform(annotations, lambda a: a["name"])
 
-def _annotations(text: Column) -> Column:
-    return _all(text, r"@(\w+)", 1)
 
-
-def _full_name(name: Column, package: Column, imports: Column) -> Column:
+def full_name(bare: Column, package: Column, imported: Column, whole: Column) -> Column:
     """A type's full name: as written if dotted, a primitive, of java.lang, imported, of the file's package, or (in no package) of the
     first package that is imported whole."""
-    bare = F.regexp_replace(name, r"<.*|\[\]", "")
-    imported = F.get(F.filter(imports, lambda i: i.endswith(F.concat(F.lit("."), bare))), F.lit(0))
-    whole = F.get(F.filter(imports, lambda i: i.endswith(".*")), F.lit(0))
-    own = F.when(package != "", F.concat_ws(".", package, bare)).when(whole.isNotNull(), F.concat(F.regexp_replace(whole, r"\*$", ""), bare)).otherwise(bare)
-    return F.when(bare.contains(".") | bare.isin(*PRIMITIVE), bare).when(bare.isin(*LANG), F.concat(F.lit("java.lang."), bare)).otherwise(F.coalesce(imported, own))
+    first = F.get(whole, F.lit(0))
+    own = F.when(package != "", F.concat_ws(".", package, bare)).when(first.isNotNull(), F.concat(first, bare)).otherwise(bare)
+    return F.when(bare.contains(".") | bare.isin(*PRIMITIVE), bare).when(bare.isin(*LANG), F.concat(F.lit("java.lang."), bare)).otherwise(F.coalesce(F.try_element_at(imported, bare), own))
+
+
+def _resolved(bare: Column) -> Column:
+    return full_name(bare, F.col("package"), F.col("imported"), F.col("whole"))
 
 
 def module(path: Column, project: Column) -> Column:
@@ -147,71 +130,113 @@ def module(path: Column, project: Column) -> Column:
     return F.when(first == "src", project).otherwise(first)
 
 
-def extract(files: DataFrame) -> Facts:
-    """The facts of the Java files among `files` (path, content, project); tests and pruned folders are left out."""
-    src = files.where(is_java_source(F.col("path"))).select("project", F.col("path").alias("file_path"), F.regexp_replace(F.coalesce("content", F.lit("")), r"(?s)/\*.*?\*/|(?m)(?<![:\"])//.*?$", " ").alias("text")).select("project", "file_path", "text")
-    src = src.select("*", F.regexp_extract("text", r"(?m)^\s*package\s+([\w.]+)", 1).alias("package"), _all(F.col("text"), r"import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", 1).alias("imports"))
-    src = src.mapInPandas(_outlines, "project string, file_path string, text string, package string, imports array<string>, head string, members array<string>")
-    src = written(src)  # one parse serves every table below
-    errors = src.where(F.col("head") == "").select("project", "file_path", F.when(F.col("text").rlike(r"\b(?:enum|@interface)\s+\w+"), "no class or interface").otherwise("no type declaration").alias("error"))
-    ok = src.where(F.col("head") != "")
-    name = F.regexp_extract("head", r"(?:class|interface)\s+(\w+)", 1)
-    ann, is_interface = _annotations(F.regexp_extract("head", rf"^{_ANN}*", 0)), F.col("head").rlike(r"\binterface\s+\w+[^{]*\{$")
-    listed = lambda word: F.filter(F.transform(F.split(F.regexp_replace(F.regexp_extract("head", word, 1), "<[^<>]*>", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+def _declared(src: DataFrame) -> DataFrame:
+    """The classes and interfaces (records are classes) with full name and what their annotations make of them."""
+    t = src.where("kind IN ('class', 'interface', 'record')")
+    notes = names("annotations")
     fqn = F.when(F.col("package") == "", F.col("name")).otherwise(F.concat_ws(".", "package", "name"))
-    t = ok.select("*", name.alias("name"), ann.alias("annotations"), is_interface.alias("is_interface"), _all(F.regexp_replace("head", r"(?:class|interface)[\s\S]*", ""), r"\b(public|protected|private|abstract|final)\b", 1).alias("modifiers"), listed(r"\bextends\s+([\w.,\s<>]+?)(?:\bimplements\b|\{)").alias("extends"), listed(r"\bimplements\s+([\w.,\s<>]+)\{").alias("implements"))
-    t = t.withColumn("fqn", fqn)
-    dubbo = F.arrays_overlap("annotations", F.array(F.lit("DubboService"))) | F.array_contains("annotations", "Service") & F.exists("imports", lambda i: i.contains("dubbo"))
-    mapper = F.array_contains("annotations", "Mapper") | F.col("is_interface") & (F.col("name").endswith("Mapper") | F.lower("package").contains("mapper"))
-    t = t.withColumn("is_dubbo_service", dubbo).withColumn("is_mapper", mapper)
-    m = t.select("project", "file_path", "fqn", "package", "imports", "is_interface", F.explode("members").alias("part"))
-    head = F.regexp_extract("part", r"^\s*(" + rf"{_ANN}*{_MODS}*(?:<[^>]+>\s+)?{_TYPE}\s+\w+\s*\([^()]*(?:\([^()]*\)[^()]*)*\)" + ")", 1)
-    m = m.withColumn("head", head).withColumn("plain", F.regexp_replace("head", rf"^(?:{_ANN})*", ""))
-    m = m.withColumn("name", F.regexp_extract("plain", r"(\w+)\s*\(", 1)).withColumn("return_type", F.regexp_extract("plain", rf"^{_MODS}*(?:<[^>]+>\s+)?({_TYPE})\s+\w+\s*\(", 1)).where(~F.col("return_type").isin(*_KEYWORDS, "") & ~F.col("name").isin(*_KEYWORDS))
-    args = F.regexp_replace(F.regexp_replace(F.regexp_extract("plain", r"\((.*)\)", 1), rf"{_ANN}|final\s+", ""), "<[^<>]*(?:<[^<>]*>[^<>]*)*>", "")
-    params = F.transform(F.filter(F.transform(F.split(args, ","), lambda x: F.trim(x)), lambda x: x != ""), lambda x: simple_name(F.regexp_extract(x, r"^([\w.\[\]]+)", 1)))
-    m = m.withColumn("parameters", params).withColumn("annotations", _annotations(F.regexp_extract("head", rf"^(?:{_ANN})*", 0))).withColumn("signature", F.concat(F.concat_ws(".", "fqn", "name"), F.lit("("), F.concat_ws(",", "parameters"), F.lit(")")))
-    m = m.withColumn("notes", F.regexp_extract("head", rf"^(?:{_ANN})*", 0)).withColumn("body", F.expr("substring(part, instr(part, head) + length(head))"))
-    m = written(m)
-    methods = m.select("project", F.col("fqn").alias("class_fqn"), "name", "signature", "return_type", "parameters", "annotations", visibility(_all(F.regexp_extract("plain", rf"^{_MODS}*", 0), r"\w+", 0)).alias("visibility"))
-
-    f = t.select("project", "fqn", "package", "imports", F.explode("members").alias("field")).where(F.col("field").rlike(_FIELD)).withColumn("field", F.regexp_replace("field", r"^\s+", ""))
-    f = f.withColumn("injection_type", F.get(F.filter(_annotations(F.col("field")), lambda a: a.isin(*INJECTING)), F.lit(0))).where("injection_type IS NOT NULL")
-    f = f.withColumn("decl", F.regexp_replace("field", rf"^(?:{_ANN})*{_MODS}*", ""))
-    each = F.explode(_all(F.regexp_replace("decl", rf"^{_TYPE}", ""), r"(?:^|,)\s*(\w+)\s*(?=[=,;])", 1)).alias("name")  # a row per declarator
-    fields = f.select("project", F.col("fqn").alias("class_fqn"), each, _full_name(F.regexp_extract("decl", rf"^({_TYPE})", 1), F.col("package"), F.col("imports")).alias("type_fqn"), F.when(F.col("injection_type") == "DubboReference", "Reference").otherwise(F.col("injection_type")).alias("injection_type"))
-
-    c = m.select("project", "fqn", "signature", F.explode(_all(F.col("body"), _CALL)).alias("call")).where(~F.col("call").startswith('"') & ~F.col("call").endswith("{"))
-    c = c.withColumn("qualifier", F.nullif(F.regexp_extract("call", r"^(\w+)\s*\.", 1), F.lit(""))).withColumn("callee", F.regexp_extract("call", r"(\w+)\s*\(", 1)).withColumn("argument", F.regexp_extract("call", r"\(\s*(.*)$", 1))
+    dubbo = F.array_contains(notes, "DubboService") | F.array_contains(notes, "Service") & F.exists("imports", lambda i: i.contains("dubbo"))
+    is_interface = F.col("kind") == "interface"
+    mapper = F.array_contains(notes, "Mapper") | is_interface & (F.col("name").endswith("Mapper") | F.lower("package").contains("mapper"))
+    return t.select("*", fqn.alias("fqn"), is_interface.alias("is_interface"), dubbo.alias("is_dubbo_service"), mapper.alias("is_mapper"))
+
+
+def _types(t: DataFrame) -> DataFrame:
+    notes = names("annotations")
+    job = F.arrays_overlap(notes, F.array(F.lit("AriesCronJobListener"), F.lit("AriesJob")))
+    kind = F.when(F.col("is_mapper"), "MAPPER").when(job, "ARIES_JOB").when(F.col("is_interface"), "INTERFACE").otherwise("CLASS")
+    layer = architecture_layer(F.col("name"), F.col("package"), notes, F.col("is_mapper"), F.col("is_dubbo_service"), F.col("implements"))
+    up = [F.transform(c, _resolved).alias(c) for c in ("extends", "implements")]
+    return t.select("project", module(F.col("file_path"), F.col("project")).alias("module"), "fqn", kind.alias("kind"), "name", "package", layer.alias("arch_layer"), visibility(F.col("modifiers")).alias("visibility"), "file_path", "is_dubbo_service", "is_mapper", *up)
+
+
+def _methods(t: DataFrame) -> DataFrame:
+    """A row per method, with its signature (simple names of its parameters' types)."""
+    m = t.select("project", "file_path", "fqn", "package", "imported", "whole", F.explode("methods").alias("m"))
+    types = F.transform("m.parameters", lambda p: simple_name(p["type"]))
+    m = m.select("*", "m.name", "m.return_type", types.alias("parameters"), F.col("m.annotations").alias("notes"), F.col("m.modifiers").alias("modifiers"), F.col("m.calls").alias("invoked"))
+    return m.withColumn("signature", F.concat(F.concat_ws(".", "fqn", "name"), F.lit("("), F.concat_ws(",", "parameters"), F.lit(")"))).drop("m")
+
+
+def _fields(t: DataFrame) -> DataFrame:
+    """A row per injected field and declarator."""
+    f = t.select("fqn", "project", "package", "imported", "whole", F.explode("fields").alias("f"))
+    injecting = F.get(F.filter(names("f.annotations"), lambda a: a.isin(*INJECTING)), F.lit(0))
+    f = f.withColumn("injection_type", injecting).where("injection_type IS NOT NULL")
+    return f.select("project", F.col("fqn").alias("class_fqn"), "f.name", _resolved(F.col("f.type")).alias("type_fqn"), F.when(F.col("injection_type") == "DubboReference", "Reference").otherwise(F.col("injection_type")).alias("injection_type"))
+
+
+def _calls(m: DataFrame, fields: DataFrame, constants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(calls, sends): only types that own an injected field are searched for calls; what sends to a queue is no call."""
+    c = m.select("project", "file_path", "fqn", "signature", F.explode("invoked").alias("c")).select("project", "file_path", "fqn", "signature", "c.*")
     own = fields.select(F.col("class_fqn").alias("fqn"), F.col("name").alias("qualifier"), F.col("type_fqn").alias("target"), "injection_type")
     c = c.join(own, ["fqn", "qualifier"], "left")
-    inner = F.col("target").isNull() & (F.col("qualifier").isNull() | (F.col("qualifier") == "this")) & ~F.col("callee").isin(*LIBRARY, *STATEMENTS)
-    sender = (F.col("callee") == "send") & F.lower(simple_name(F.col("target"))).contains("kafka") | F.col("callee").isin("send", "sendDelay", "sendAsync", "convertAndSend") & F.lower(simple_name(F.col("target"))).contains("rocket")
-    constants = src.select("file_path", F.explode(_all(F.col("text"), r'String\s+\w+\s*=\s*"[^"]*"')).alias("k")).select("file_path", F.regexp_extract("k", r"String\s+(\w+)", 1).alias("constant"), F.get(_strings(F.col("k")), F.lit(0)).alias("value"))
-    sends = c.where(F.coalesce(sender, F.lit(False))).join(m.select("signature", "file_path").distinct(), "signature").withColumn("constant", simple_name(F.col("argument"))).join(constants, ["file_path", "constant"], "left")
-    topic = F.coalesce(F.get(_strings(F.col("argument")), F.lit(0)), "value", "constant")
+    kind = F.lower(simple_name(F.col("target")))
+    inner = F.col("target").isNull() & (F.col("qualifier").isNull() | (F.col("qualifier") == "this")) & ~F.col("callee").isin(*LIBRARY)
+    sender = F.coalesce((F.col("callee") == "send") & kind.contains("kafka") | F.col("callee").isin("send", "sendDelay", "sendAsync", "convertAndSend") & kind.contains("rocket"), F.lit(False))
+    sent = c.where(sender).withColumn("constant", F.when(~F.col("literal"), simple_name(F.col("argument")))).join(constants, ["file_path", "constant"], "left")
+    topic = F.when(F.col("literal"), F.col("argument")).otherwise(F.coalesce("value", "constant"))
     kafka = F.lower("target").contains("kafka")
-    sends = sends.select("project", "signature", F.when(kafka, topic).otherwise(F.element_at(F.split(topic, ":"), 1)).alias("topic"), F.when(kafka, "kafka").otherwise("rocket").alias("mq_type")).distinct()
-    # only types that own an injected field are searched for calls
-    calls = c.where(F.col("target").isNotNull() & ~F.coalesce(sender, F.lit(False)) | inner).join(fields.select(F.col("class_fqn").alias("fqn")).distinct(), "fqn", "left_semi")
-    calls = calls.select("project", F.col("fqn").alias("caller_fqn"), F.col("signature").alias("caller"), F.coalesce("target", "fqn").alias("callee_fqn"), F.col("callee").alias("callee_name"), F.when(F.col("target").isNotNull(), F.col("qualifier")).alias("via_field"), F.coalesce("injection_type", F.lit("Internal")).alias("call_type")).distinct()
-
-    route = m.where(F.arrays_overlap("annotations", F.array(*map(F.lit, ROUTES))))
-    route = route.select("project", "signature", F.explode(_all(F.col("notes"), rf"@(?:{'|'.join(ROUTES)})(?:{_ARGS})?")).alias("a"))
-    paths = F.coalesce(F.nullif(_strings(F.coalesce(F.nullif(F.regexp_extract("a", r"(?:path|value)\s*=\s*(\{[^}]*\}|\"[^\"]*\")", 1), F.lit("")), F.regexp_replace("a", r"\w+\s*=\s*(?:\{[^}]*\}|\"[^\"]*\"|[\w.]+)", ""))), F.array().cast("array<string>")), F.array(F.lit("")))
-    endpoints = route.select("project", "signature", F.explode(paths).alias("path"), http_method(F.regexp_extract("a", r"@(\w+)", 1)).alias("http_method"))
-    endpoints = endpoints.select(F.concat("path", F.lit("#"), simple_name(F.col("signature"))).alias("id"), "project", "signature", "path", "http_method")
-    job = m.where(F.arrays_overlap("annotations", F.array(*map(F.lit, JOBS)))).withColumn("a", F.regexp_extract("notes", rf"@(?:{'|'.join(JOBS)})(?:{_ARGS})?", 0))
-    jobs = job.select("project", "fqn", "signature", F.concat_ws(".", "fqn", "name").alias("job_fqn"), F.when(F.col("a").contains("@Scheduled"), "scheduled").otherwise("listener").alias("job_type"), F.nullif(F.regexp_extract("a", r'\(\s*"([^"]*)"\s*\)', 1), F.lit("")).alias("cron_expr"))
-    listen = m.select("project", "file_path", "fqn", "signature", F.explode(_all(F.col("notes"), rf"@(?:KafkaListener|RocketMQMessageListener|RabbitListener){_ARGS}")).alias("a"))
-    listen = listen.withColumn("raw", F.regexp_extract("a", r'(?:topics?|queues?)\s*=\s*\{?\s*("[^"]*"|[\w.]+)', 1)).withColumn("constant", simple_name(F.col("raw"))).join(constants, ["file_path", "constant"], "left")
-    kind = F.when(F.col("a").contains("@Kafka"), "kafka").when(F.col("a").contains("@Rocket"), "rocket").otherwise("rabbit")
-    listeners = listen.select("project", "fqn", "signature", F.coalesce(F.get(_strings(F.col("raw")), F.lit(0)), "value", "constant").alias("topic"), kind.alias("mq_type"), F.nullif(F.regexp_extract("a", r'(?:groupId|consumerGroup)\s*=\s*"([^"]*)"', 1), F.lit("")).alias("group"))
-
-    is_job = F.arrays_overlap("annotations", F.array(F.lit("AriesCronJobListener"), F.lit("AriesJob")))
-    types = t.select("project", module(F.col("file_path"), F.col("project")).alias("module"), "fqn", F.when(F.col("is_mapper"), "MAPPER").when(is_job, "ARIES_JOB").when(F.col("is_interface"), "INTERFACE").otherwise("CLASS").alias("kind"), "name", "package", architecture_layer(F.col("name"), F.col("package"), F.col("annotations"), F.col("is_mapper"), F.col("is_dubbo_service"), F.col("implements")).alias("arch_layer"), visibility(F.col("modifiers")).alias("visibility"), "file_path", "is_dubbo_service", "is_mapper", F.transform("extends", lambda x: _full_name(x, F.col("package"), F.col("imports"))).alias("extends"), F.transform("implements", lambda x: _full_name(x, F.col("package"), F.col("imports"))).alias("implements"))
+    sent = sent.select("project", "signature", F.when(kafka, topic).otherwise(F.element_at(F.split(topic, ":"), 1)).alias("topic"), F.when(kafka, "kafka").otherwise("rocket").alias("mq_type")).where("topic IS NOT NULL").distinct()
+    calls = c.where(F.col("target").isNotNull() & ~sender | inner).join(fields.select(F.col("class_fqn").alias("fqn")).distinct(), "fqn", "left_semi")
+    known = F.col("target").isNotNull()
+    calls = calls.select("project", F.col("fqn").alias("caller_fqn"), F.col("signature").alias("caller"), F.coalesce("target", "fqn").alias("callee_fqn"), F.col("callee").alias("callee_name"), F.when(known, F.col("qualifier")).alias("via_field"), F.coalesce("injection_type", F.lit("Internal")).alias("call_type"))
+    return calls.distinct(), sent
+
+
+def _values(note: Column, *attributes: str) -> Column:
+    """The values (literal, value) of an annotation's attributes; "" is the one without a name."""
+    return F.filter(note["args"], lambda x: x["name"].isin(*attributes))
+
+
+def _marked(m: DataFrame, wanted: tuple[str, ...]) -> DataFrame:
+    """A row per annotation (a) of a method that is among the wanted."""
+    return m.withColumn("a", F.explode(F.filter("notes", lambda x: x["name"].isin(*wanted))))
+
+
+def _endpoints(m: DataFrame) -> DataFrame:
+    route = _marked(m, ROUTES).select("project", "signature", "a")
+    paths = F.transform(F.filter(_values(F.col("a"), "", "path", "value"), lambda x: x["literal"]), lambda x: x["value"])
+    route = route.select("project", "signature", F.explode(F.when(F.size(paths) > 0, paths).otherwise(F.array(F.lit("")))).alias("path"), http_method(F.col("a.name")).alias("http_method"))
+    return route.select(F.concat("path", F.lit("#"), simple_name(F.col("signature"))).alias("id"), "project", "signature", "path", "http_method")
+
+
+def _jobs(m: DataFrame) -> DataFrame:
+    """A method is a job by the first such annotation; a lone unnamed value is its expression."""
+    first = F.get(F.filter("notes", lambda x: x["name"].isin(*JOBS)), F.lit(0))
+    job = m.withColumn("a", first).where("a IS NOT NULL")
+    cron = F.when((F.size("a.args") == 1) & (F.col("a.args")[0]["name"] == "") & F.col("a.args")[0]["literal"], F.nullif(F.col("a.args")[0]["value"], F.lit("")))
+    return job.select("project", "fqn", "signature", F.concat_ws(".", "fqn", "name").alias("job_fqn"), F.when(F.col("a.name") == "Scheduled", "scheduled").otherwise("listener").alias("job_type"), cron.alias("cron_expr"))
+
+
+def _listeners(m: DataFrame, constants: DataFrame) -> DataFrame:
+    """A row per listening method and topic: a literal, a constant's value, or the constant's name. Listeners without a topic are none."""
+    a = _marked(m, LISTENERS).select("project", "file_path", "fqn", "signature", "a")
+    value = lambda *attributes: F.get(_values(F.col("a"), *attributes), F.lit(0))
+    a = a.select("*", F.explode(_values(F.col("a"), "topics", "topic", "queues", "queue", "")).alias("t"), value("groupId", "consumerGroup").alias("g"))
+    for name, x in (("topic", "t"), ("group", "g")):
+        told = constants.select("file_path", F.col("constant").alias(f"{x}_name"), F.col("value").alias(f"{x}_value"))
+        a = a.withColumn(f"{x}_name", F.when(~F.col(f"{x}.literal"), simple_name(F.col(f"{x}.value")))).join(told, ["file_path", f"{x}_name"], "left")
+        a = a.withColumn(name, F.when(F.col(f"{x}.literal"), F.col(f"{x}.value")).otherwise(F.coalesce(f"{x}_value", f"{x}_name")))
+    kind = F.when(F.col("a.name").startswith("Kafka"), "kafka").when(F.col("a.name").startswith("Rocket"), "rocket").otherwise("rabbit")
+    return a.select("project", "file_path", "fqn", "signature", "topic", kind.alias("mq_type"), F.nullif("group", F.lit("")).alias("group"))
+
+
+def extract(files: DataFrame) -> Facts:
+    """The facts of the Java files among `files` (path, content, project); tests and pruned folders are left out."""
+    src = written(parsed(files))  # one parse serves every table below
+    error = F.when(F.col("failed").isNotNull(), F.col("failed")).when(F.col("kinds") > 0, "no class or interface").otherwise("no type declaration")
+    plain = src.groupBy("project", "file_path").agg(F.max("failed").alias("failed"), F.count("name").alias("kinds"), F.max(F.coalesce(F.col("kind").isin("class", "interface", "record"), F.lit(False))).alias("any"))
+    errors = plain.where("NOT any").select("project", "file_path", error.alias("error"))
+    t = _declared(src)
+    m = _methods(t)
+    methods = m.select("project", F.col("fqn").alias("class_fqn"), "name", "signature", "return_type", "parameters", names("notes").alias("annotations"), visibility(F.col("modifiers")).alias("visibility"))
+    constants = src.select("file_path", F.explode("constants").alias("k")).groupBy("file_path", F.col("k.name").alias("constant")).agg(F.min("k.value").alias("value"))
+    fields = _fields(t)
+    calls, sends = _calls(m, fields, constants)
+    types = _types(t)
     tables = types.where("is_mapper").select("fqn", table_name(F.col("name")).alias("table_name"))
-    return Facts(types, methods, fields, calls, endpoints, jobs, listeners, sends, tables, errors)
+    return Facts(types, methods, fields, calls, _endpoints(m), _jobs(m), _listeners(m, constants), sends, tables, errors, t)
 
 
 def business_types(facts: Facts) -> DataFrame:

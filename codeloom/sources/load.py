@@ -14,9 +14,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import simple_name
+from ..operators.traverse import Levels
+from .durable import GraphStore
 from .graph import Graph
-from .java import Facts, business_types, call_edges
-from .store import bucketed, written
+from .java import INJECTING, Facts, business_types, call_edges, full_name, parsed
+from .store import bucketed, small, written
 
 #: Columns of edges that only some types have.
 _MORE = ("via_field", "call_type", "field_name", "group")
@@ -46,10 +48,11 @@ def _edge(df: DataFrame, src_label: str | Column, src: str, rel_type: str | Colu
     return df.select(of(src_label).alias("src_label"), F.col(src).alias("src"), of(rel_type).alias("rel_type"), of(dst_label).alias("dst_label"), F.col(dst).alias("dst"), *more)
 
 
-def load(facts: Facts, projects: DataFrame, packages: bool = False) -> Loaded:
+def load(facts: Facts, projects: DataFrame, packages: bool = False, rabbit_as_rocket: bool = True) -> Loaded:
     """The graph of facts; projects: name, path. With packages, CONTAINS edges also lead from a package to its types.
 
-    A type that two files declare is taken once (the smallest project and path). Facts without business types give empty tables."""
+    Consumers of Rabbit queues are written with the edge of Rocket, as the graph's readers expect, or with one of their own (MQ_RABBIT_CONSUMER). A topic has
+    the group of its first listener, in the order of project, file and method. A type that two files declare is taken once (the smallest project and path). Facts without business types give empty tables."""
     types = written(business_types(facts).groupBy("fqn").agg(F.min_by(F.struct(*[c for c in facts.types.columns if c != "fqn"], "has_injection"), F.struct("project", "file_path")).alias("x")).select("fqn", "x.*"))
     key = types.select(F.col("fqn").alias("class_fqn"), F.col("kind").alias("class_kind"))
     of_types = lambda df, c="class_fqn": df.join(key.withColumnRenamed("class_fqn", c), c)
@@ -71,7 +74,8 @@ def load(facts: Facts, projects: DataFrame, packages: bool = False) -> Loaded:
     jobs = facts.jobs.join(signatures, "signature", "left_semi")
     edges.append(_edge(jobs, "Method", "signature", "EXECUTES_JOB", "Job", "job_fqn"))
     listen = of_types(facts.listeners.withColumnRenamed("fqn", "class_fqn")).withColumn("key", F.concat_ws(":", "mq_type", "topic"))
-    kind = lambda role: F.concat(F.lit("MQ_"), F.when(F.col("mq_type") == "kafka", "KAFKA").otherwise("ROCKET"), F.lit(f"_{role}"))
+    own = F.when(F.col("mq_type") == "kafka", "KAFKA") if rabbit_as_rocket else F.when(F.col("mq_type").isin("kafka", "rabbit"), F.upper("mq_type"))
+    kind = lambda role: F.concat(F.lit("MQ_"), own.otherwise("ROCKET"), F.lit(f"_{role}"))
     edges.append(_edge(listen, F.col("class_kind"), "class_fqn", kind("CONSUMER"), "MQ_TOPIC", "key"))
     edges.append(_edge(listen.drop("group").join(signatures, "signature", "left_semi"), "MQ_TOPIC", "key", "MQ_CONSUMES_METHOD", "Method", "signature"))
     sends = facts.sends.join(signatures, "signature", "left_semi").withColumn("key", F.concat_ws(":", "mq_type", "topic"))
@@ -98,7 +102,8 @@ def load(facts: Facts, projects: DataFrame, packages: bool = False) -> Loaded:
     edges.append(_edge(up("implements").join(label, "up"), F.col("kind"), "fqn", "IMPLEMENTS", F.col("up_kind"), "up"))
     owner = label.select(F.col("up").alias("class_fqn"), F.col("up_kind").alias("class_kind"))
     edges.append(_edge(made.join(owner, "class_fqn"), F.col("class_kind"), "class_fqn", "DECLARES", "Method", "signature"))
-    topics = listen.select("topic", "mq_type", "group").union(sends.select("topic", "mq_type", F.lit(None).cast("string"))).groupBy(F.col("topic").alias("name"), "mq_type").agg(F.min("group").alias("group"))
+    heard = listen.groupBy(F.col("topic").alias("name"), "mq_type").agg(F.min_by("group", F.struct("project", "file_path", "signature")).alias("group"))
+    topics = heard.unionByName(sends.select(F.col("topic").alias("name"), "mq_type").distinct().join(heard, ["name", "mq_type"], "left_anti"), allowMissingColumns=True)
     edge = reduce(DataFrame.unionByName, edges).dropDuplicates(["src_label", "src", "rel_type", "dst_label", "dst"])
     return Loaded(
         projects,
@@ -113,6 +118,43 @@ def load(facts: Facts, projects: DataFrame, packages: bool = False) -> Loaded:
     )
 
 
+#: The tables of a loaded graph and the column each is dealt by, and further columns that are looked up.
+STORED = {"project": "name", "type": "fqn", "method": "signature", "field": "signature", "table": "name", "endpoint": "id", "job": "fqn", "topic": "name", "edge": "src"}
+LOOKED_UP = {"type": ("name", "file_path", "project"), "method": ("class_fqn", "name"), "field": ("class_fqn", "type_fqn"), "endpoint": ("path",), "job": ("class_fqn",), "edge": ("dst",)}
+
+
+def save(store: GraphStore, loaded: Loaded) -> int:
+    """Writes a loaded graph as the store's next version: all its tables, or none, are seen."""
+    return store.commit({name: (getattr(loaded, name), by) for name, by in STORED.items()}, LOOKED_UP)
+
+
+def stored(store: GraphStore) -> Loaded:
+    """The graph as of the store's version."""
+    return Loaded(*(store.read(name) for name in STORED))
+
+
+def save_project(store: GraphStore, loaded: Loaded) -> int:
+    """Adds a project's graph to what is stored: rows of keys that are there already are replaced, but a stub never replaces what was read from a
+    file. The edges of both stay, one of each. One version."""
+    if not store.version:
+        return save(store, loaded)
+    old, tables = stored(store), {}
+    for name, by in STORED.items():
+        have, new = getattr(old, name), getattr(loaded, name)
+        if name == "edge":
+            rows = have.unionByName(new).dropDuplicates(["src_label", "src", "rel_type", "dst_label", "dst"])
+        else:
+            key = [by, "kind"] if name == "type" else [by, "mq_type"] if name == "topic" else [by]
+            if name in ("type", "method"):  # stubs have no file, and no return type
+                told = "file_path" if name == "type" else "return_type"
+                new = new.join(have.where(F.col(told).isNotNull()).select(by), by, "left_anti").unionByName(new.where(F.col(told).isNotNull())).dropDuplicates(key)
+                if name == "type":
+                    have = have.join(new.where(F.col(told).isNotNull()).select(by), by, "left_anti")
+            rows = have.join(new.select(key), key, "left_anti").unionByName(new)
+        tables[name] = (rows.select(have.columns), by)
+    return store.commit(tables, LOOKED_UP)
+
+
 def as_graph(loaded: Loaded) -> Graph:
     """The loaded tables in the shape that the query plans take; ids are 64-bit hashes of names, signatures and project names."""
     of = lambda c: F.xxhash64(c)
@@ -159,6 +201,54 @@ def requested(files: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame
     return files.join(has.select("project", "path").distinct(), ["project", "path"], "left_semi"), wanted.select("fqn").distinct().join(has, "fqn", "left_anti")
 
 
+def definitions(files: DataFrame) -> DataFrame:
+    """(fqn, project, path): the file that defines each class, by a quick look at its text; of several the first."""
+    package = F.regexp_extract("content", r"(?m)^\s*package\s+([\w.]+)\s*;", 1)
+    name = F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"\b(?:class|interface|enum|record)\s+(\w+)"), F.lit(1))))
+    rows = files.select("project", "path", package.alias("package"), name.alias("name"))
+    rows = rows.withColumn("fqn", F.when(F.col("package") == "", F.col("name")).otherwise(F.concat_ws(".", "package", "name")))
+    return rows.groupBy("fqn").agg(F.min(F.struct("project", "path")).alias("x")).select("fqn", "x.*")
+
+
+def references(declared: DataFrame) -> DataFrame:
+    """(project, path, fqn): the parents, interfaces and types of injected fields that each file names; declared: rows of `java.parsed`."""
+    injecting = F.filter("fields", lambda f: F.exists(f["annotations"], lambda a: a["name"].isin(*INJECTING)))
+    bare = F.explode(F.array_distinct(F.concat("extends", "implements", F.transform(injecting, lambda f: f["type"]))))
+    rows = declared.where("kind IN ('class', 'interface', 'record')").select("project", F.col("file_path").alias("path"), "package", "imported", "whole", bare.alias("bare"))
+    return rows.select("project", "path", full_name(F.col("bare"), F.col("package"), F.col("imported"), F.col("whole")).alias("fqn")).distinct()
+
+
+def scan_closure(files: DataFrame, roots: DataFrame, scanned: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+    """(fqn, depth, project, path): every class that a scan from the roots (fqn) asks for, in the round in which it does, with the file that defines it (null:
+    none does). A scan reads a class's file, and asks for what the file names, until nothing new is asked for.
+
+    scanned (fqn): the memo of former scans, whose classes are not asked for again; the result's names, added to it, are the
+    next memo. Files are searched for definitions once, and each is parsed once, in the round that first needs it; a round holds new names only."""
+    where = written(definitions(files))
+    first = roots.select("fqn").distinct()
+    if scanned is not None:
+        first = first.join(scanned.select("fqn"), "fqn", "left_anti")
+    asked, read_ = Levels(first), None
+    frontier = asked.add(first, 0)
+    for depth in range(1, rounds + 1):
+        need = where.join(small(frontier), "fqn", "left_semi").select("project", "path").distinct()
+        if read_ is None:
+            read_ = Levels(need)
+            need = read_.add(need, depth)
+        else:
+            need = read_.add(need.join(read_.all().select("project", "path"), ["project", "path"], "left_anti"), depth)
+        if not read_.last:
+            break
+        named = references(parsed(files.join(small(need), ["project", "path"], "left_semi"))).select("fqn").distinct()
+        named = named.join(asked.all().select("fqn"), "fqn", "left_anti")
+        if scanned is not None:
+            named = named.join(scanned.select("fqn"), "fqn", "left_anti")
+        frontier = asked.add(named, depth)
+        if not asked.last:
+            break
+    return asked.all().join(where, "fqn", "left").select("fqn", "depth", "project", "path")
+
+
 def pending(facts_types: DataFrame, known: DataFrame) -> DataFrame:
     """Full names that types refer to (parents and interfaces) and that are neither among them nor in known (fqn): what a scan has still to read."""
     refs = facts_types.select(F.explode(F.concat("extends", "implements")).alias("fqn")).distinct()
