@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 import atexit
-import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.store import ship as ship_library
+
 #: Bytes of a table (see `sized`) that may be broadcast; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
@@ -25,24 +24,12 @@ ARROW_BYTES = "8m"
 _roots: dict[str, str] = {}
 
 
-_shipped: set[str] = set()
-
-
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package (once per application), wherever the driver has it from, and keeps Arrow batches small."""
-    sc = spark.sparkContext
+    """Gives the executors this library, wherever the driver has it from, and keeps Arrow batches small."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if spark.conf.get(key, None) in ("67108864b", "64MB"):  # Spark's own value
         spark.conf.set(key, ARROW_BYTES)
-    if sc.applicationId in _shipped:
-        return
-    top = Path(__file__).resolve().parents[1]
-    name = os.path.join(tempfile.mkdtemp(prefix="spark-"), f"{top.name}.zip")
-    with zipfile.ZipFile(name, "w") as z:
-        for p in [top / "__init__.py", *sorted(Path(__file__).resolve().parent.glob("*.py"))]:
-            z.write(p, p.relative_to(top.parent))
-    sc.addPyFile(name)
-    _shipped.add(sc.applicationId)
+    ship_library(spark)
 
 
 def shared_dir(spark: SparkSession) -> str:

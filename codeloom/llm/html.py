@@ -6,7 +6,7 @@ and comments, but not an element that holds the article or much of the page's te
 halved, to its grandparent and so on (discounted at each level). A container's score is its points
 times (1 - the share of its text inside links), with a bonus or malus for its tag and names. The
 best container is kept with those of its siblings that score well or read like prose; inside them
-menus, adverts, notices, comments, forms and lists of short links (outside an article element) are left out. Blocks: runs of text between
+menus, adverts, notices, comments, forms and lists of short links before any prose are left out. Blocks: runs of text between
 block-level tags; character references are decoded, white space becomes one space.
 
 A page is read once from front to end: open elements are found by tag in constant time, so unbalanced
@@ -29,10 +29,10 @@ from .common import read
 
 #: Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HARD = frozenset("script style noscript template iframe object svg math title select textarea canvas audio video".split())
+HARD = frozenset("script style noscript template iframe object title desc metadata annotation annotation-xml select textarea canvas audio video".split())
 SOFT = frozenset("form button fieldset label dialog".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup time tt u var wbr math semantics mi mn mo ms mtext mspace mrow mfrac msqrt mroot msup msub msubsup mover munder munderover mstyle mpadded svg g text tspan".split())
 BOILER = frozenset("nav header footer aside menu".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: An opening tag on the left ends an open element on the right, up to the nearest of the third.
@@ -43,10 +43,12 @@ CELLS = frozenset("table td th".split())
 LIMITS = frozenset("table td th article body".split())
 PARAGRAPH = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-_FURNITURE = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|nav\w*|menu|breadcrumbs?|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|tags?|comments?|comment-?list|disqus|respond|replies|footer|foot|header|masthead|copyright|legal|login|search)"
-FURNITURE = re.compile(rf"(?:^|[-_]){_FURNITURE}(?:$|[-_\\d])", re.I)
-WHOLE = re.compile(rf"{_FURNITURE}[-_\\d]*", re.I)
-COMMENTS = re.compile(r"(?:^|[-_])(?:comments?|disqus|respond|replies)(?:$|[-_\\d])", re.I)
+_FURNITURE = r"(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|alert|popup|modal|newsletter|subscribe|signup|nav(?:bar|igation|links?|menu)?|menu|breadcrumbs?|sidebar|side-?bar|widget|related|recommend\w*|share|sharing|social|toolbar|pagination|pager|tags?|comments?|comment-?list|disqus|respond|replies|footer|foot|header|masthead|copyright|legal|login|search)"
+FURNITURE = re.compile(rf"(?:^|[-_]){_FURNITURE}(?:$|[-_\d])", re.I)
+WHOLE = re.compile(rf"{_FURNITURE}[-_\d]*", re.I)
+COMMENTS = re.compile(r"(?:^|[-_])(?:comments?|disqus|respond|replies)(?:$|[-_\d])", re.I)
+#: Characters of a block from which on it is prose.
+PROSE = 80
 #: A class word that begins so tells of a page's layout or subject, not of the element's role.
 STATE = re.compile(r"(?:has|with|without|no|not|is|tag)[-_]", re.I)
 CONTENT = re.compile(r"(?:^|[-_\s])(?:article|content|post|entry|main|body|story|text|page)(?:$|[-_\s\d])", re.I)
@@ -60,11 +62,11 @@ _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("children", "core", "drop", "in_article", "link_len", "links", "names", "outer", "parent", "points", "size", "skip", "tag", "text_len")
+    __slots__ = ("children", "core", "drop", "in_article", "link_len", "links", "menus", "names", "outer", "parent", "points", "size", "skip", "tag", "text_len", "titled")
 
     def __init__(self, tag: str, names: str, parent: Node | None) -> None:
         self.tag, self.names, self.parent, self.children, self.points, self.text_len, self.link_len, self.links = tag, names, parent, [], 0.0, 0, 0, 0
-        self.skip, self.drop, self.core, self.size = "hard" if tag in HARD else "soft" if tag in SOFT else "", "", False, 0
+        self.skip, self.drop, self.core, self.size, self.titled, self.menus = "hard" if tag in HARD else "soft" if tag in SOFT else "", "", False, 0, False, False
         self.in_article = parent is not None and (parent.in_article or parent.tag == "article")
         #: the nearest element above that is a container
         self.outer = parent if parent is None or parent.tag not in INLINE and parent.tag != "p" else parent.outer
@@ -214,9 +216,22 @@ def parse(html: str) -> Node:
     return o.root
 
 
+def _own_header(x: Node, total: int) -> bool:
+    """Whether a header is an article's, by what it holds and where it stands: in an article element; or with an h1, without menus, and either beside
+    paragraphs or in a part of the page that holds most of its text and no other furniture."""
+    if x.in_article:
+        return True
+    if not x.titled or x.menus or x.parent is None:
+        return False
+    beside = [c for c in x.parent.children if isinstance(c, Node) and c is not x]
+    if sum(c.size for c in beside if c.tag == "p") > 80:
+        return True
+    return x.parent.tag not in ("body", "html", "#root") and x.parent.size >= 0.5 * total and not any(c.tag in BOILER for c in beside)
+
+
 def _furniture(x: Node, total: int) -> bool:
-    if x.tag == "header":  # an article's own one belongs to it
-        return not x.in_article
+    if x.tag == "header":
+        return not _own_header(x, total)
     if x.tag in BOILER:
         return True
     if not x.names or x.tag in ("body", "html", "article", "main"):
@@ -232,12 +247,13 @@ def _furniture(x: Node, total: int) -> bool:
 def _judge(root: Node, by_name: bool) -> int:
     """Sets drop ("skip", "furniture" or "") of every element; returns the length of the page's text.
 
-    size: text in an element, what is never read left out; core: it holds an article, main or h1."""
+    size: text in an element, what is never read left out; core: it holds an article, main or h1; titled: an h1; menus: a nav, menu or list."""
     order, stack = [], [root]
     while stack:
         x = stack.pop()
         order.append(x)
         x.core = x.tag in ("main", "h1") or x.tag == "article" and not any(COMMENTS.search(w) for w in _CAMEL.sub("-", x.names).split())
+        x.titled, x.menus = x.tag == "h1", x.tag in ("nav", "menu", "ul", "ol", "form")
         x.size = sum(len(c.strip()) for c in x.children if isinstance(c, str))
         stack.extend(c for c in x.children if isinstance(c, Node) and c.skip != "hard")
         for c in x.children:
@@ -247,6 +263,8 @@ def _judge(root: Node, by_name: bool) -> int:
         if x.parent is not None:
             x.parent.size += x.size
             x.parent.core |= x.core
+            x.parent.titled |= x.titled
+            x.parent.menus |= x.menus
     total = root.size
     for x in order:
         x.drop = ""
@@ -302,19 +320,22 @@ def _score(x: Node) -> float:
 
 
 def _menu(x: Node) -> bool:
-    """Whether an element is a list of short links. Lists in an article element, and those of long links, are the article's (its sources)."""
+    """Whether an element is a list of short links; that is a menu if no prose stands before it (else it is the article's: its sources)."""
     if x.in_article or x.tag not in ("ul", "ol", "div", "table") or not x.text_len or x.link_len <= 0.6 * x.text_len:
         return False
     return x.link_len < 25 * max(x.links, 1)
 
 
-def _blocks(x: Node) -> list[str]:
+def _blocks(x: Node, prose: bool = False) -> list[str]:
+    """The blocks of an element; prose: whether some stands before it already."""
     out, cur = [], []
 
     def flush() -> None:
+        nonlocal prose
         t = _SPACE.sub(" ", unescape("".join(cur))).strip()
         if t:
             out.append(t)
+            prose = prose or len(t) >= PROSE
         cur.clear()
 
     stack: list = [x]
@@ -328,7 +349,7 @@ def _blocks(x: Node) -> list[str]:
             cur.append(" ")
         elif c.drop == "skip":
             continue
-        elif c is not x and (c.drop or _menu(c)):
+        elif c is not x and (c.drop or not prose and _menu(c)):
             if c.tag not in INLINE:
                 flush()
         else:
@@ -377,10 +398,15 @@ def _main(root: Node) -> str:
                     keep.append(s)
             elif isinstance(s, Node) and not s.drop:
                 links = s.link_len / s.text_len if s.text_len else 0
-                prose = s.tag in PARAGRAPH and (s.tag in HEADING or s.text_len > 80 and links < 0.25 or 0 < s.text_len and links == 0)
+                prose = s.tag == "header" or s.tag in PARAGRAPH and (s.tag in HEADING or s.text_len > 80 and links < 0.25 or 0 < s.text_len and links == 0)
                 if _score(s) > max(2.0, top * 0.2) or prose and links < 0.5:
                     keep.append(s)
-    return "\n\n".join(t for x in keep for t in _blocks(x))
+    out: list[str] = []
+    prose = False
+    for x in keep:
+        out += (more := _blocks(x, prose))
+        prose = prose or any(len(t) >= PROSE for t in more)
+    return "\n\n".join(out)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -52,6 +52,8 @@ HOT = 128
 #: Sets of one signature that are paired by a join; larger groups are compared inside tasks, in pairs of blocks.
 FEW = 64
 BLOCK = 512
+#: Signatures whose members are told apart at once: 4 bytes for each of them and each of two blocks' members.
+COLUMNS = 2048
 #: Elements per range of the counts that larger groups are compared by.
 FINE = 2
 #: Candidates verified by one task's copy of a hub.
@@ -222,9 +224,16 @@ def _within(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
     at = np.repeat(np.arange(len(doc)), [len(x) for x in lists])
     flat = np.concatenate(lists)
     at, flat = at[flat < sig], flat[flat < sig]
-    before, place = np.unique(flat, return_inverse=True)
-    has = np.zeros((len(doc), len(before)), dtype=np.float32)
-    has[at, place] = 1
+    _, place, held = np.unique(flat, return_inverse=True, return_counts=True)
+    order = np.argsort(place[held[place] > 1], kind="stable")  # those of one member tell nothing
+    at, place = at[held[place] > 1][order], place[held[place] > 1][order]
+    shared = np.zeros((len(doc), len(doc)), dtype=bool)
+    cut = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.empty(0, dtype=np.int64)
+    for k in range(0, len(cut), COLUMNS):  # so many signatures at once
+        a, b = cut[k], cut[k + COLUMNS] if k + COLUMNS < len(cut) else len(place)
+        has = np.zeros((len(doc), min(COLUMNS, len(cut) - k)), dtype=np.float32)
+        has[at[a:b], np.unique(place[a:b], return_inverse=True)[1]] = 1
+        shared |= (has @ has.T) > 0
     vec = [np.frombuffer(x, dtype=np.uint8) for x in df["counts"]]
     full = np.array([x.max() == 255 for x in vec])  # more are not told
     width = np.array([len(x) for x in vec])
@@ -237,7 +246,7 @@ def _within(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
     left, right = [], []
     for a in range(0, len(doc), 64):
         q = slice(a, a + 64)
-        ok = (has[q] @ has.T) == 0
+        ok = ~shared[q]
         ok &= comp[q, None] != comp[None, :]
         ok &= DEN * np.minimum(size[q, None], size[None, :]) >= NUM * np.maximum(size[q, None], size[None, :])
         ok &= doc[q, None] < doc[None, :]  # every pair, once
@@ -333,18 +342,46 @@ def pruned(member: DataFrame) -> DataFrame:
     return written(kept.join(group.select("sig", "m", F.col("h.doc").alias("hub"), F.col("h.size").alias("hub_size")), "sig"))
 
 
+def noted(docs: DataFrame) -> DataFrame:
+    """Per row of docs with a doc_id: doc_id, a hash of its text (x, y, z), and whether it has a word."""
+    text = F.coalesce("text", F.lit(""))
+    return written(docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64(text).alias("x"), F.hash(text).alias("y"), F.length(text).alias("z"), text.rlike("[^\\x20\\x09-\\x0D]").alias("worded")))
+
+
+def nodes(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(docs, ids, pairs): both with a node for each text of a document, and the pairs (a, b) of nodes that are one document, if there are any.
+
+    The node of a document is its id. Where rows of an id have different texts, all but the first text (by hash) take numbers above all ids."""
+    parts = ("x", "y", "z")
+    ends = [f(c).alias(f"{n}{c}") for n, f in (("low", F.min), ("high", F.max)) for c in parts]
+    several = written(ids.groupBy("doc_id").agg(*ends).where(" OR ".join(f"low{c} <> high{c}" for c in parts)).select("doc_id"))
+    if several.isEmpty():
+        return docs.withColumn("node", F.col("doc_id")), ids.withColumn("node", F.col("doc_id")), None
+    each = ids.join(sized(several), "doc_id", "left_semi").select("doc_id", *parts).distinct()
+    first = each.groupBy("doc_id").agg(F.min(F.struct(*parts)).alias("first"))
+    more = written(each.join(first, "doc_id").where(F.struct(*parts) != F.col("first")).select("doc_id", *parts))
+    above = ids.agg(F.max("doc_id")).first()[0] + 1
+    more = written(more.withColumn("own", F.lit(above) + F.monotonically_increasing_id()))
+    text = F.coalesce("text", F.lit(""))
+    docs = docs.withColumns({"x": F.xxhash64(text), "y": F.hash(text), "z": F.length(text)})
+    tell = lambda df: df.join(sized(more), ["doc_id", *parts], "left").withColumn("node", F.coalesce("own", "doc_id")).drop("own")
+    return tell(docs).drop(*parts), written(tell(ids)), more.select(F.col("doc_id").alias("a"), F.col("own").alias("b"))
+
+
 def join(docs: DataFrame) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
     docs: doc_id (bigint), text; other columns are ignored. A null or wordless text has an empty set and
     links with nothing. A null doc_id is not a document: it gets null results. Rows that repeat a
-    doc_id are one document, linked as any of its rows; no docs give no row. A text of any length is taken whole, its set being a
+    doc_id are one document, linked as any of its rows, each with its own n_shingles; no docs give no row. A text of any length is taken whole, its set being a
     task's largest piece of work (8 bytes a shingle); pairs at exactly the threshold link."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ids = written(docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("x"), F.hash("text").alias("y"), F.length("text").alias("z")))
-    same = ids.groupBy("x", "y", "z").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
-    copies = written(ids.join(sized(written(same)), ["x", "y", "z"]).where("doc_id <> rep").select("doc_id", "rep").distinct())
-    texts = docs.where("doc_id IS NOT NULL").join(sized(copies.select("doc_id")), "doc_id", "left_anti")
+    owners = docs
+    docs, ids, one = nodes(docs, noted(docs))
+    docs = docs.where("doc_id IS NOT NULL").select(F.col("node").alias("doc_id"), "text")
+    same = ids.where("worded").groupBy("x", "y", "z").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = written(ids.where("worded").join(sized(written(same)), ["x", "y", "z"]).where("node <> rep").select(F.col("node").alias("doc_id"), "rep").distinct())
+    texts = docs.join(sized(copies.select("doc_id")), "doc_id", "left_anti")
 
     signed = texts.mapInArrow(_sign, "sig bigint, doc bigint, aux bigint")
     place = F.when(F.col("aux").bitwiseAND(DEALT) != 0, F.xxhash64("sig", "doc")).otherwise(F.col("sig"))
@@ -401,10 +438,19 @@ def join(docs: DataFrame) -> DataFrame:
         links = links.union(rest)
         of = components(links)
 
-    out = docs.select("doc_id").join(sized(copies.withColumnRenamed("doc_id", "_d")), F.col("doc_id") == F.col("_d"), "left").select("doc_id", F.coalesce("rep", "doc_id").alias("node"))
-    out = with_component(out, "node", "component_id")
+    rows = ids.select("doc_id", "node").join(sized(copies.withColumnRenamed("doc_id", "_d")), F.col("node") == F.col("_d"), "left").select("doc_id", F.coalesce("rep", "node").alias("node"))
+    if one is not None:  # the texts of one document are linked, by those that stand for them
+        stands = copies.select(F.col("doc_id").alias("b"), F.col("rep").alias("_b"))
+        firsts = copies.select(F.col("doc_id").alias("a"), F.col("rep").alias("_a"))
+        tied = one.join(sized(stands), "b", "left").join(sized(firsts), "a", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+        of = components(links.union(tied))
+        own = with_component(rows, "node", "c").groupBy("c").agg(F.min("doc_id").alias("component_id"))
+        out = with_component(rows, "node", "c").join(sized(written(own)), "c")
+    else:
+        out = with_component(rows, "node", "component_id")
     out = out.join(sized(sizes.withColumnRenamed("doc", "_d")), F.col("node") == F.col("_d"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    none = F.lit(None).cast("bigint")
+    return out.select("doc_id", "n_shingles", "component_id").union(owners.where("doc_id IS NULL").select("doc_id", none, none))
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

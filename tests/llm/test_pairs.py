@@ -87,6 +87,30 @@ def test_every_linked_pair_of_sets_shares_enough_signatures():
         assert any(len(x[k][0] & y[k][0]) >= max(x[k][1], y[k][1], 0) + 1 for k in x.keys() & y.keys())
 
 
+def test_jaccard_of_documents_with_several_texts(docs_of):
+    """A document is linked as any of its rows, also where one of them is a copy, or two are like one other document's."""
+    r = random.Random(8)
+    word = lambda: f"w{r.randrange(5000)}"
+    a, b, c, d = ([word() for _ in range(40)] for _ in range(4))
+    text = " ".join
+    rows = [(1, text(a)), (2, text(a)), (2, text(b)), (3, text([*b, "more"])), (11, text(c)), (11, text(d)), (12, text([*c, "more"])), (13, text([*d, "more"])), (20, ""), (20, text(a[:20] + d[:20])), (21, "")]
+    got = {x.doc_id: x.component_id for x in jaccard.join(docs_of(rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 11: 11, 12: 11, 13: 11, 20: 20, 21: 21}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_of_repeated_ids_matches_brute_force(docs_of, seed):
+    r = random.Random(seed)
+    texts = [t for _, t in corpus(seed, 12)]
+    rows = [(r.randrange(len(texts) // 2), t) for t in texts] + [(r.randrange(len(texts)), r.choice(texts)) for _ in range(20)] + [(None, texts[0])]
+    sets = [(i, shingles(t)) for i, t in rows if i is not None]
+    links = [(i, j) for k, (i, x) in enumerate(sets) for j, y in sets[:k] if x and y and 100 * len(x & y) >= 75 * len(x | y)]
+    want = roots({i for i, _ in sets}, links)
+    got = jaccard.join(docs_of(rows)).collect()
+    assert sorted((x.doc_id, x.n_shingles, x.component_id) for x in got if x.doc_id is not None) == sorted((i, len(s), want[i]) for i, s in sets)
+    assert [tuple(x) for x in got if x.doc_id is None] == [(None, None, None)]
+
+
 def test_jaccard_without_rows(docs_of):
     assert jaccard.join(docs_of([]).limit(0)).collect() == []
 

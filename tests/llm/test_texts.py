@@ -276,6 +276,44 @@ def test_sources_stay_with_the_article():
     assert html.main_text(f"<body><div>{STORY}<ul>{long}</ul></div>{ASIDE}</body>").count("A source") == 5
 
 
+@pytest.mark.parametrize("name", ["sidebar1", "widget2", "banner3", "comment12", "ad-2", "share_bar", "nav1", "related-4"])
+def test_names_with_numbers_are_furniture(name):
+    assert html.main_text(f'<body><div class="post">{STORY}<div class="{name}"><p>Other things, to read, of another kind.</p></div></div></body>').split("\n\n") == re.findall("<p>(.*?)</p>", STORY)
+
+
+@pytest.mark.parametrize("name", ["shared-quote", "adapted", "navigator", "headers", "menus-of-the-day", "tagged"])
+def test_names_that_only_begin_so_are_not(name):
+    page = f'<body><article>{STORY}<p class="{name}">A paragraph of the article, with a name of its own.</p></article></body>'
+    assert html.main_text(page).endswith("with a name of its own.")
+
+
+def test_formulas_and_drawings_are_text():
+    page = f"<body><article>{STORY}<p>Let <math><semantics><mrow><mi>x</mi><mo>=</mo><msup><mn>2</mn><mi>n</mi></msup></mrow><annotation>x=2^n</annotation></semantics></math> be, see <svg><title>icon</title><text>Fig. 1</text></svg>.</p></article></body>"
+    assert html.main_text(page).endswith("Let x=2n be, see Fig. 1.")
+
+
+def test_sources_outside_an_article_element():
+    links = "".join(f"<li><a href=x{i}>Source {i}</a></li>" for i in range(5))
+    menu = "".join(f"<li><a href=m{i}>Part {i}</a></li>" for i in range(5))
+    page = f"<body><nav>menu</nav><div class=post><ul>{menu}</ul><h1>Title</h1>{STORY}<h2>Sources</h2><ul>{links}</ul></div>{ASIDE}</body>"
+    assert html.main_text(page).split("\n\n") == ["Title", *re.findall("<p>(.*?)</p>", STORY), "Sources", *(f"Source {i}" for i in range(5))]
+
+
+HEAD = "<header><h1>The title</h1><p>The standfirst.</p></header>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><header><h1>Site</h1><nav>menu</nav></header><div class=post>{HEAD}{STORY}</div><footer>(c)</footer></body>",
+        f"<body><div id=site><header><a href=x>Site</a></header><div class=post>{HEAD}<div class=text>{STORY}</div></div><footer>(c)</footer></div></body>",
+        f"<body><header class=site-header><h1>Site</h1></header><article>{HEAD}{STORY}</article><footer>(c)</footer></body>",
+    ],
+)
+def test_an_articles_header_stays_and_the_sites_goes(page):
+    assert html.main_text(page).split("\n\n") == ["The title", "The standfirst.", *re.findall("<p>(.*?)</p>", STORY)]
+
+
 HARD_PAGES = {
     "quotes": "<a href=\"x'" * 80000, "open tags": "<a " * 300000, "unmatched": "<div>" * 80000 + "</p>" * 80000, "cells": "<b><table><tr><td>" + "<div>" * 50000 + "</b>" * 50000,
     "items": "<div>" * 50000 + "<li>x" * 50000, "inline": "<b>" * 50000 + "<div></div>" * 50000, "points": "<b>" * 30000 + "<p>paragraph, with words, and commas</p>" * 20000,
