@@ -8,12 +8,14 @@ Kinds (leftmost matches that do not overlap, per kind; failing matches are dropp
 - hex: [0-9a-f]+ of 24 or more characters;
 - random: added by the tests, outside the spans above; digits alone are numbers, not keys.
 
-Tests: a candidate is a run of [A-Za-z0-9+/_=-] of MIN_RANDOM or more characters, but for ordinary tokens (`ordinary`: words,
-and compounds of words and numbers whose parts are long) and digits alone (24 or more are of kind hex, fewer are a number). Its encoding
+Tests: a candidate is a run of [A-Za-z0-9+/_=-] of MIN_RANDOM or more characters, but for tokens that are ordinary (`ordinary`: words,
+and compounds of words and numbers whose parts are long) and whose letters follow each other as in words, and for digits alone (24 or more are of kind hex; fewer
+are a number, and random numbers cannot be told from ordinary ones, as both are uniform). Its encoding
 (base26, hex, base32, base36, base52, base62 or base64) is inferred from its characters. Under
-uniform random text of that encoding five z values are near 0: chi-squared of the characters' counts,
+uniform random text of that encoding six z values are near 0: chi-squared of the characters' counts,
 chi-squared of the counts of the classes (digits, lower, upper, other; of base26 vowels and consonants), the number of changes of class, the
-number of runs of values above and below the middle, and the lag-one serial correlation. The score is the
+number of runs of values above and below the middle, the lag-one serial correlation, and the transitions between letters, as the log-likelihood
+ratio of each to what follows it in the corpus's short words (a table of 26 x 26 counts over all documents) and in uniform text. The score is the
 largest departure.
 
 Candidates belong to families: letters of one case, no upper case, no lower case, mixed. The ordinary tokens without digits, of MIN_NULL characters or more, of the whole corpus are the
@@ -22,10 +24,10 @@ token looks as random as a candidate. Other length classes speak too, their scor
 by the root of the length (as departures grow), the less the more ordinary tokens a class has of its own. Within each family and
 length class the Benjamini-Hochberg step-up rule over all candidates of the corpus picks the threshold, so
 that about ALPHA of what is reported there is ordinary. Both counts are taken over all documents, as a table
-of bounded size (families x length classes x score bins). The chance is never taken below one in the number
-of ordinary tokens: a corpus with fewer than 1 / ALPHA of them reports no random token.
+of bounded size (families x length classes x score bins). PRIOR further ordinary tokens, of scores spread over those that are far from random, belong to
+every null, so that a small corpus, or one file, is judged too. The chance is never taken below one in the number of ordinary tokens.
 
-Cost: one pass over the texts in Arrow batches gives a row per document with a span or a candidate;
+Cost: one pass over the texts counts transitions, and another one in Arrow batches gives a row per document with a span or a candidate;
 that table is small and is written once. No text is shuffled.
 """
 
@@ -37,6 +39,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,6 +56,14 @@ MIN_NULL = 12
 REMEMBER = 100_000
 #: Scores above this many standard deviations share a bin; bins are this wide.
 BIN, BINS = 0.25, 64
+#: Ordinary tokens that are taken for granted in every family and length class; their scores lie evenly in the bins from FAR on.
+PRIOR, FAR = 200, 16
+#: Letters follow each other as in words from so many standard deviations on.
+WORDLIKE = 3.0
+#: So much is taken off the departure of transitions, whose law has a longer tail towards words than the other tests'.
+SKEW = 1.0
+#: Runs of letters up to this length tell what follows what.
+SHORT = 15
 #: With so many ordinary tokens of its own, a length class gives those of the others half their weight.
 ENOUGH = 1000
 
@@ -139,9 +150,37 @@ def _encoding(b: np.ndarray, letters: bool) -> int:
     return -1
 
 
-def departures(b: np.ndarray, encoding: int) -> np.ndarray:
+_LETTER = np.full(256, -1, dtype=np.int64)
+for _chars in (_LOWER, _UPPER):
+    _LETTER[list(_chars.encode())] = np.arange(26)
+
+
+def transitions(counts: np.ndarray) -> np.ndarray:
+    """Of 26 x 26 counts of letters that follow each other: the log-likelihood ratio of each pair, to uniform text, one added to every count."""
+    p = (counts + 1) / (counts.sum(axis=1, keepdims=True) + 26)
+    return np.log(p * 26)
+
+
+def wordlike(b: np.ndarray, pairs: np.ndarray | None, chars: str = _LOWER) -> np.ndarray:
+    """For tokens of equal length, how far their letters' transitions are from uniform ones (of the letters among chars) towards those of
+    words, in standard deviations; 0 for fewer than 4 transitions."""
+    own = np.unique(_LETTER[list(chars.encode())])
+    own = own[own >= 0]
+    if pairs is None or b.shape[1] < 2 or len(own) < 2:
+        return np.zeros(len(b))
+    among = pairs[np.ix_(own, own)]
+    if among.std() < 1e-6:
+        return np.zeros(len(b))
+    c = _LETTER[b]
+    ok = (c[:, 1:] >= 0) & (c[:, :-1] >= 0)
+    n = ok.sum(axis=1)
+    total = np.where(ok, pairs[c[:, :-1], c[:, 1:]], 0.0).sum(axis=1)
+    return np.where(n >= 4, (total - n * among.mean()) / (among.std() * np.sqrt(np.maximum(n, 1))), 0.0)
+
+
+def departures(b: np.ndarray, encoding: int, pairs: np.ndarray | None = None) -> np.ndarray:
     """For tokens of equal length (a row of bytes each), the largest departure, in standard deviations, from uniform random text of the
-    encoding. Shorter than 2 characters, or of one character only: far from random."""
+    encoding; pairs: see transitions. Shorter than 2 characters, or of one character only: far from random."""
     k, share, n = len(ENCODINGS[encoding][1]), _SHARE[encoding], b.shape[1]
     if n < 2:
         return np.full(len(b), BIN * BINS)
@@ -157,7 +196,7 @@ def departures(b: np.ndarray, encoding: int) -> np.ndarray:
     z_runs = (runs - expected) / np.maximum(np.sqrt(np.maximum((expected - 1) * (expected - 2) / (n - 1), 0)), 0.5)
     c = v - v.mean(axis=1, keepdims=True)
     z_serial = (c[:, 1:] * c[:, :-1]).sum(axis=1) / np.maximum((c * c).sum(axis=1), 1e-9) * np.sqrt(n) + 1 / np.sqrt(n)
-    worst = np.maximum(np.maximum(np.abs(z_chi), np.abs(z_runs)), np.abs(z_serial))
+    worst = np.maximum(np.maximum(np.abs(z_chi), np.abs(z_runs)), np.maximum(np.abs(z_serial), wordlike(b, pairs, ENCODINGS[encoding][1]) - SKEW))
     some = share > 0
     if some.sum() > 1:
         cls = _CLASSES[encoding][b]
@@ -173,12 +212,12 @@ def departures(b: np.ndarray, encoding: int) -> np.ndarray:
     return np.where((v == v[:, :1]).all(axis=1), BIN * BINS, worst)
 
 
-def randomness(token: bytes, letters: bool = True) -> tuple[str, float]:
+def randomness(token: bytes, letters: bool = True, pairs: np.ndarray | None = None) -> tuple[str, float]:
     """The encoding of a token and its departure from it; padding (=) at the end is left out. Without `letters`,
     letters of one case are held against the encodings with digits."""
     b = np.frombuffer(token.rstrip(b"="), dtype=np.uint8)
     i = _encoding(b, letters)
-    return ("mixed", BIN * BINS) if i < 0 else (ENCODINGS[i][0], float(departures(b[None, :], i)[0]))
+    return ("mixed", BIN * BINS) if i < 0 else (ENCODINGS[i][0], float(departures(b[None, :], i, pairs)[0]))
 
 
 def _long_runs(mask: np.ndarray, least: int, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,7 +247,7 @@ def _length_class(n: int) -> int:
     return min(int(np.floor(np.log2(n / MIN_RANDOM) * 2)), 8)
 
 
-def _null_scores(tokens: list[bytes]) -> dict[bytes, list[tuple[int, int, int]]]:
+def _null_scores(tokens: list[bytes], pairs: np.ndarray | None = None) -> dict[bytes, list[tuple[int, int, int]]]:
     """By token, (family, length class, bin) of each form of an ordinary token without digits; none of any other."""
     out: dict[bytes, list[tuple[int, int, int]]] = {}
     groups: dict[tuple[int, int], list[tuple[bytes, int, int, bytes]]] = defaultdict(list)
@@ -221,13 +260,43 @@ def _null_scores(tokens: list[bytes]) -> dict[bytes, list[tuple[int, int, int]]]
                 i = _BARE[k] if form.isalpha() else _encoding(np.frombuffer(bare, dtype=np.uint8), True)
                 groups[i, len(bare)].append((t, k, _length_class(len(form)), bare))
     for (i, n), rows in groups.items():
-        score = departures(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), n), i) if i >= 0 else np.full(len(rows), BIN * BINS)
+        score = departures(np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), n), i, pairs) if i >= 0 else np.full(len(rows), BIN * BINS)
         for (t, k, c, _), z in zip(rows, np.minimum(score / BIN, BINS).astype(int).tolist(), strict=True):
             out[t].append((k, c, z))
     return out
 
 
-def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n): letters that follow each other in the runs of 2 to SHORT letters, as 26 * first + second."""
+    total = np.zeros(26 * 26, dtype=np.int64)
+    for _, data, off in batches(it):
+        c = _LETTER[data]
+        starts, ends = _long_runs(c >= 0, 2, off)
+        short = ends - starts <= SHORT
+        mark = np.zeros(len(data) + 1, dtype=np.int8)
+        mark[starts[short]] += 1
+        mark[ends[short] - 1] -= 1
+        at = np.flatnonzero(np.cumsum(mark[:-1]))
+        total += np.bincount(26 * c[at] + c[at + 1], minlength=26 * 26)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
+
+
+def pair_weights(docs: DataFrame) -> np.ndarray:
+    """The transitions of all texts."""
+    rows = docs.select("text").mapInArrow(_pairs, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # at most 676
+    counts = np.zeros(26 * 26)
+    for r in rows:
+        counts[r["pair"]] = r["n"]
+    return transitions(counts.reshape(26, 26))
+
+
+def _word(token: str, pairs: np.ndarray) -> bool:
+    """Whether a token is ordinary, and its letters follow each other as in words (or there is nothing to tell that by)."""
+    return ordinary(token) and (pairs.std() < 1e-6 or float(wordlike(np.frombuffer(token.encode(), dtype=np.uint8)[None, :], pairs)[0]) >= WORDLIKE)
+
+
+def _scan(it: Iterator[pa.RecordBatch], pairs: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Rows (doc_id, key, base, tokens, words): base spans and candidates of a text; words, on a chunk's first row: the numbers of its ordinary tokens."""
     base_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32())]))
     tok_t = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("encoding", pa.string()), ("family", pa.int32()), ("class", pa.int32()), ("bin", pa.int32())]))
@@ -242,7 +311,7 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(known) > REMEMBER:
             known.clear()
         tokens = [raw[x:y] for x, y in zip(starts.tolist(), ends.tolist(), strict=True)]
-        known |= _null_scores([t for t in dict.fromkeys(tokens) if t not in known])
+        known |= _null_scores([t for t in dict.fromkeys(tokens) if t not in known], pairs)
         for t in tokens:
             words.update(known[t])
         tok_at = starts[ends - starts >= MIN_RANDOM]
@@ -266,8 +335,8 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 token = m.group()
                 if far > x or token.isdigit():
                     continue
-                if not ordinary(token):
-                    name, score = randomness(token.encode())
+                if not _word(token, pairs):
+                    name, score = randomness(token.encode(), pairs=pairs)
                     found.append({"start": x, "end": y, "encoding": name, "family": family(token), "class": _length_class(y - x), "bin": min(int(score / BIN), BINS)})
             bases.append([{"start": x, "end": y, "kind": k} for x, y, k in base]), toks.append(found)
         counted = [[{"family": k, "class": c, "bin": z, "n": n} for (k, c, z), n in words.items()]] + [[]] * (len(b) - 1)
@@ -290,6 +359,7 @@ def _thresholds(counts: list[tuple[int, int, bool, int]], alpha: float) -> dict[
         tables[k][0 if is_null else 1, b] += n
     for c in sorted(tables):
         null, other = tables[c][0].copy(), tables[c][1]
+        null[FAR:] += PRIOR / (BINS + 1 - FAR)
         weight = ENOUGH / (ENOUGH + null.sum())
         for j in tables:
             if j != c:  # departures grow as the root of the length; a length class is the root of 2 longer than the one before
@@ -308,7 +378,8 @@ def scan(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     docs: doc_id (bigint), text; other columns are ignored. A null or empty text has no spans, a null
     doc_id stays null, repeated rows give repeated results, an empty docs gives no row. A text of any length is read whole; equal scores
     share a bin and are reported together or not at all; of spans that start together, the kinds come in the order of KINDS."""
-    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(_scan, _FOUND)
+    pairs = pair_weights(docs)
+    found = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("key"), "text").mapInArrow(lambda it: _scan(it, pairs), _FOUND)
     found = written(found)
     token = found.select(F.explode("tokens").alias("t")).select("t.family", "t.class", "t.bin", F.lit(False).alias("null"), F.lit(1).cast("bigint").alias("n"))
     word = found.select(F.explode("words").alias("t")).select("t.family", "t.class", "t.bin", F.lit(True).alias("null"), "t.n")
@@ -342,6 +413,16 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *n[:3], F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans"), n[3])
 
 
+def without(text: str, spans: list[tuple[int, int]]) -> str:
+    """text with each of the spans (by start; they may overlap) replaced by one mark, cut in pieces once."""
+    out, at = [], 0
+    for s, e in spans:
+        if s >= at:
+            out += [text[at:s], "<secret>"]
+        at = max(at, e)
+    return "".join([*out, text[at:]])
+
+
 def redact(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     """docs with every span replaced by <secret>, same columns and rows.
 
@@ -350,14 +431,14 @@ def redact(docs: DataFrame, alpha: float = ALPHA) -> DataFrame:
     spans = scan(docs.select("doc_id", "text"), alpha)
     hit = spans.where(F.size("spans") > 0).dropDuplicates(["doc_id", "key"]).select(F.col("doc_id").alias("secrets__id"), F.col("key").alias("secrets__key"), F.transform("spans", lambda s: F.struct(s["start"].alias("s"), s["end"].alias("e"))).alias("secrets__spans"))
     out = docs.join(sized(written(hit)), F.col("doc_id").cast("bigint").eqNullSafe(F.col("secrets__id")) & (F.xxhash64("text") == F.col("secrets__key")), "left")
-    # text between spans that may overlap: fold (kept text, place)
-    kept = F.aggregate(
-        F.coalesce("secrets__spans", F.array().cast("array<struct<s:int,e:int>>")),
-        F.struct(F.lit("").alias("t"), F.lit(0).alias("at")),
-        lambda a, s: F.when(s["s"] >= a["at"], F.struct(F.concat(a["t"], F.substring(F.col("text"), a["at"] + 1, s["s"] - a["at"]), F.lit("<secret>")).alias("t"), s["e"].alias("at"))).otherwise(F.struct(a["t"].alias("t"), F.greatest(a["at"], s["e"]).alias("at"))),
-        lambda a: F.concat(a["t"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))),
-    )
-    return out.withColumn("text", F.when(F.col("secrets__spans").isNull(), F.col("text")).otherwise(kept)).drop("secrets__id", "secrets__key", "secrets__spans")
+
+    @F.pandas_udf("string")
+    def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None or x is None else without(t, [(int(y["s"]), int(y["e"])) for y in x]) for t, x in zip(text, spans, strict=True)], dtype=object)
+
+    some = F.col("secrets__spans").isNotNull()
+    kept = cut(F.when(some, F.col("text")), F.col("secrets__spans"))
+    return out.withColumn("text", F.when(some, kept).otherwise(F.col("text"))).drop("secrets__id", "secrets__key", "secrets__spans")
 
 
 SQL: dict[str, str] = {}
