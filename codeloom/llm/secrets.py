@@ -15,7 +15,7 @@ are a number, and random numbers cannot be told from ordinary ones, as both are
 uniform random text of that encoding six z values are near 0: chi-squared of the characters' counts,
 chi-squared of the counts of the classes (digits, lower, upper, other; of base26 vowels and consonants), the number of changes of class, the
 number of runs of values above and below the middle, the lag-one serial correlation, and the transitions between letters, as the log-likelihood
-ratio of each to what follows it in the corpus's short words (a table of 26 x 26 counts over all documents) and in uniform text. The score is the
+ratio of each to what follows it in the corpus's words (a table of 26 x 26 counts over all documents) and in uniform text. The score is the
 largest departure.
 
 Candidates belong to families: letters of one case, no upper case, no lower case, mixed. The ordinary tokens without digits, of MIN_NULL characters or more, of the whole corpus are the
@@ -62,8 +62,6 @@ PRIOR, FAR = 200, 16
 WORDLIKE = 3.0
 #: So much is taken off the departure of transitions, whose law has a longer tail towards words than the other tests'.
 SKEW = 1.0
-#: Runs of letters up to this length tell what follows what.
-SHORT = 15
 #: With so many ordinary tokens of its own, a length class gives those of the others half their weight.
 ENOUGH = 1000
 
@@ -267,17 +265,28 @@ def _null_scores(tokens: list[bytes], pairs: np.ndarray | None = None) -> dict[b
 
 
 def _pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, n): letters that follow each other in the runs of 2 to SHORT letters, as 26 * first + second."""
+    """(pair, n): letters that follow each other, as 26 * first + second; tokens as long as a key tell nothing unless they are ordinary."""
     total = np.zeros(26 * 26, dtype=np.int64)
+    known: dict[bytes, bool] = {}
     for _, data, off in batches(it):
         c = _LETTER[data]
-        starts, ends = _long_runs(c >= 0, 2, off)
-        short = ends - starts <= SHORT
-        mark = np.zeros(len(data) + 1, dtype=np.int8)
-        mark[starts[short]] += 1
-        mark[ends[short] - 1] -= 1
-        at = np.flatnonzero(np.cumsum(mark[:-1]))
-        total += np.bincount(26 * c[at] + c[at + 1], minlength=26 * 26)
+        starts, ends = _long_runs(_IS_TOKEN[data], MIN_RANDOM, off)
+        raw = data.tobytes()
+        if len(known) > REMEMBER:
+            known.clear()
+        odd = np.zeros(len(data) + 1, dtype=np.int32)
+        for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+            t = raw[x:y]
+            if t not in known:
+                known[t] = ordinary(t.decode())
+            if not known[t]:
+                odd[x] += 1
+                odd[y] -= 1
+        c[np.cumsum(odd[:-1]) > 0] = -1
+        ok = (c[1:] >= 0) & (c[:-1] >= 0)
+        inner = off[(off > 0) & (off < len(data))]
+        ok[inner - 1] = False  # texts do not follow each other
+        total += np.bincount((26 * c[:-1] + c[1:])[ok], minlength=26 * 26)
     some = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pair", "n"])
 

@@ -182,10 +182,9 @@ def plain_transitions(texts):
     """The table of transitions by a walk over runs of letters."""
     counts = {(a, b): 1 for a in secrets._LOWER for b in secrets._LOWER}
     for t in texts:
-        for run in re.findall("[A-Za-z]+", t):
-            if 2 <= len(run) <= secrets.SHORT:
-                for a, b in zip(run.lower(), run.lower()[1:], strict=False):
-                    counts[a, b] += 1
+        for run in re.findall("[A-Za-z]+", re.sub("[A-Za-z0-9+/_=-]{16,}", lambda m: m.group() if secrets.ordinary(m.group()) else " ", t)):
+            for a, b in zip(run.lower(), run.lower()[1:], strict=False):
+                counts[a, b] += 1
     of = {a: sum(counts[a, b] for b in secrets._LOWER) for a in secrets._LOWER}
     return {(a, b): float(np.log(n / of[a] * 26)) for (a, b), n in counts.items()}
 
