@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+import shutil
 import subprocess
 from functools import reduce
 from operator import or_
@@ -107,6 +108,31 @@ def _blobs(repo: str, ids: list[str]) -> list[bytes]:
     return out
 
 
+def clone_repository(url: str, base: str, branch: str | None = None) -> str:
+    """Clones a repository into a folder of its name below base (a driver's helper: no Spark work); returns the folder. One that is there is brought up to
+    date. A url that names a folder outside base by .. is refused."""
+    name = url.rstrip("/").removesuffix(".git").replace(":", "/").rsplit("/", 1)[-1]
+    to = Path(base) / name
+    if not name or name in (".", "..") or not contained(str(to), base):
+        raise ValueError(f"no repository of that name can lie in {base}")
+    if (to / ".git").exists():
+        _git(str(to), "pull", "--ff-only", "--quiet")
+    else:
+        subprocess.run(["git", "clone", "--quiet", *(["--branch", branch] if branch else []), "--", url, str(to)], check=True, capture_output=True, timeout=3600)
+    return str(to)
+
+
+def delete_repository(name: str, base: str) -> bool:
+    """Deletes a cloned repository below base; returns whether it was there. Only a repository directly in base is deleted, never through a link."""
+    to = Path(base) / name
+    if to.is_symlink() or Path(name).name != name or name in ("", ".", "..") or not contained(str(to), base):
+        raise ValueError(f"{name!r} names no repository in {base}")
+    if not (to / ".git").exists():
+        return False
+    shutil.rmtree(to)
+    return True
+
+
 def git_files(spark: SparkSession, repo: str, rev: str = "HEAD", pattern: str = "*") -> DataFrame:
     """Committed files of a revision or branch: path, content, language, size, blob, modified_time (of the last commit that changed the tree).
 

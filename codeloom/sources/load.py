@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import simple_name
-from ..operators.traverse import Levels
+from ..operators.traverse import Levels, reach
 from .durable import GraphStore
 from .graph import Graph
 from .java import INJECTING, Facts, business_types, call_edges, full_name, parsed
@@ -218,16 +218,28 @@ def references(declared: DataFrame) -> DataFrame:
     return rows.select("project", "path", full_name(F.col("bare"), F.col("package"), F.col("imported"), F.col("whole")).alias("fqn")).distinct()
 
 
-def scan_closure(files: DataFrame, roots: DataFrame, scanned: DataFrame | None = None, rounds: int = 100) -> DataFrame:
+#: Bytes of sources that a scan to a fixpoint parses at once.
+AT_ONCE = 1 << 30
+
+
+def scan_closure(files: DataFrame, roots: DataFrame, scanned: DataFrame | None = None, rounds: int = 100, at_once: int = AT_ONCE) -> DataFrame:
     """(fqn, depth, project, path): every class that a scan from the roots (fqn) asks for, in the round in which it does, with the file that defines it (null:
     none does). A scan reads a class's file, and asks for what the file names, until nothing new is asked for.
 
     scanned (fqn): the memo of former scans, whose classes are not asked for again; the result's names, added to it, are the
-    next memo. Files are searched for definitions once, and each is parsed once, in the round that first needs it; a round holds new names only."""
+    next memo. Files are searched for definitions once, and each is parsed once: all together if they hold at most `at_once` bytes (then the rounds are
+    joins of names alone), else each in the round that first needs it. A round holds new names only."""
     where = written(definitions(files))
     first = roots.select("fqn").distinct()
     if scanned is not None:
         first = first.join(scanned.select("fqn"), "fqn", "left_anti")
+    if files.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0] <= at_once:
+        named = references(parsed(files))
+        if scanned is not None:
+            named = named.join(scanned.select("fqn"), "fqn", "left_anti")
+        edges = where.join(named.select("project", "path", F.col("fqn").alias("dst")), ["project", "path"]).select(F.col("fqn").alias("src"), "dst")
+        asked = reach(written(edges), first.select(F.lit(0).cast("long").alias("source"), F.col("fqn").alias("node")), rounds)
+        return asked.select(F.col("node").alias("fqn"), "depth").join(where, "fqn", "left").select("fqn", "depth", "project", "path")
     asked, read_ = Levels(first), None
     frontier = asked.add(first, 0)
     for depth in range(1, rounds + 1):

@@ -143,15 +143,17 @@ def test_a_second_scan_leaves_what_is_there(spark, small):
     assert ("Method", "p.D.gone()") in keys and ("Type", "p.A") in keys and both.node.where("key = 'p.D'").count() == 1 and both.node.where("label = 'Package' AND key = 'p'").count() == 1
 
 
-def test_scan_closure(spark):
+@pytest.mark.parametrize("at_once", [0, 1 << 30])
+def test_scan_closure(spark, at_once):
+    scan = lambda *a: load.scan_closure(*a, at_once=at_once)
     src = {"A": "package p; import q.B; class A extends Base { @Resource B b; }", "B": "package q; class B implements I, p.A { }", "I": "package q; interface I extends Far { }", "X": "package p; class X extends A { }", "Base": "package p; class Base { @Autowired q.Gone g; }"}
     files = spark.createDataFrame([("p", f"src/{n}.java", t) for n, t in src.items()], FILES)
     names = lambda *x: spark.createDataFrame([(n,) for n in x], "fqn string")
-    got = {r.fqn: (r.depth, r.path) for r in load.scan_closure(files, names("p.A")).collect()}
+    got = {r.fqn: (r.depth, r.path) for r in scan(files, names("p.A")).collect()}
     assert got == {"p.A": (0, "src/A.java"), "q.B": (1, "src/B.java"), "p.Base": (1, "src/Base.java"), "q.I": (2, "src/I.java"), "q.Gone": (2, None), "q.Far": (3, None)}
-    again = {r.fqn for r in load.scan_closure(files, names("p.X", "p.A"), names("p.A", "p.Base")).collect()}
+    again = {r.fqn for r in scan(files, names("p.X", "p.A"), names("p.A", "p.Base")).collect()}
     assert again == {"p.X"}  # what it names is scanned already
-    assert load.scan_closure(files, names()).collect() == []
+    assert scan(files, names()).collect() == []
 
 
 def test_rabbit_has_an_edge_of_its_own_if_asked(spark):

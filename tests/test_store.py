@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.functions.options import from_environment, layered
-from codeloom.sources import java, load
+from codeloom.sources import files, java, load
 from codeloom.sources.durable import Conflict, GraphStore
 from codeloom.sources.git import register
 from codeloom.sources.store import bucketed
@@ -173,6 +173,24 @@ def test_commits_as_a_stream(spark, repo, tmp_path):
     assert run() and GraphStore(spark, store).version == version  # no commit, no batch
 
 
+def test_repositories_are_cloned_and_deleted(repo, tmp_path):
+    where, git = repo
+    base = tmp_path / "clones"
+    base.mkdir()
+    to = files.clone_repository(str(where), str(base), "main")
+    assert to == str(base / "demo") and (base / "demo/src/A.java").exists()
+    (where / "src/D.java").write_text("class D {}")
+    git("add", ".")
+    git("commit", "-qm", "more")
+    assert files.clone_repository(f"{where}/", str(base)) == to and (base / "demo/src/D.java").exists()
+    (base / "linked").symlink_to(where)
+    (base / "plain").mkdir()
+    for bad in ("..", "../demo", "", ".", "linked", "demo/src"):
+        with pytest.raises(ValueError, match="repository"):
+            files.delete_repository(bad, str(base))
+    assert not files.delete_repository("plain", str(base)) and files.delete_repository("demo", str(base)) and not (base / "demo").exists() and (where / ".git").exists()
+
+
 def test_options_in_layers():
     defaults = {"scan": {"exclude": ["target"], "depth": 10, "deep": {"a": 1, "b": 2}}, "name": "x"}
     file = {"scan": {"exclude": ["build"], "deep": {"b": 3}}, "list": [1, 2]}
