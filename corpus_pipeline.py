@@ -22,7 +22,7 @@ from codeloom.llm.common import read, ship, sized, written
 
 
 #: Words that a worker of the packing stage remembers: fewer than alone, as executors hold what the stages before left.
-REMEMBER = 500_000
+REMEMBER = 300_000
 
 
 def _keep(docs: DataFrame, gone: DataFrame) -> DataFrame:
