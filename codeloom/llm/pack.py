@@ -5,7 +5,7 @@ are cut into full pieces and a last one. The plan is made from the number of pie
 alone: lengths are placed from the longest down, each into the open sequences with the least
 room that holds it, whole groups of alike sequences at a time. A group is split at most once
 per length and room, so the plan is a table of bounded size whatever the corpus. Pieces then take
-planned places by their rank within their length.
+planned places by joining on their rank within their length: the plan's steps are rows keyed by blocks of ranks.
 
 Ranks without a hot group: pieces are counted per (length, salt), the counts are summed over the
 salts before each, and a piece's rank is that start plus its number within its salt. Salts grow with
@@ -25,7 +25,6 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -176,6 +175,21 @@ def plan(counts: dict[int, int], size: int = SIZE) -> list[tuple[int, int, int,
     return out
 
 
+def slot_table(steps: list[tuple[int, int, int, int, int]], counts: dict[int, int]) -> tuple[list[tuple[int, ...]], list[tuple[int, int]]]:
+    """The plan as tables to join on rank within length: rows (length, block, first rank, number, first sequence, offset), a
+    step once for each block of ranks it reaches into, and (length, ranks in a block). The ranks of a length are cut into as many
+    blocks as it has steps, so there are at most two rows per step, and a block meets few steps."""
+    each: dict[int, int] = defaultdict(int)
+    for step in steps:
+        each[step[0]] += 1
+    widths = {length: -(-counts[length] // n) for length, n in each.items()}
+    slots = []
+    for length, rank, n, sequence, place in steps:
+        w = widths[length]
+        slots += [(length, block, rank, n, sequence, place) for block in range(rank // w, (rank + n - 1) // w + 1)]
+    return slots, sorted(widths.items())
+
+
 def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, remember: int = REMEMBER) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -191,29 +205,13 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SIZE, remember: i
     starts = counted.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     counts = {r[0]: r[1] for r in counted.groupBy("length").agg(F.sum("n")).collect()}  # at most a row per length
     steps = plan(counts, size)
-    slots = sorted(steps)
-    by: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-    cols = np.array(slots, dtype=np.int64).reshape(-1, 5)
-    for n in np.unique(cols[:, 0]):
-        c = cols[cols[:, 0] == n]
-        by[int(n)] = (c[:, 1], c[:, 3], c[:, 4])
-    given = spark.sparkContext.broadcast(by)  # a row per plan step: bounded by the number of lengths and rooms
-
-    def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            length, rank = b.column(b.schema.get_field_index("length")).to_numpy(), b.column(b.schema.get_field_index("rank")).to_numpy()
-            seq, off = np.empty(len(b), dtype=np.int64), np.empty(len(b), dtype=np.int64)
-            for n in np.unique(length):
-                at = np.flatnonzero(length == n)
-                first, sequence, offset = given.value[int(n)]
-                k = np.searchsorted(first, rank[at], "right") - 1
-                seq[at], off[at] = sequence[k] + rank[at] - first[k], offset[k]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), pa.array(seq), pa.array(off)], names=[*names, "sequence_id", "offset"])
-
     within = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = table.join(sized(starts, size * salts), ["length", "salt"]).withColumn("rank", F.col("before") + F.row_number().over(within) - 1)
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(place, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint")
+    slots, widths = slot_table(steps, counts)
+    width = spark.createDataFrame(widths, "length bigint, width bigint")
+    slot = spark.createDataFrame(slots, "length bigint, block bigint, first bigint, number bigint, sequence bigint, place bigint")
+    placed = ranked.join(sized(width, len(widths)), "length").withColumn("block", F.expr("rank div width")).join(sized(slot, len(slots)), ["length", "block"]).where("rank BETWEEN first AND first + number - 1")
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.col("rank") - F.col("first")).alias("sequence_id"), F.col("place").alias("offset"))
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -484,7 +484,14 @@ def test_plan_places_every_piece_once():
         size = int(r.choice([8, 20, 100]))
         counts = {int(k): int(r.integers(1, 60)) for k in r.integers(1, size + 1, 25)}
         used, ranks = defaultdict(list), defaultdict(list)
-        for length, rank, n, first, offset in pack.plan(counts, size):
+        steps = pack.plan(counts, size)
+        slots, widths = pack.slot_table(steps, counts)
+        assert len(slots) <= 2 * len(steps) and dict(widths).keys() == counts.keys()
+        for length, n in counts.items():  # each rank meets its own step, and no other, in its block
+            for rank in range(n):
+                met = [(s[2], s[3], s[4], s[5]) for s in slots if s[:2] == (length, rank // dict(widths)[length]) and s[2] <= rank < s[2] + s[3]]
+                assert met == [(s[1], s[2], s[3], s[4]) for s in steps if s[0] == length and s[1] <= rank < s[1] + s[2]]
+        for length, rank, n, first, offset in steps:
             ranks[length] += range(rank, rank + n)
             for i in range(n):
                 used[first + i].append((offset, length))
