@@ -25,6 +25,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,9 @@ END = 0
 PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
 REMEMBER = 800_000
+#: Characters of texts whose words are looked up together (a longer text by itself), and words in one call of the tokenizer.
+TOGETHER = 1 << 20
+ASK = 1000
 
 _encoders: dict[str, Encoder] = {}
 
@@ -83,23 +87,33 @@ class Encoder:
             else:
                 ask[w] = None
         words = list(ask)
-        for w, e in zip(words, self.tok.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
+        for i in range(0, len(words), ASK):
+            some = words[i : i + ASK]
+            e = self.tok.encode(some, is_pretokenized=True, add_special_tokens=False)  # each word by itself; told apart by word_ids
+            ids, at = np.array(e.ids, dtype="<u4").tobytes(), 4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(some) + 1))
+            for w, start, stop in zip(some, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                known[w] = ids[start:stop]
         for w, core, tail in parts:
             known[w] = known[core] + known[tail]
 
-    def encode(self, text: str) -> bytes:
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text; the new words of all texts are looked up together."""
         known = self.known
         if len(known) > self.remember:
             known.clear()
-        if not _CASED.search(text):
-            text = text.lower()  # as the tokenizer does; fewer different words
-        words = _SPACE.split(text) if _CONTROLS.search(text) else text.split()
-        ids = list(map(known.get, words))
-        if None in ids:
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, ids, strict=True) if k is None)))
-            ids = list(map(known.get, words))
-        return b"".join(ids)
+        split = []
+        for text in texts:
+            if not _CASED.search(text):
+                text = text.lower()  # as the tokenizer does; fewer different words
+            split.append(_SPACE.split(text) if _CONTROLS.search(text) else text.split())
+        new = set().union(*split).difference(known)
+        if new:
+            self._learn(list(new))
+        for words in split:
+            yield b"".join(map(known.__getitem__, words))
+
+    def encode(self, text: str) -> bytes:
+        return next(self.encode_all([text]))
 
 
 def encoder(path: str) -> Encoder:
@@ -111,6 +125,22 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def together(docs: Iterator[tuple[int | None, pa.Scalar]]) -> Iterator[tuple[list[int | None], list[str]]]:
+    """Ids and texts of successive documents, TOGETHER characters or little more at a time."""
+    ids: list[int | None] = []
+    texts: list[str] = []
+    held = 0
+    for doc, text in docs:
+        ids.append(doc)
+        texts.append(text.as_py() or "")
+        held += len(texts[-1])
+        if held >= TOGETHER:
+            yield ids, texts
+            ids, texts, held = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, remember: int = REMEMBER) -> DataFrame:
     """Per piece: doc_id, row (which of the rows of its Arrow batch), piece, start, length, ids_crc32."""
     path = path or vocabulary()
@@ -122,15 +152,15 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SIZE, remember:
         end = struct.pack("<I", END)
         row = 0
         for b in it:
-            ids, text = b.column(0), b.column(1)
             out: list[list] = [[], [], [], [], [], []]
-            for doc, t in zip(ids, text, strict=True):
-                doc, row = doc.as_py(), row + 1
-                x = enc.encode(t.as_py() or "") + end
-                for p, s in enumerate(range(0, len(x) // 4, size)):
-                    part = x[4 * s : 4 * (s + size)]
-                    for c, v in zip(out, (doc, row & 0x7FFFFFFF, p, s, len(part) // 4, zlib.crc32(part)), strict=True):
-                        c.append(v)
+            docs = zip(b.column(0).to_pylist(), b.column(1), strict=True)
+            for ids, texts in together(docs):
+                for doc, x in zip(ids, enc.encode_all(texts), strict=True):
+                    x, row = x + end, row + 1
+                    for p, s in enumerate(range(0, len(x) // 4, size)):
+                        part = x[4 * s : 4 * (s + size)]
+                        for c, v in zip(out, (doc, row & 0x7FFFFFFF, p, s, len(part) // 4, zlib.crc32(part)), strict=True):
+                            c.append(v)
             types = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
 

@@ -475,6 +475,7 @@ def test_ids_are_the_tokenizers():
     texts = ["".join(r.choices(parts, k=r.randint(1, 12))) for _ in range(30000)]
     want = tok.encode_batch_fast(texts, add_special_tokens=False)
     bad = [t for t, e in zip(texts, want, strict=True) if np.array(e.ids, dtype="<u4").tobytes() != enc.encode(t)]
+    assert list(pack.Encoder(pack.vocabulary()).encode_all(texts)) == list(map(enc.encode, texts))  # together as each alone
     assert not bad, (len(bad), bad[:5])
 
 
