@@ -40,7 +40,7 @@ PER_SALT = 100_000
 #: Distinct words whose ids a task remembers; beyond it, it starts anew.
 REMEMBER = 800_000
 #: Characters of texts whose words are looked up together (a longer text by itself), and words in one call of the tokenizer.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 18
 ASK = 1000
 
 _encoders: dict[str, Encoder] = {}
