@@ -1,11 +1,12 @@
 """The code graph as DataFrames, and one derived from the driver's tables by rule (FIXTURES.md, section 3).
 
-A graph is stored once per application and input as Parquet (calls partitioned by rel_type, so
+A graph is stored once per application and input as Parquet, each table when it is first asked for (calls partitioned by rel_type, so
 that a query on some edge types reads only theirs, in buckets of their source, so that no traversal exchanges them) and every query reads that store.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -113,21 +114,40 @@ class Graph:
         return self.call.where(F.col("rel_type").isin(*rel_types)) if rel_types else self.call
 
 
+class Derived(Graph):
+    """The graph derived from the tables in sf_dir. Each of its tables is made and stored when it is first asked for, with those it is made of: a query on types
+    makes no calls."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        for name, value in (("spark", spark), ("_sf_dir", sf_dir)):
+            object.__setattr__(self, name, value)
+
+    def __getattr__(self, name: str) -> DataFrame:  # asked only for what is not there yet
+        if f"fx_{name}" not in FIXTURE:
+            raise AttributeError(name)
+        made = self._made(f"fx_{name}")
+        object.__setattr__(self, name, made)
+        return made
+
+    def _made(self, name: str) -> DataFrame:
+        sql = FIXTURE[name]
+        words = set(re.findall(r"\w+", sql))
+        views = {n: getattr(self, n.removeprefix("fx_")) for n in FIXTURE if n in words and n != name}
+        views |= {t: self.spark.read.parquet(f"{self._sf_dir}/{t}.parquet") for t in _BASE if t in words}
+        for n, df in views.items():
+            df.createOrReplaceTempView(n)
+        df = written(self.spark.sql(sql))  # so that what is counted, and dealt to buckets, is made once
+        for n in views:
+            self.spark.catalog.dropTempView(n)
+        return bucketed(df, "src", "rel_type") if name == "fx_call" else bucketed(df, "src") if name == "fx_depends_on" else df
+
+
 _open: dict[tuple[str, str], Graph] = {}
 
 
 def open_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph derived from the tables in sf_dir; built and stored at the application's first use of sf_dir."""
+    """The graph derived from the tables in sf_dir; its tables are made and stored at the application's first use of each."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _open:
-        for t in _BASE:
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-        made = {}
-        for name, sql in FIXTURE.items():
-            df = spark.sql(sql)
-            made[name] = bucketed(df, "src", "rel_type") if name == "fx_call" else bucketed(df, "src") if name == "fx_depends_on" else written(df)
-            made[name].createOrReplaceTempView(name)
-        _open[key] = Graph(spark, **{n.removeprefix("fx_"): d for n, d in made.items()})
-        for t in (*_BASE, *FIXTURE):
-            spark.catalog.dropTempView(t)
+        _open[key] = Derived(spark, sf_dir)
     return _open[key]

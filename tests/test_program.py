@@ -36,3 +36,14 @@ def test_skipped_text_at_the_end_gives_no_token():
     for text in ("class A { } // {", "class A { } /* { ", "class A { }   \n", "class A { }"):
         assert lexer.read(text).word[:4] == ["class", "A", "{", "}"] and lexer.read(text).n == 4
     assert lexer.read("/" + "*" * 200_000).n == 0
+
+
+def test_a_query_on_types_makes_no_calls(spark, sf_dir, monkeypatch):
+    """Every table of the graph was made, whatever a query read; calls and dependencies twice, as they were counted before they were written."""
+    from codeloom.sources import graph
+
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, _old=graph.written: made.append(df.columns) or _old(df))
+    g = graph.Derived(spark, sf_dir)
+    assert g.type.count() and "signature" not in {c for columns in made for c in columns} and len(made) == 1
+    assert g.depends_on.count() and len(made) == 4  # type, method, call, depends_on
