@@ -10,7 +10,7 @@ from ..sources import files as fs
 from ..sources import merge
 from ..sources.program import program_sql
 from ..sources.store import small
-from .extracted import sources
+from .extracted import extracted, rendered
 from .registry import on_graph, on_tables
 
 
@@ -139,7 +139,7 @@ def class_file(files: DataFrame, wanted: DataFrame) -> DataFrame:
 @on_tables("txt_03_class_files", program_sql("SELECT project, fqn AS class_name, CASE WHEN role <> 'Inner' THEN path END AS path FROM jx_type UNION ALL SELECT project, name, CASE WHEN role <> 'Inner' THEN path END FROM jx_type WHERE id % 5 = 0"))
 def _txt03(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of all types by their full names, and of some by their simple ones; nested types have none."""
-    files, facts = sources(spark, sf_dir)
+    files, facts = rendered(spark, sf_dir), extracted(spark, sf_dir)
     some = F.regexp_extract("fqn", r"T(\d+)", 1).cast("long") % 5 == 0
     return class_file(files, facts.types.select("project", F.col("fqn").alias("class_name")).union(facts.types.where(some).select("project", "name")))
 

@@ -47,3 +47,47 @@ def test_a_query_on_types_makes_no_calls(spark, sf_dir, monkeypatch):
     g = graph.Derived(spark, sf_dir)
     assert g.type.count() and "signature" not in {c for columns in made for c in columns} and len(made) == 1
     assert g.depends_on.count() and len(made) == 4  # type, method, call, depends_on
+
+
+def test_facts_write_no_texts(spark, sf_dir, monkeypatch):
+    """The texts were written for any query on facts, and read back by few tasks."""
+    made = []
+    monkeypatch.setattr(extracted, "written", lambda df, _old=extracted.written: made.append(df.columns) or _old(df))
+    for kept in (extracted._files, extracted._facts, extracted._rendered):
+        monkeypatch.delitem(kept, (spark.sparkContext.applicationId, sf_dir), raising=False)
+    assert extracted._ext04(spark, sf_dir).count() and not made
+
+
+def _read(r):
+    return r.package, r.imports, [{k: v for k, v in t.items() if k != "at"} for t in r.types], r.constants()
+
+
+def test_bodies_that_repeat_are_read_once(monkeypatch):
+    """Every token of every body was found and walked."""
+    body = "{" + ' if (a) { x.go("}"); } // }\n String s = "v";' * 200 + " }"
+    text = f"package p; class A {{ void m() {body} int n() throws E, p.F {body} A(int i) {body} }}"
+    assert lexer.read(text).n < 50
+    made = []
+    monkeypatch.setattr(lexer._Bodies, "__missing__", lambda self, text: made.append(text))
+    want = lexer.Reader(text, whole=True)
+    want.file()
+    assert _read(lexer.read(text)) == _read(want) and len(want.types[0]["methods"][0]["calls"]) == 200
+    assert not made
+
+
+def test_bodies_are_read_as_in_whole_texts():
+    for text in (
+        "record P(int x) { void f() { g(); } }",
+        "class A { void f() { class B { void h() { k(); } } if (x) { y.z(); } } }",
+        'class A { X x = new X(1) { void f() { String s = "v"; g(); } }; String t = "a" + new Y() { int k() { return 1; } }; }',
+        "enum E { LOW(1) { int x() { return y(); } }; int m() { return z(1); } }",
+        "class A { void f() { g( } void h() { k(); } }",
+        "class A { void f() /* { */ { if (a) { b(); } } void g() throws E { c(d()); }",
+        "class A { @B(x = f() { g(); }) void h() { k(); } }",
+        'class A { void f() { s("}", \'}\', """ } "{" """); /* } */ t(); } }',
+        "class A { < ) void f() { g(); } ( { void h() { k(); } }",
+    ):
+        want = lexer.Reader(text, whole=True)
+        want.file()
+        for _ in range(2):
+            assert _read(lexer.read(text)) == _read(want), text
