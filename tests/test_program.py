@@ -93,6 +93,36 @@ def test_bodies_are_read_as_in_whole_texts():
             assert _read(lexer.read(text)) == _read(want), text
 
 
+def test_methods_that_repeat_are_one_token(monkeypatch):
+    """Only bodies were remembered: what stands before each was split into tokens and read anew."""
+    one = '@A(x = {"(", ")"}) public <T> Map<T, int[]> m(@B final String s, int... n) throws E, p.F { if (a) { x.go("}"); } String c = "v"; }\n'
+    text = f"package p; class A {{ void first() {{ }}\n{one * 50} }}"
+    want = lexer.Reader(text, whole=True)
+    want.file()
+    assert _read(lexer.read(text)) == _read(want) and len(want.types[0]["methods"]) == 51
+    assert lexer.read(text).n < 100
+    monkeypatch.setattr(lexer._Heads, "__missing__", lambda *_: 1 / 0)
+    assert _read(lexer.read(text)) == _read(want)
+
+
+def test_methods_are_read_as_in_whole_texts():
+    for text in (
+        "class A { void a() { } static { if (x) { y(); } void f() { g(); } } void h() { k(); } }",
+        "class A { void a() { } int x = 1; void h() { k(); } @B void i() { j(); } A(int i) { l(); } }",
+        "class A { void a() { } X x = new X() { void f() { g(); } void h() { k(); } }; void i() { j(); } }",
+        "class A { void a() { b(); class B { void f() { g(); } void h() { k(); } } c(); } void i() { j(); } }",
+        "class A { void a() { } ( void f() { g(); } void h() { k(); } }",
+        "class A { void a() { } } void f() { g(); } class B { void h() { k(); } }",
+        "enum E { X { void f() { g(); } void h() { k(); } }; void i() { j(); } void l() { m(); } }",
+        "class A { void a() { } interface I { default void f() { g(); } } record R(int x) { void h() { k(); } void i() { j(); } } }",
+        'class A { void a() { } @B(String s = "v") void f() { g(); } @C(x = "class") void h() { k(); } \0 void i() { j(); } }',
+    ):
+        want = lexer.Reader(text, whole=True)
+        want.file()
+        for _ in range(2):
+            assert _read(lexer.read(text)) == _read(want), text
+
+
 def test_edges_that_are_saved_once_are_not_written_before(spark, sf_dir, monkeypatch):
     """The edges were written to be written again, and what they are made of was taken out of the parsed rows by each table anew."""
     from codeloom.sources import load as ld
