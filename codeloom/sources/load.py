@@ -227,14 +227,14 @@ def references(declared: DataFrame) -> DataFrame:
 AT_ONCE = 1 << 30
 
 
-def scan_closure(files: DataFrame, roots: DataFrame, scanned: DataFrame | None = None, rounds: int = 100, at_once: int = AT_ONCE) -> DataFrame:
+def scan_closure(files: DataFrame, roots: DataFrame, scanned: DataFrame | None = None, rounds: int = 100, at_once: int = AT_ONCE, defined: DataFrame | None = None) -> DataFrame:
     """(fqn, depth, project, path): every class that a scan from the roots (fqn) asks for, in the round in which it does, with the file that defines it (null:
     none does). A scan reads a class's file, and asks for what the file names, until nothing new is asked for.
 
     scanned (fqn): the memo of former scans, whose classes are not asked for again; the result's names, added to it, are the
-    next memo. Files are searched for definitions once, and each is parsed once: all together if they hold at most `at_once` bytes (then the rounds are
+    next memo. Files are searched for definitions once (not at all if `defined` gives those of `definitions`, written), and each is parsed once: all together if they hold at most `at_once` bytes (then the rounds are
     joins of names alone), else each in the round that first needs it. A round holds new names only."""
-    where = written(definitions(files))
+    where = written(definitions(files)) if defined is None else defined
     first = roots.select("fqn").distinct()
     if scanned is not None:
         first = first.join(scanned.select("fqn"), "fqn", "left_anti")

@@ -123,6 +123,17 @@ def test_methods_are_read_as_in_whole_texts():
             assert _read(lexer.read(text)) == _read(want), text
 
 
+def test_scan_closure_reads_what_it_asks_for(spark, sf_dir, monkeypatch):
+    """The facts of all sources were made to find three roots, which the scan's look at the texts finds."""
+
+    def never(*_, **__):
+        raise AssertionError("facts are made")
+
+    monkeypatch.setattr(extracted.java, "extract", never)
+    monkeypatch.delitem(extracted._facts, (spark.sparkContext.applicationId, sf_dir), raising=False)
+    assert extracted._chg07(spark, sf_dir).count() > 3
+
+
 def test_edges_that_are_saved_once_are_not_written_before(spark, sf_dir, monkeypatch):
     """The edges were written to be written again, and what they are made of was taken out of the parsed rows by each table anew."""
     from codeloom.sources import load as ld
